@@ -8,7 +8,8 @@ Lookups are DataFrame parameters (any table or feed can be passed, ENR7):
 * ``prefixes``: ``ord, prefix, geo``, first (lowest ``ord``) match wins.  The
   prefix match is an equi-join: each ip is expanded to its prefixes of every
   length present in the table (a handful), joined on equality, then reduced
-  with ``min_by(geo, ord)``, so both sides may be large.
+  with ``min_by(geo, ord)``, so both sides may be large.  Without a table the
+  fixed prefix list of :mod:`dims` is applied as a CASE expression.
 
 The static tables are fixed-size and broadcast; a dynamic feed is left to
 the planner and AQE, since its size is the caller's.
@@ -28,6 +29,14 @@ def empty_intel(spark) -> DataFrame:
     return spark.createDataFrame([], INTEL_SCHEMA)
 
 
+def prefix_case(ip: F.Column, prefixes: list[tuple[str, str]]) -> F.Column:
+    """ENR3 for a short fixed list: first matching prefix as one CASE (no join)."""
+    expr = F.lit(None).cast("string")
+    for prefix, geo in reversed(prefixes):
+        expr = F.when(ip.startswith(prefix), F.lit(geo)).otherwise(expr)
+    return expr
+
+
 def prefix_geo(ips: DataFrame, prefixes: DataFrame) -> DataFrame:
     """ENR3: (src_ip) -> (src_ip, prefix_geo) for ips with a matching prefix."""
     lengths = sorted({r[0] for r in prefixes.select(F.length("prefix")).distinct().collect()})
@@ -45,7 +54,6 @@ def enrich(alerts: DataFrame, intel: DataFrame | None = None,
     ``internal_source``, ``geolocation``, ``reputation``, ``tags``."""
     spark = alerts.sparkSession
     intel = intel if intel is not None else empty_intel(spark)
-    prefixes = prefixes if prefixes is not None else F.broadcast(dims.geo_prefixes(spark))
     static = F.broadcast(static_intel if static_intel is not None else dims.static_intel(spark))
 
     dyn = intel.select(F.col("ip").alias("src_ip"), F.lit(True).alias("_dyn"),
@@ -53,8 +61,6 @@ def enrich(alerts: DataFrame, intel: DataFrame | None = None,
                        F.struct("reputation", "tags", "reports_90d").alias("_dyn_ti"))
     stat = static.select(F.col("ip").alias("src_ip"),
                          F.struct("reputation", "tags", "reports_90d").alias("_st_ti"))
-    ips = alerts.select("src_ip").distinct()
-    pgeo = prefix_geo(ips, prefixes)
 
     internal = is_internal(F.col("src_ip"))
     no_record = F.struct(F.lit("no records").alias("reputation"),
@@ -66,9 +72,13 @@ def enrich(alerts: DataFrame, intel: DataFrame | None = None,
     geo = F.coalesce(F.when(internal, F.lit(dims.INTERNAL_GEO)),
                      F.nullif(F.col("_dyn_geo"), F.lit("")),
                      F.col("prefix_geo"), F.lit(dims.UNKNOWN_GEO))
-    joined = (alerts.join(dyn, "src_ip", "left").join(stat, "src_ip", "left")
-              .join(pgeo, "src_ip", "left")
-              .withColumn("_dyn", F.coalesce(F.col("_dyn"), F.lit(False))))
+    joined = alerts.join(dyn, "src_ip", "left").join(stat, "src_ip", "left")
+    if prefixes is None:
+        joined = joined.withColumn("prefix_geo", prefix_case(F.col("src_ip"), dims.GEO_PREFIXES))
+    else:
+        pgeo = prefix_geo(alerts.select("src_ip").distinct(), prefixes)
+        joined = joined.join(pgeo, "src_ip", "left")
+    joined = joined.withColumn("_dyn", F.coalesce(F.col("_dyn"), F.lit(False)))
     out = joined.select(
         *alerts.columns,
         F.struct(internal.alias("internal_source"), geo.alias("geolocation"),

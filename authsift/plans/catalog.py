@@ -226,3 +226,236 @@ def q_queue_filter(spark, sf_dir):
     """FLT1: severity and verdict sets plus an ip substring."""
     return filter_queue(ranked(spark, sf_dir), ["critical", "high", "low"], ["true positive"],
                         ".1.").select("rank", "src_ip", "severity", "verdict", "confidence")
+
+
+# --- step 5: analytics ----------------------------------------------------------------------------
+from ..operators import analytics as A  # noqa: E402
+from ..operators import evaluate as EV  # noqa: E402
+from ..operators import dims  # noqa: E402
+
+
+def results_and_alerts(spark: SparkSession, sf_dir: str) -> tuple[DataFrame, DataFrame]:
+    """Verdicts and the enriched alerts they were made from."""
+    return triaged(spark, sf_dir), enriched(spark, sf_dir)
+
+
+_CITIES_SQL = ", ".join("('" + c.replace("'", "''") + f"', {lat}::DOUBLE, {lon}::DOUBLE)"
+                        for c, lat, lon in dims.CITY_COORDS)
+_TACTICS_SQL = ", ".join(f"('{t}', '{a}', {dims.TACTIC_ORDER.index(a)})"
+                         for t, a in dims.TACTIC_MAP)
+
+
+@register("queue_metrics", O.q(O.TRIAGE, """
+SELECT CAST(count(*) AS BIGINT) AS alerts,
+  CAST(count_if(verdict = 'true_positive') AS BIGINT) AS confirmed_attacks,
+  CAST(count_if(verdict = 'needs_investigation') AS BIGINT) AS needs_review,
+  CAST(count_if(verdict = 'false_positive') AS BIGINT) AS cleared_benign,
+  CAST(count_if(severity = 'critical') AS BIGINT) AS critical FROM triage"""))
+def q_queue_metrics(spark, sf_dir):
+    """ANA1: header metrics."""
+    return A.queue_metrics(triaged(spark, sf_dir))
+
+
+@register("activity_window", O.q(O.PIPE, """
+SELECT strftime(min(event_time), '%Y-%m-%d %H:%M:%S') AS window_start,
+  strftime(max(event_time), '%Y-%m-%d %H:%M:%S') AS window_end,
+  array_to_string(list_sort(list_distinct(list(host))), ',') AS hosts,
+  CAST(count(DISTINCT host) AS BIGINT) AS n_hosts, CAST(count(*) AS BIGINT) AS events,
+  (SELECT CAST(count(*) AS BIGINT) FROM lines) AS log_lines
+FROM parsed"""))
+def q_activity_window(spark, sf_dir):
+    """ANA2: activity window, hosts, event and line counts."""
+    ctx = derived(spark, sf_dir)
+    return A.activity_window(ctx.events(), ctx.lines())
+
+
+@register("severity_counts", O.q(O.TRIAGE, """
+SELECT severity, CAST(count(*) AS BIGINT) AS alerts, sev_rank FROM ranked GROUP BY 1, 3"""))
+def q_severity_counts(spark, sf_dir):
+    """ANA3: alerts by severity."""
+    return A.severity_counts(triaged(spark, sf_dir))
+
+
+@register("top_techniques", O.q(O.TRIAGE, """
+SELECT mitre_technique_name AS technique, CAST(count(*) AS BIGINT) AS alerts FROM triage
+WHERE verdict = 'true_positive' AND mitre_technique_name NOT IN ('N/A', '')
+GROUP BY 1 ORDER BY 2 DESC, 1 LIMIT 8"""))
+def q_top_techniques(spark, sf_dir):
+    """ANA4: top 8 technique names among confirmed attacks."""
+    return A.top_techniques(triaged(spark, sf_dir))
+
+
+@register("active_sources", O.q(O.ALERTS, """
+SELECT src_ip, failed_logins, successful_logins, connection_probes_no_auth,
+  failed_logins + successful_logins + connection_probes_no_auth AS total
+FROM alerts ORDER BY total DESC, first_seq LIMIT 15"""))
+def q_active_sources(spark, sf_dir):
+    """ANA5: most active sources (top 15)."""
+    return A.active_sources(alerts(spark, sf_dir))
+
+
+@register("attack_origins", O.q(O.TRIAGE, f"""
+, cities(city, lat, lon) AS (VALUES {_CITIES_SQL})
+SELECT c.city, c.lat, c.lon, CAST(x.attacks AS BIGINT) AS attacks,
+  90000.0 + 130000.0 * sqrt(x.attacks) AS radius
+FROM (SELECT trim(split_part(substr(geolocation, strpos(geolocation, '—') + 1), '(', 1)) AS city,
+             count(*) AS attacks
+      FROM triage WHERE verdict = 'true_positive' AND contains(geolocation, '—') GROUP BY 1) x
+JOIN cities c USING (city)""").replace("\n\n,", ",", 1).replace("\n,", ",", 1))
+def q_attack_origins(spark, sf_dir):
+    """ANA6: confirmed attacks per city with bubble radius."""
+    return A.attack_origins(*results_and_alerts(spark, sf_dir))
+
+
+@register("timeline", O.q(O.TRIAGE, """
+SELECT strftime(date_trunc('hour', p.event_time), '%Y-%m-%d %H:%M:%S') AS hour,
+  coalesce(t.severity, 'informational') AS severity, CAST(count(*) AS BIGINT) AS events
+FROM parsed p LEFT JOIN triage t USING (src_ip) GROUP BY 1, 2"""))
+def q_timeline(spark, sf_dir):
+    """ANA7: events per hour and parent-alert severity."""
+    t = A.timeline(events(spark, sf_dir), triaged(spark, sf_dir))
+    return t.select(_ts("hour").alias("hour"), "severity", "events")
+
+
+@register("attack_matrix", O.q(O.TRIAGE, f"""
+, tactics(technique_id, tactic, tactic_ord) AS (VALUES {_TACTICS_SQL}),
+pn AS (
+  SELECT mitre_technique_id AS tid, mitre_technique_name AS name, count(*) AS n, min(rank) AS fr
+  FROM ranked WHERE verdict = 'true_positive' AND mitre_technique_id NOT IN ('N/A', '')
+  GROUP BY 1, 2
+), pid AS (
+  SELECT tid, CAST(sum(n) AS BIGINT) AS alerts, first(name ORDER BY n DESC, fr ASC) AS name
+  FROM pn GROUP BY tid
+)
+SELECT coalesce(e.tactic, pa.tactic, 'Other') AS tactic,
+  coalesce(e.tactic_ord, pa.tactic_ord, {dims.TACTIC_ORDER.index('Other')}) AS tactic_ord,
+  pid.tid AS technique_id, pid.tid || ' — ' || pid.name AS technique, pid.alerts,
+  round(pid.alerts / max(pid.alerts) OVER (), 6) AS heat
+FROM pid LEFT JOIN tactics e ON e.technique_id = pid.tid
+  LEFT JOIN tactics pa ON pa.technique_id = split_part(pid.tid, '.', 1)""".replace("\n,", ",", 1)))
+def q_attack_matrix(spark, sf_dir):
+    """ANA8-ANA10: ATT&CK matrix with tactic fallback and heat fraction."""
+    return A.attack_matrix(ranked(spark, sf_dir))
+
+
+@register("top_accounts", O.q(O.TRIAGE, """
+SELECT "user" AS account, CAST(count(*) AS BIGINT) AS attacking_sources
+FROM (SELECT DISTINCT src_ip, "user" FROM parsed WHERE "user" <> '') u
+JOIN triage t USING (src_ip) WHERE t.verdict = 'true_positive'
+GROUP BY 1 ORDER BY 2 DESC, 1 LIMIT 10"""))
+def q_top_accounts(spark, sf_dir):
+    """ANA11: top 10 targeted accounts by attacking sources."""
+    return A.top_accounts(triaged(spark, sf_dir), alerts(spark, sf_dir))
+
+
+@register("top_hosts", O.q(O.TRIAGE, """
+SELECT host, CAST(count(*) AS BIGINT) AS attack_alerts
+FROM (SELECT DISTINCT src_ip, host FROM parsed) h
+JOIN triage t USING (src_ip) WHERE t.verdict = 'true_positive'
+GROUP BY 1 ORDER BY 2 DESC, 1 LIMIT 10"""))
+def q_top_hosts(spark, sf_dir):
+    """ANA12: top 10 targeted hosts by attack alerts."""
+    return A.top_hosts(triaged(spark, sf_dir), alerts(spark, sf_dir))
+
+
+@register("iocs", O.q(O.TRIAGE, """
+SELECT src_ip AS indicator, 'ipv4' AS type, severity, mitre_technique_id AS technique,
+  reputation, tags, first_seen, last_seen
+FROM triage WHERE verdict = 'true_positive' AND NOT internal_source"""))
+def q_iocs(spark, sf_dir):
+    """ANA13: indicators of compromise."""
+    return A.iocs(*results_and_alerts(spark, sf_dir))
+
+
+# --- step 6: evaluation ------------------------------------------------------------------------------
+def labels(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return derived(spark, sf_dir).labels()
+
+
+_EVAL = O.TRIAGE + (O.LABELS,)
+_FULL = """(SELECT src_ip, verdict AS predicted FROM triage) r
+  FULL JOIN (SELECT src_ip, verdict AS truth FROM labels_d) l USING (src_ip)"""
+_METRICS = """
+  CAST(count_if(predicted = 'true_positive') AS BIGINT) AS flagged,
+  CAST(count_if(predicted = 'true_positive' AND truth = 'true_positive') AS BIGINT) AS true_positives,
+  CAST(count_if(predicted = 'true_positive' AND truth = 'false_positive') AS BIGINT) AS false_alarms,
+  CAST(count_if(predicted = 'false_positive' AND truth = 'true_positive') AS BIGINT) AS dangerous_misses,
+  CAST(count_if(predicted = 'false_positive' AND truth = 'false_positive') AS BIGINT) AS benign_cleared,
+  CAST(count_if(predicted = 'needs_investigation' AND truth = 'true_positive') AS BIGINT) AS punted_attacks,
+  CAST(count_if(predicted = 'needs_investigation' AND truth = 'false_positive') AS BIGINT) AS punted_benign,
+  CAST(count_if(truth = 'true_positive') AS BIGINT) AS labelled_attacks,
+  CAST(count_if(truth = 'false_positive') AS BIGINT) AS labelled_benign,
+  round(coalesce(count_if(predicted = 'true_positive' AND truth = 'true_positive')::DOUBLE
+        / nullif(count_if(predicted = 'true_positive'), 0), 0.0), 6) AS precision,
+  round(coalesce(count_if(predicted = 'true_positive' AND truth = 'true_positive')::DOUBLE
+        / nullif(count_if(truth = 'true_positive'), 0), 0.0), 6) AS recall"""
+
+
+@register("confusion", O.q(_EVAL, """
+SELECT l.verdict AS truth, t.verdict AS predicted, CAST(count(*) AS BIGINT) AS alerts
+FROM triage t JOIN labels_d l USING (src_ip) GROUP BY 1, 2"""))
+def q_confusion(spark, sf_dir):
+    """EVAL1: labelled results by truth and prediction."""
+    return EV.confusion(triaged(spark, sf_dir), labels(spark, sf_dir))
+
+
+@register("precision_recall", O.q(_EVAL, f"SELECT {_METRICS} FROM {_FULL}"))
+def q_precision_recall(spark, sf_dir):
+    """EVAL2, EVAL3, EVAL5: precision, recall and outcome counts."""
+    return EV.precision_recall(triaged(spark, sf_dir), labels(spark, sf_dir))
+
+
+@register("dangerous_misses", O.q(_EVAL, f"""
+SELECT src_ip FROM {_FULL} WHERE predicted = 'false_positive' AND truth = 'true_positive'"""))
+def q_dangerous_misses(spark, sf_dir):
+    """EVAL4: attacks cleared as benign."""
+    return EV.dangerous_misses(triaged(spark, sf_dir), labels(spark, sf_dir))
+
+
+@register("verdict_histogram", O.q(O.TRIAGE, """
+SELECT verdict, CAST(count(*) AS BIGINT) AS alerts FROM triage GROUP BY 1"""))
+def q_verdict_histogram(spark, sf_dir):
+    """EVAL6: verdicts over all results."""
+    return EV.verdict_histogram(triaged(spark, sf_dir))
+
+
+@register("disagreements", O.q(_EVAL, """
+SELECT l.src_ip, l.verdict AS truth, coalesce(t.verdict, 'missing') AS predicted
+FROM labels_d l LEFT JOIN triage t USING (src_ip)
+WHERE coalesce(t.verdict, 'missing') <> l.verdict"""))
+def q_disagreements(spark, sf_dir):
+    """EVAL7: disagreements incl. missing predictions."""
+    return EV.disagreements(triaged(spark, sf_dir), labels(spark, sf_dir))
+
+
+@register("label_match", O.q(_EVAL, """
+SELECT l.src_ip, l.verdict AS truth, coalesce(t.verdict, 'missing') AS predicted,
+  coalesce(t.verdict, 'missing') = l.verdict AS match
+FROM labels_d l LEFT JOIN triage t USING (src_ip)"""))
+def q_label_match(spark, sf_dir):
+    """EVAL8: per-label results with a match flag."""
+    return EV.label_match(triaged(spark, sf_dir), labels(spark, sf_dir))
+
+
+@register("label_summary", O.q(O.BASE + (O.LABELS,), """
+SELECT CAST(count(*) AS BIGINT) AS labels,
+  CAST(count_if(verdict = 'true_positive') AS BIGINT) AS attacks,
+  CAST(count_if(verdict <> 'true_positive') AS BIGINT) AS benign,
+  CAST(count_if(starts_with(notes, 'HARD')) AS BIGINT) AS hard_cases FROM labels_d"""))
+def q_label_summary(spark, sf_dir):
+    """EVAL9: label counts."""
+    return EV.label_summary(labels(spark, sf_dir))
+
+
+@register("engine_compare", O.q(_EVAL, f"""
+SELECT 'rules' AS engine, {_METRICS} FROM {_FULL}
+UNION ALL
+SELECT 'rules_static_intel' AS engine, {_METRICS} FROM {_FULL}"""))
+def q_engine_compare(spark, sf_dir):
+    """EVAL11: the rule engine with the derived intel feed and with the static
+    table only, scored side by side (verdicts do not depend on reputation)."""
+    ctx = derived(spark, sf_dir)
+    with_feed = triaged(spark, sf_dir).withColumn("engine", F.lit("rules"))
+    static_only = triage_rules(enrich(correlate(ctx.events()))).withColumn(
+        "engine", F.lit("rules_static_intel"))
+    return EV.engine_compare(with_feed.unionByName(static_only), ctx.labels())

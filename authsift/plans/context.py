@@ -68,11 +68,21 @@ class Derived:
         """Parsed events (parquet written once from the text log)."""
         return self.spark.read.parquet(self.events_path)
 
+    @property
+    def intel_path(self) -> str:
+        return f"{self.root}/intel"
+
+    @property
+    def labels_path(self) -> str:
+        return f"{self.root}/labels"
+
     def intel(self) -> DataFrame:
-        return derive_intel(self.table("events"))
+        """Dynamic intel feed derived from ``events`` (parquet written once)."""
+        return self.spark.read.parquet(self.intel_path)
 
     def labels(self) -> DataFrame:
-        return derive_labels(self.table("events"))
+        """Ground-truth labels derived from ``events`` (parquet written once)."""
+        return self.spark.read.parquet(self.labels_path)
 
 
 def derived(spark: SparkSession, sf_dir: str) -> Derived:
@@ -85,4 +95,8 @@ def derived(spark: SparkSession, sf_dir: str) -> Derived:
          .write.mode("overwrite").text(ctx.log_path))
     if not _exists(spark, ctx.events_path + "/_SUCCESS"):
         parse_events(ctx.lines(), year=YEAR).write.mode("overwrite").parquet(ctx.events_path)
+    if not _exists(spark, ctx.intel_path + "/_SUCCESS"):
+        derive_intel(ctx.table("events")).write.mode("overwrite").parquet(ctx.intel_path)
+    if not _exists(spark, ctx.labels_path + "/_SUCCESS"):
+        derive_labels(ctx.table("events")).write.mode("overwrite").parquet(ctx.labels_path)
     return ctx
