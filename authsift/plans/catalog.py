@@ -459,3 +459,139 @@ def q_engine_compare(spark, sf_dir):
     static_only = triage_rules(enrich(correlate(ctx.events()))).withColumn(
         "engine", F.lit("rules_static_intel"))
     return EV.engine_compare(with_feed.unionByName(static_only), ctx.labels())
+
+
+# --- step 7: Windows logon events and source union ----------------------------------------
+from datetime import datetime  # noqa: E402
+
+from ..sources.logon_export import logon_events, select_logon_events  # noqa: E402
+
+SEARCH_NOW = datetime(2024, 2, 1)
+SEARCH_FROM = datetime(2024, 1, 1)
+
+
+def windows_events(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """WIN5-WIN9 + WIN1-WIN4 over the derived raw security table (January 2024)."""
+    sel = select_logon_events(derived(spark, sf_dir).security_events(), now=SEARCH_NOW,
+                              earliest=SEARCH_FROM, latest=SEARCH_NOW)
+    return logon_events(sel, "derived_ad")
+
+
+@register("logon_events", O.q(O.SECURITY, """
+SELECT ts_text, host, action, "user", src_ip, invalid_user, method, raw FROM win"""))
+def q_logon_events(spark, sf_dir):
+    """WIN1-WIN9: raw security events selected and mapped to auth events."""
+    return windows_events(spark, sf_dir).select(
+        "ts_text", "host", "action", "user", "src_ip", "invalid_user", "method", "raw")
+
+
+@register("union_sources", O.q(O.ALERTS + O.SECURITY[1:], """
+SELECT 'derived' AS dataset, src_ip, 'sshd_file' AS log_source, failed_logins, successful_logins,
+  invalid_user_attempts, usernames AS usernames_targeted, hosts AS hosts_targeted,
+  success_after_failures, first_seen, last_seen FROM alerts
+UNION ALL
+SELECT 'derived_ad', w.src_ip, 'windows_ad', w.failed_logins, w.successful_logins,
+  w.invalid_user_attempts, coalesce(u.users, ''), h.hosts, w.success_after_failures,
+  w.first_seen, w.last_seen
+FROM (SELECT src_ip, CAST(count_if(action = 'failed') AS BIGINT) AS failed_logins,
+        CAST(count_if(action = 'accepted') AS BIGINT) AS successful_logins,
+        CAST(count_if(invalid_user) AS BIGINT) AS invalid_user_attempts,
+        coalesce(min(CASE WHEN action = 'failed' THEN ts_text END)
+                 < max(CASE WHEN action = 'accepted' THEN ts_text END), false)
+          AS success_after_failures,
+        min(ts_text) AS first_seen, max(ts_text) AS last_seen
+      FROM win GROUP BY src_ip) w
+LEFT JOIN (SELECT src_ip, string_agg("user", ',' ORDER BY f) AS users
+           FROM (SELECT src_ip, "user", min(ts_text) AS f FROM win GROUP BY 1, 2) x GROUP BY 1) u
+  USING (src_ip)
+LEFT JOIN (SELECT src_ip, string_agg(host, ',' ORDER BY f) AS hosts
+           FROM (SELECT src_ip, host, min(ts_text) AS f FROM win GROUP BY 1, 2) x GROUP BY 1) h
+  USING (src_ip)""".replace("win AS", "win AS")))
+def q_union_sources(spark, sf_dir):
+    """TAG1: sshd and Windows events in one auth_events table, correlated per source."""
+    both = events(spark, sf_dir).unionByName(windows_events(spark, sf_dir))
+    a = correlate(both)
+    return a.select("dataset", "src_ip", "log_source", "failed_logins", "successful_logins",
+                    "invalid_user_attempts",
+                    F.array_join("usernames_targeted", ",").alias("usernames_targeted"),
+                    F.array_join("hosts_targeted", ",").alias("hosts_targeted"),
+                    "success_after_failures", "first_seen", "last_seen")
+
+
+# --- step 8: case state and feedback --------------------------------------------------------
+from ..operators import cases as CS  # noqa: E402
+
+
+def case_state(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return CS.case_state(derived(spark, sf_dir).case_updates())
+
+
+@register("case_state", O.q(O.CASES, """
+SELECT dataset, src_ip, status, assignee, notes, feedback,
+  strftime(updated_at, '%Y-%m-%d %H:%M:%S') AS updated_at FROM cases"""))
+def q_case_state(spark, sf_dir):
+    """CASE1, CASE2: field-level last-write-wins merge of case updates."""
+    st = CS.cases_of(case_state(spark, sf_dir), "derived")
+    return st.select("dataset", "src_ip", "status", "assignee", "notes", "feedback",
+                     _ts("updated_at").alias("updated_at"))
+
+
+@register("queue_with_cases", O.q(O.TRIAGE + (O.CASE_BLOCK,), """
+SELECT r.rank, r.src_ip, upper(r.severity) AS severity, replace(r.verdict, '_', ' ') AS verdict,
+  coalesce(c.status, 'New') AS status, coalesce(c.assignee, '') AS assignee
+FROM ranked r LEFT JOIN cases c USING (src_ip)"""))
+def q_queue_with_cases(spark, sf_dir):
+    """CASE3, CASE5: the ranked queue with case status (defaults when no case)."""
+    q = CS.with_case_defaults(ranked(spark, sf_dir), case_state(spark, sf_dir))
+    return q.select("rank", "src_ip", F.upper("severity").alias("severity"),
+                    F.regexp_replace("verdict", "_", " ").alias("verdict"), "status", "assignee")
+
+
+@register("feedback_table", O.q(O.TRIAGE + (O.CASE_BLOCK,), """
+SELECT c.dataset, c.src_ip, coalesce(t.verdict, '') AS ai_verdict,
+  c.feedback AS analyst_feedback, coalesce(c.notes, '') AS notes
+FROM cases c LEFT JOIN triage t USING (src_ip) WHERE coalesce(c.feedback, '') <> ''"""))
+def q_feedback_table(spark, sf_dir):
+    """ANA14: analyst feedback joined to the verdict."""
+    return CS.feedback_table(case_state(spark, sf_dir), triaged(spark, sf_dir))
+
+
+@register("feedback_counts", O.q(O.CASES, """
+SELECT dataset,
+  CAST(count_if(contains(feedback, 'agree') AND NOT contains(feedback, 'dis')) AS BIGINT) AS agree,
+  CAST(count_if(NOT (contains(feedback, 'agree') AND NOT contains(feedback, 'dis'))) AS BIGINT)
+    AS disagree
+FROM cases WHERE coalesce(feedback, '') <> '' GROUP BY dataset"""))
+def q_feedback_counts(spark, sf_dir):
+    """ANA15: agree / disagree counts."""
+    return CS.feedback_counts(case_state(spark, sf_dir))
+
+
+@register("dataset_fingerprint")
+def q_dataset_fingerprint(spark, sf_dir):
+    """CASE4 at scale: order-free fingerprint of the whole derived log."""
+    return CS.order_free_fingerprint(derived(spark, sf_dir).lines())
+
+
+# --- step 10: model request / response tables -------------------------------------------------
+from ..operators import model_io as MIO  # noqa: E402
+
+REQUEST_MODEL = "external-triage-model"
+REQUEST_SYSTEM = "Triage the authentication alert and answer with the verdict schema."
+
+
+@register("model_requests")
+def q_model_requests(spark, sf_dir):
+    """MOD1: one JSON request body per enriched alert."""
+    return MIO.model_requests(enriched(spark, sf_dir), REQUEST_MODEL, REQUEST_SYSTEM)
+
+
+@register("incident_evidence", O.q(O.TRIAGE, """
+SELECT t.src_ip, t.severity, t.mitre_technique_id,
+  row_number() OVER (PARTITION BY p.src_ip ORDER BY p.seq) AS line_no, p.raw
+FROM parsed p JOIN triage t USING (src_ip) WHERE t.verdict = 'true_positive'"""))
+def q_incident_evidence(spark, sf_dir):
+    """MOD4: per confirmed attack, its verdict and ordered raw lines (JSON headers kept)."""
+    ev = raw_evidence(events(spark, sf_dir))
+    b = MIO.incident_evidence(triaged(spark, sf_dir), enriched(spark, sf_dir), ev)
+    return b.select("src_ip", "severity", "mitre_technique_id", "line_no", "raw")

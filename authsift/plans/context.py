@@ -18,7 +18,8 @@ from pyspark.sql import functions as F
 from ..operators.parse import parse_events
 from ..session import shared_dir
 from ..sources.auth_log import read_auth_log
-from ..sources.derived import derive_auth_lines, derive_intel, derive_labels
+from ..sources.derived import (derive_auth_lines, derive_case_updates, derive_intel,
+                               derive_labels, derive_security_events)
 
 DATASET = "derived"
 YEAR = 2024  # the year of the driver's events table; syslog lines carry none
@@ -76,6 +77,22 @@ class Derived:
     def labels_path(self) -> str:
         return f"{self.root}/labels"
 
+    @property
+    def cases_path(self) -> str:
+        return f"{self.root}/case_updates"
+
+    @property
+    def security_path(self) -> str:
+        return f"{self.root}/security_events"
+
+    def case_updates(self) -> DataFrame:
+        """Append-only case updates derived from ``events`` (partitioned by dataset)."""
+        return self.spark.read.parquet(self.cases_path)
+
+    def security_events(self) -> DataFrame:
+        """Raw Windows security events derived from ``events``."""
+        return self.spark.read.parquet(self.security_path)
+
     def intel(self) -> DataFrame:
         """Dynamic intel feed derived from ``events`` (parquet written once)."""
         return self.spark.read.parquet(self.intel_path)
@@ -97,6 +114,12 @@ def derived(spark: SparkSession, sf_dir: str) -> Derived:
         parse_events(ctx.lines(), year=YEAR).write.mode("overwrite").parquet(ctx.events_path)
     if not _exists(spark, ctx.intel_path + "/_SUCCESS"):
         derive_intel(ctx.table("events")).write.mode("overwrite").parquet(ctx.intel_path)
+    if not _exists(spark, ctx.cases_path + "/_SUCCESS"):
+        derive_case_updates(ctx.table("events")).write.mode("overwrite") \
+            .partitionBy("dataset").parquet(ctx.cases_path)
+    if not _exists(spark, ctx.security_path + "/_SUCCESS"):
+        derive_security_events(ctx.table("events")).write.mode("overwrite") \
+            .parquet(ctx.security_path)
     if not _exists(spark, ctx.labels_path + "/_SUCCESS"):
         derive_labels(ctx.table("events")).write.mode("overwrite").parquet(ctx.labels_path)
     return ctx

@@ -269,3 +269,92 @@ LABELS = _LABELS
 
 def q(blocks: tuple[str, ...], select: str) -> str:
     return with_ctes(*blocks) + "\n" + select
+
+
+def _list(values) -> str:
+    return "[" + ", ".join("'" + v.replace("'", "''") + "'" for v in values) + "]"
+
+
+# --- Windows logon events (derived raw security table -> selection -> events) -------------
+_SECURITY = """
+sec AS (
+  SELECT seq, CAST(ts AS TIMESTAMP) AS event_time,
+    CASE WHEN k % 7 = 0 THEN 'WinEventLog:System' ELSE 'WinEventLog:Security' END AS source,
+    'DC0' || (k % 3) AS host,
+    CASE WHEN et = 'error' THEN '4625' ELSE '4624' END AS EventCode,
+    CASE WHEN k % 2 = 1 THEN ip END AS src_ip_f,
+    CASE WHEN k % 11 = 0 THEN '-' ELSE ip END AS sna,
+    CASE WHEN k % 5 <> 0 THEN 'user' || u END AS user_f,
+    CASE WHEN k % 10 = 0 THEN 'WS' || (u % 50) || '$' ELSE 'user' || u END AS last_account,
+    (['3', '10', '2'])[k % 3 + 1] AS Logon_Type,
+    CASE WHEN et <> 'error' THEN NULL WHEN k % 8 = 0 THEN '0xc0000064'
+         WHEN k % 4 = 0 THEN '0xC0000064' ELSE '0xC000006A' END AS Sub_Status
+  FROM prof WHERE et IN ('error', 'click', 'view')
+), sel AS (
+  SELECT * FROM (
+    SELECT strftime(event_time, '%Y-%m-%dT%H:%M:%S.%g+00:00') AS _time, host, EventCode,
+      coalesce(user_f, last_account) AS account, coalesce(src_ip_f, sna) AS src, Logon_Type,
+      Sub_Status
+    FROM sec
+    WHERE event_time >= TIMESTAMP '2024-01-01 00:00:00' AND event_time < TIMESTAMP '2024-02-01 00:00:00'
+      AND contains(source, 'Security')
+      AND (EventCode = '4625' OR (EventCode = '4624' AND Logon_Type IN ('3', '10')))) x
+  WHERE src IS NOT NULL AND src <> '-' AND NOT coalesce(ends_with(account, '$'), false)
+), win AS (
+  SELECT _time AS ts_text, host, CASE WHEN EventCode = '4624' THEN 'accepted' ELSE 'failed' END AS action,
+    account AS "user", src AS src_ip,
+    coalesce(Sub_Status IN ('0xc0000064', '0xC0000064'), false) AS invalid_user,
+    'windows_logon_type_' || coalesce(Logon_Type, '?') AS method,
+    _time || ' ' || host || ' EventCode=' || EventCode || ' account=' || account || ' src=' || src
+      || ' logon_type=' || coalesce(Logon_Type, '?') AS raw
+  FROM sel WHERE coalesce(src, '') <> '' AND coalesce(account, '') <> ''
+    AND EventCode IN ('4624', '4625')
+)"""
+
+# --- case updates and state ------------------------------------------------------------------
+_CASES = f"""
+upd AS (
+  SELECT 'derived' AS dataset, ip AS src_ip,
+    ({_list(dims.CASE_FIELDS)})[k % 4 + 1] AS field,
+    CASE WHEN seq % 11 = 0 THEN NULL
+         WHEN k % 4 = 0 THEN ({_list(dims.CASE_STATUSES)})[seq % 4 + 1]
+         WHEN k % 4 = 1 THEN 'analyst' || (u % 5)
+         WHEN k % 4 = 2 THEN 'checked ' || seq
+         WHEN seq % 3 = 1 THEN '👎 disagree' ELSE '👍 agree' END AS value,
+    CAST(ts AS TIMESTAMP) AS updated_at, seq AS update_id
+  FROM prof WHERE et = 'signup'
+), cases AS (
+  SELECT dataset, src_ip,
+    {", ".join(f"first(value ORDER BY updated_at DESC, update_id DESC) FILTER (WHERE field = '{f}') AS {f}" for f in dims.CASE_FIELDS)},
+    max(updated_at) AS updated_at
+  FROM upd GROUP BY dataset, src_ip
+)"""
+
+# --- stream semantics: order by (event time, raw line), unordered distinct lists ---------
+_STREAM_ALERTS = """
+sk AS (SELECT *, strftime(event_time, '%Y-%m-%d %H:%M:%S') || raw AS okey FROM parsed),
+alerts AS (
+  SELECT src_ip,
+    CAST(count_if(action = 'failed') AS BIGINT) AS failed_logins,
+    CAST(count_if(action = 'accepted') AS BIGINT) AS successful_logins,
+    CAST(count_if(invalid_user) AS BIGINT) AS invalid_user_attempts,
+    CAST(count_if(action = 'max_auth') AS BIGINT) AS max_auth_exceeded_events,
+    CAST(count_if(action = 'preauth_disconnect') AS BIGINT) AS preauth_disconnects,
+    CAST(count_if(action = 'probe') AS BIGINT) AS connection_probes_no_auth,
+    coalesce(min(CASE WHEN action = 'failed' THEN okey END)
+             < max(CASE WHEN action = 'accepted' THEN okey END), false) AS success_after_failures,
+    first(ts_text ORDER BY okey) AS first_seen, first(ts_text ORDER BY okey DESC) AS last_seen,
+    min(okey) AS first_seq,
+    coalesce(array_to_string(list_sort(list_distinct(list("user") FILTER (WHERE "user" <> ''))), ','), '')
+      AS usernames,
+    CAST(count(DISTINCT CASE WHEN "user" <> '' THEN "user" END) AS BIGINT) AS n_users,
+    array_to_string(list_sort(list_distinct(list(host))), ',') AS hosts,
+    CAST(count(DISTINCT host) AS BIGINT) AS n_hosts
+  FROM sk GROUP BY src_ip
+)"""
+
+SECURITY = BASE[:1] + (_SECURITY,)
+CASE_BLOCK = _CASES
+CASES = (_PROFILED, _CASES)
+STREAM_ALERTS = PIPE + (_STREAM_ALERTS,)
+STREAM_TRIAGE = STREAM_ALERTS + (_INTEL, _ENRICHED, _TRIAGE)

@@ -150,3 +150,47 @@ def derive_labels(events: DataFrame) -> DataFrame:
     return df.select(F.col("ip").alias("src_ip"),
                      F.when(p >= 3, "true_positive").otherwise("false_positive").alias("verdict"),
                      notes.alias("notes"))
+
+
+def derive_case_updates(events: DataFrame) -> DataFrame:
+    """Analyst case updates (long form) for the derived log's sources: one per
+    ``signup`` event; the field rotates with ``k``; every 11th update is an
+    explicit NULL that clears its field."""
+    from ..operators.cases import AGREE, DISAGREE
+    from ..operators.dims import CASE_FIELDS, CASE_STATUSES
+    df = profiled(events).where(F.col("et") == "signup")
+    seq, k, u = F.col("seq"), F.col("k"), F.col("u")
+    field = F.element_at(F.array(*[F.lit(f) for f in CASE_FIELDS]), (k % 4 + 1).cast("int"))
+    status = F.element_at(F.array(*[F.lit(s) for s in CASE_STATUSES]), (seq % 4 + 1).cast("int"))
+    value = (F.when(seq % 11 == 0, F.lit(None).cast("string"))
+             .when(field == "status", status)
+             .when(field == "assignee", F.concat(F.lit("analyst"), _s(u % 5)))
+             .when(field == "notes", F.concat(F.lit("checked "), _s(seq)))
+             .otherwise(F.when(seq % 3 == 1, F.lit(DISAGREE)).otherwise(F.lit(AGREE))))
+    return df.select(F.lit("derived").alias("dataset"), F.col("ip").alias("src_ip"),
+                     field.alias("field"), value.alias("value"),
+                     F.col("ts").cast("timestamp").alias("updated_at"),
+                     seq.alias("update_id"))
+
+
+def derive_security_events(events: DataFrame) -> DataFrame:
+    """A raw Windows security-event table: error -> 4625, click/view -> 4624, with
+    logon types, sources, machine accounts and '-' addresses mixed in so every
+    selection rule of WIN5-WIN7 has rows to keep and to drop."""
+    df = profiled(events).where(F.col("et").isin("error", "click", "view"))
+    k, u, ip = F.col("k"), F.col("u"), F.col("ip")
+    return df.select(
+        F.col("ts").cast("timestamp").alias("event_time"),
+        F.when(k % 7 == 0, "WinEventLog:System").otherwise("WinEventLog:Security").alias("source"),
+        F.concat(F.lit("DC0"), _s(k % 3)).alias("host"),
+        F.when(F.col("et") == "error", "4625").otherwise("4624").alias("EventCode"),
+        F.when(k % 2 == 1, ip).alias("src_ip"),
+        F.when(k % 11 == 0, F.lit("-")).otherwise(ip).alias("Source_Network_Address"),
+        F.when(k % 5 != 0, F.concat(F.lit("user"), _s(u))).alias("user"),
+        F.array(F.lit("-"), F.when(k % 10 == 0, F.concat(F.lit("WS"), _s(u % 50), F.lit("$")))
+                .otherwise(F.concat(F.lit("user"), _s(u)))).alias("Account_Name"),
+        F.element_at(F.array(F.lit("3"), F.lit("10"), F.lit("2")), (k % 3 + 1).cast("int"))
+        .alias("Logon_Type"),
+        F.when(F.col("et") != "error", F.lit(None).cast("string"))
+        .when(k % 8 == 0, "0xc0000064").when(k % 4 == 0, "0xC0000064")
+        .otherwise("0xC000006A").alias("Sub_Status"))
