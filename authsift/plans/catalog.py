@@ -595,3 +595,84 @@ def q_incident_evidence(spark, sf_dir):
     ev = raw_evidence(events(spark, sf_dir))
     b = MIO.incident_evidence(triaged(spark, sf_dir), enriched(spark, sf_dir), ev)
     return b.select("src_ip", "severity", "mitre_technique_id", "line_no", "raw")
+
+
+# --- step 9: streaming (batch = stream) -------------------------------------------------------
+from ..operators.cases import UPDATE_SCHEMA  # noqa: E402
+from ..streaming import streams as ST  # noqa: E402
+
+
+def _stream_events(spark: SparkSession, sf_dir: str) -> DataFrame:
+    ctx = derived(spark, sf_dir)
+    return ST.stream_events(spark, ctx.log_path, "derived", year=YEAR, files_per_trigger=1)
+
+
+@register("stream_timeline", O.q(O.PIPE, """
+, mx AS (SELECT max(event_time) - INTERVAL 1 HOUR AS wm FROM parsed)
+SELECT strftime(date_trunc('hour', event_time), '%Y-%m-%d %H:%M:%S') AS hour, action,
+  CAST(count(*) AS BIGINT) AS events
+FROM parsed, mx WHERE date_trunc('hour', event_time) + INTERVAL 1 HOUR <= mx.wm
+GROUP BY 1, 2""".replace("\n,", ",", 1)))
+def q_stream_timeline(spark, sf_dir):
+    """STR1, STR2: hourly counts per action from a watermarked stream (closed hours)."""
+    out = ST.run_available_now(ST.stream_timeline(_stream_events(spark, sf_dir)), "timeline")
+    return spark.read.parquet(out).select(_ts("hour").alias("hour"), "action", "events")
+
+
+def _stream_alert_state(spark: SparkSession, sf_dir: str) -> DataFrame:
+    out = ST.run_available_now(ST.stream_alerts(_stream_events(spark, sf_dir)), "alerts",
+                               mode="update")
+    return ST.latest_versions(spark.read.parquet(out), ["dataset", "src_ip"])
+
+
+@register("stream_alerts", O.q(O.STREAM_ALERTS, f"SELECT {_ALERT_COLS_SQL} FROM alerts"))
+def q_stream_alerts(spark, sf_dir):
+    """STR3: running per-source alert state (final state after all updates)."""
+    return _flat_alerts(_stream_alert_state(spark, sf_dir))
+
+
+@register("stream_sessions", O.q(O.PIPE, """
+, mx AS (SELECT max(event_time) - INTERVAL 1 HOUR AS wm FROM parsed),
+brk AS (
+  SELECT src_ip, event_time, action,
+    CASE WHEN event_time - lag(event_time) OVER (PARTITION BY src_ip ORDER BY event_time)
+              < INTERVAL 30 MINUTE THEN 0 ELSE 1 END AS b
+  FROM parsed
+), sess AS (
+  SELECT *, sum(b) OVER (PARTITION BY src_ip ORDER BY event_time ROWS UNBOUNDED PRECEDING) AS sid
+  FROM brk
+)
+SELECT src_ip, strftime(min(event_time), '%Y-%m-%d %H:%M:%S') AS session_start,
+  strftime(max(event_time) + INTERVAL 30 MINUTE, '%Y-%m-%d %H:%M:%S') AS session_end,
+  CAST(count(*) AS BIGINT) AS events, CAST(count_if(action = 'failed') AS BIGINT) AS failed,
+  CAST(count_if(action = 'accepted') AS BIGINT) AS accepted
+FROM sess, mx GROUP BY src_ip, sid, mx.wm
+HAVING max(event_time) + INTERVAL 30 MINUTE <= mx.wm""".replace("\n,", ",", 1)))
+def q_stream_sessions(spark, sf_dir):
+    """STR4: per-source activity sessions (30-minute gap), closed sessions only."""
+    out = ST.run_available_now(ST.stream_sessions(_stream_events(spark, sf_dir)), "sessions")
+    return spark.read.parquet(out).select(
+        "src_ip", _ts("session_start").alias("session_start"),
+        _ts("session_end").alias("session_end"), "events", "failed", "accepted")
+
+
+@register("stream_triage", O.q(O.STREAM_TRIAGE, """
+SELECT src_ip, rule_id, verdict, severity, confidence FROM triage"""))
+def q_stream_triage(spark, sf_dir):
+    """STR5: streaming alert state triaged per micro-batch; latest verdict per source."""
+    alerts_stream = ST.stream_alerts(_stream_events(spark, sf_dir))
+    out = ST.stream_triage(alerts_stream, intel=derived(spark, sf_dir).intel())
+    cur = ST.latest_versions(spark.read.parquet(out), ["dataset", "src_ip"])
+    return cur.select("src_ip", "rule_id", "verdict", "severity", "confidence")
+
+
+@register("stream_case_state", O.q(O.CASES, """
+SELECT dataset, src_ip, field, first(value ORDER BY updated_at DESC, update_id DESC) AS value
+FROM upd GROUP BY 1, 2, 3"""))
+def q_stream_case_state(spark, sf_dir):
+    """STR6: case updates consumed as a stream; latest value per field."""
+    path = derived(spark, sf_dir).cases_path
+    out = ST.run_available_now(ST.stream_case_state(spark, path, UPDATE_SCHEMA), "cases",
+                               mode="update")
+    cur = ST.latest_versions(spark.read.parquet(out), ["dataset", "src_ip", "field"])
+    return cur.select("dataset", "src_ip", "field", "value")
