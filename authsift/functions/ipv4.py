@@ -10,7 +10,7 @@ IPV4 = rf"^{_OCTET}\.{_OCTET}\.{_OCTET}\.{_OCTET}$"
 
 
 def octet(ip: Column, i: int) -> Column:
-    return F.regexp_extract(ip, IPV4, i).cast("int")
+    return F.regexp_extract(ip, IPV4, i).try_cast("int")
 
 
 def is_ipv4(ip: Column) -> Column:
