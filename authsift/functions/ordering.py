@@ -21,6 +21,7 @@ from __future__ import annotations
 
 from collections.abc import Sequence
 
+from pyspark import StorageLevel
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -41,18 +42,25 @@ def order_key(t: Column | None = None) -> Column:
 
 
 def number_rows(df: DataFrame, order_by: Sequence[Column | str],
-                partition_by: Sequence[str] = (), name: str = "rank") -> DataFrame:
+                partition_by: Sequence[str] = (), name: str = "rank",
+                few_groups: bool = False) -> DataFrame:
     """Add ``name`` = 1-based position by ``order_by`` (within ``partition_by``).
 
     The order must be total (include a unique tiebreak) for a deterministic
     result.  Work is spread over all partitions even when one group holds most
     rows; the driver only sees a row count of the small offset table.
+    ``few_groups`` declares the groups few (e.g. datasets): the offset table
+    then has at most partitions x groups rows and is broadcast unchecked.
     """
     spark = df.sparkSession
     shared_dir(spark)  # makes sure checkpoint() has a shared folder
     pcols = list(partition_by)
     keys = [F.col(c) for c in pcols] + [F.col(c) if isinstance(c, str) else c for c in order_by]
-    ordered = df.orderBy(*keys).checkpoint(eager=True)
+    # persisted first so the eager checkpoint computes the sort once (its count
+    # fills the cache, the checkpoint write reads it), then released
+    sorted_df = df.orderBy(*keys).persist(StorageLevel.MEMORY_AND_DISK)
+    ordered = sorted_df.checkpoint(eager=True)
+    sorted_df.unpersist()
     tagged = (ordered.withColumn("_pid", F.spark_partition_id())
               .withColumn("_mid", F.monotonically_increasing_id()))
     counts = tagged.groupBy("_pid", *pcols).agg(F.count(F.lit(1)).alias("_n"),
@@ -60,7 +68,7 @@ def number_rows(df: DataFrame, order_by: Sequence[Column | str],
     w = Window.partitionBy(*pcols).orderBy("_pid") if pcols else Window.orderBy("_pid")
     offsets = counts.select("_pid", *pcols, "_m0",
                             (F.sum("_n").over(w) - F.col("_n")).alias("_off"))
-    if not pcols or offsets.count() <= OFFSETS_BROADCAST_ROWS:
+    if not pcols or few_groups or offsets.count() <= OFFSETS_BROADCAST_ROWS:
         # without groups the table has one row per partition: bounded
         offsets = F.broadcast(offsets)
     out = tagged.join(offsets, ["_pid", *pcols])

@@ -104,21 +104,25 @@ def timeline(events: DataFrame, results: DataFrame) -> DataFrame:
             .agg(F.sum("n").alias("events")))
 
 
-def attack_matrix(ranked: DataFrame) -> DataFrame:
+def attack_matrix(results: DataFrame) -> DataFrame:
     """ANA8-ANA10: confirmed attacks per technique id with the most frequent name
     (ties: the name met first in ranked order), its tactic and heat fraction.
 
-    The matrix has one row per technique id, bounded by the technique catalog,
-    so the share-of-max window runs over a tiny table.
+    "First in ranked order" is the smallest rank key (severity order,
+    confidence descending, first seen), so no global rank is needed.  The
+    matrix has one row per technique id, bounded by the technique catalog, so
+    the share-of-max window runs over a tiny table.
     """
-    spark = ranked.sparkSession
+    spark = results.sparkSession
     tid, name = F.col("mitre_technique_id"), F.col("mitre_technique_name")
-    per_name = (_attacks(ranked).where(~tid.isin("N/A", ""))
+    rank_key = F.struct(dims.severity_rank(F.col("severity")).alias("s"),
+                        (-F.col("confidence")).alias("c"), F.col("first_seq").alias("f"))
+    per_name = (_attacks(results).where(~tid.isin("N/A", ""))
                 .groupBy(tid.alias("tid"), name.alias("name"))
-                .agg(F.count(F.lit(1)).alias("n"), F.min("rank").alias("first_rank")))
+                .agg(F.count(F.lit(1)).alias("n"), F.min(rank_key).alias("first_key")))
     per_id = per_name.groupBy("tid").agg(
         F.sum("n").alias("alerts"),
-        F.max_by("name", F.struct(F.col("n"), -F.col("first_rank"))).alias("name"))
+        F.min_by("name", F.struct((-F.col("n")).alias("n"), F.col("first_key"))).alias("name"))
     tac = dims.tactics(spark)
     exact = F.broadcast(tac.select(F.col("technique_id").alias("tid"),
                                    F.col("tactic").alias("t1"), F.col("tactic_ord").alias("o1")))

@@ -98,34 +98,82 @@ SUMMARY_UNCLEAR = ("Activity from %s (%d failed / %d successful logins) does not
 # ------------------------------------------------------------------------------
 
 
+def sql_literal(v, t: str) -> str:
+    """A SQL literal of type ``t`` for a Python value (strings quoted, lists as arrays)."""
+    if v is None:
+        return f"CAST(NULL AS {t})"
+    if isinstance(v, list):
+        inner = t[t.index("<") + 1:t.rindex(">")]
+        return f"CAST(array({', '.join(sql_literal(x, inner) for x in v)}) AS {t})"
+    if isinstance(v, str):
+        return "'" + v.replace("\\", "\\\\").replace("'", "\\'") + "'"
+    return f"CAST({v!r} AS {t})"
+
+
+_TABLES: dict[tuple[int, str], DataFrame] = {}
+
+
+def literal_table(spark: SparkSession, rows: list[tuple], schema: str) -> DataFrame:
+    """A small fixed table as one SQL ``VALUES`` relation (JVM-side, no Python
+    RDD, one round trip); cached per session."""
+    key = (id(spark), repr((rows, schema)))
+    if key in _TABLES:
+        return _TABLES[key]
+    fields = [f.strip().split(" ", 1) for f in _split_schema(schema)]
+    names = ", ".join(n for n, _ in fields)
+    if rows:
+        values = ", ".join("(" + ", ".join(sql_literal(v, t) for v, (_, t) in zip(r, fields)) + ")"
+                           for r in rows)
+        df = spark.sql(f"SELECT * FROM VALUES {values} AS t({names})")
+    else:
+        df = spark.sql("SELECT " + ", ".join(f"CAST(NULL AS {t}) AS {n}" for n, t in fields)
+                       + " WHERE false")
+    _TABLES[key] = df
+    return df
+
+
+def _split_schema(schema: str) -> list[str]:
+    """Split 'a int, b array<string>, ...' at top-level commas."""
+    out, depth, cur = [], 0, ""
+    for ch in schema:
+        depth += ch == "<"
+        depth -= ch == ">"
+        if ch == "," and depth == 0:
+            out.append(cur)
+            cur = ""
+        else:
+            cur += ch
+    return out + [cur]
+
+
 def static_intel(spark: SparkSession) -> DataFrame:
-    return spark.createDataFrame(
-        STATIC_INTEL, "ip string, reputation string, tags array<string>, reports_90d int")
+    return literal_table(spark, STATIC_INTEL,
+                         "ip string, reputation string, tags array<string>, reports_90d int")
 
 
 def geo_prefixes(spark: SparkSession) -> DataFrame:
     rows = [(i, p, g) for i, (p, g) in enumerate(GEO_PREFIXES)]
-    return spark.createDataFrame(rows, "ord int, prefix string, geo string")
+    return literal_table(spark, rows, "ord int, prefix string, geo string")
 
 
 def cities(spark: SparkSession) -> DataFrame:
-    return spark.createDataFrame(CITY_COORDS, "city string, lat double, lon double")
+    return literal_table(spark, CITY_COORDS, "city string, lat double, lon double")
 
 
 def tactics(spark: SparkSession) -> DataFrame:
     order = {t: i for i, t in enumerate(TACTIC_ORDER)}
     rows = [(tid, tac, order[tac]) for tid, tac in TACTIC_MAP]
-    return spark.createDataFrame(rows, "technique_id string, tactic string, tactic_ord int")
+    return literal_table(spark, rows, "technique_id string, tactic string, tactic_ord int")
 
 
 def severities(spark: SparkSession) -> DataFrame:
-    return spark.createDataFrame(list(enumerate(SEVERITY_ORDER)), "sev_rank int, severity string")
+    return literal_table(spark, list(enumerate(SEVERITY_ORDER)), "sev_rank int, severity string")
 
 
 def rules(spark: SparkSession) -> DataFrame:
-    return spark.createDataFrame(
-        RULES, "rule_id int, verdict string, severity string, mitre_technique_id string, "
-               "mitre_technique_name string, recommended_actions array<string>")
+    return literal_table(
+        spark, RULES, "rule_id int, verdict string, severity string, mitre_technique_id string, "
+                      "mitre_technique_name string, recommended_actions array<string>")
 
 
 def severity_rank(col) -> F.Column:

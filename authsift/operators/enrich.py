@@ -26,7 +26,7 @@ INTEL_SCHEMA = "ip string, geo string, reputation string, tags array<string>, re
 
 
 def empty_intel(spark) -> DataFrame:
-    return spark.createDataFrame([], INTEL_SCHEMA)
+    return dims.literal_table(spark, [], INTEL_SCHEMA)
 
 
 def prefix_case(ip: F.Column, prefixes: list[tuple[str, str]]) -> F.Column:

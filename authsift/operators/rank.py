@@ -19,7 +19,8 @@ def rank_results(results: DataFrame, by_dataset: bool = True) -> DataFrame:
     ordered = results.withColumn("sev_rank", severity_rank(F.col("severity")))
     return number_rows(ordered, [F.col("sev_rank"), F.col("confidence").desc(),
                                  F.col("first_seq")],
-                       ["dataset"] if by_dataset else [], "rank").drop("sev_rank")
+                       ["dataset"] if by_dataset else [], "rank",
+                       few_groups=True).drop("sev_rank")
 
 
 def verdict_label(verdict: F.Column) -> F.Column:

@@ -1,8 +1,9 @@
 """TRI1-TRI10: rule-based triage of enriched alerts.
 
-One ``rule_id`` CASE (first matching rule wins), then the fixed rule table
-(6 rows, broadcast) supplies verdict, severity, technique and actions; the
-confidence and the summary text are computed per row.
+One ``rule_id`` CASE (first matching rule wins, TRI1-TRI7), then the fixed
+rule table (6 rows, broadcast) supplies verdict, severity, technique and
+actions (TRI9, TRI10); confidence (TRI5) and the summary text (TRI8) are
+computed per row.
 """
 from __future__ import annotations
 
@@ -15,49 +16,47 @@ RESULT_COLUMNS = ["src_ip", "verdict", "severity", "confidence", "mitre_techniqu
                   "mitre_technique_name", "summary", "recommended_actions"]
 
 
-def rule_id() -> F.Column:
-    failed, accepted = F.col("failed_logins"), F.col("successful_logins")
-    probes, users = F.col("connection_probes_no_auth"), F.size("usernames_targeted")
-    internal = F.col("internal_source")
-    return (F.when((probes >= 2) & (failed == 0) & (accepted == 0), 1)
-            .when(F.col("success_after_failures") & ~internal, 2)
-            .when(internal & (failed >= 4) & (users >= 3), 3)
-            .when(((failed >= 4) | ((failed >= 2) & (users >= 3))) & ~internal, 4)
-            .when(internal & (failed <= 2) & (accepted >= 1), 5)
-            .otherwise(6))
-
-
-def confidence(rid: F.Column) -> F.Column:
-    """TRI5 for rule 4; fixed per rule otherwise."""
-    base = F.when(F.col("reputation") == "malicious", 85).otherwise(70)
-    brute = F.when(F.col("max_auth_exceeded_events") > 0, F.least(F.lit(95), base + 5)) \
-        .otherwise(base)
-    return (F.when(rid == 1, 75).when(rid == 2, 90).when(rid == 3, 75).when(rid == 4, brute)
-            .when(rid == 5, 80).otherwise(50))
-
-
-def summary(rid: F.Column) -> F.Column:
-    """TRI8: templated summary text per rule."""
-    ip, failed = F.col("src_ip"), F.col("failed_logins")
-    accepted, users = F.col("successful_logins"), F.size("usernames_targeted")
-    return (
-        F.when(rid == 1, F.format_string(dims.SUMMARY_SCAN, ip, F.col("connection_probes_no_auth"),
-                                         F.size("hosts_targeted")))
-        .when(rid == 2, F.format_string(dims.SUMMARY_COMPROMISE, ip, failed))
-        .when(rid == 3, F.format_string(dims.SUMMARY_SPRAY, ip, users))
-        .when(rid == 4, F.format_string(dims.SUMMARY_BRUTE, ip, failed, users))
-        .when((rid == 5) & (failed > 0), F.format_string(dims.SUMMARY_TYPO, ip, failed))
-        .when(rid == 5, F.format_string(dims.SUMMARY_NORMAL, ip, accepted))
-        .otherwise(F.format_string(dims.SUMMARY_UNCLEAR, ip, failed, accepted)))
+def _q(text: str) -> str:
+    return dims.sql_literal(text, "string")
+
+
+# The rules as SQL expressions: parsed once on the JVM side per query (one
+# round trip each) and evaluated inside whole-stage codegen.
+RULE_ID_SQL = """CASE
+  WHEN connection_probes_no_auth >= 2 AND failed_logins = 0 AND successful_logins = 0 THEN 1
+  WHEN success_after_failures AND NOT internal_source THEN 2
+  WHEN internal_source AND failed_logins >= 4 AND size(usernames_targeted) >= 3 THEN 3
+  WHEN (failed_logins >= 4 OR (failed_logins >= 2 AND size(usernames_targeted) >= 3))
+       AND NOT internal_source THEN 4
+  WHEN internal_source AND failed_logins <= 2 AND successful_logins >= 1 THEN 5
+  ELSE 6 END"""
+
+CONFIDENCE_SQL = """CAST(CASE rule_id
+  WHEN 1 THEN 75 WHEN 2 THEN 90 WHEN 3 THEN 75
+  WHEN 4 THEN CASE WHEN max_auth_exceeded_events > 0
+                   THEN least(95, CASE WHEN reputation = 'malicious' THEN 85 ELSE 70 END + 5)
+                   ELSE CASE WHEN reputation = 'malicious' THEN 85 ELSE 70 END END
+  WHEN 5 THEN 80 ELSE 50 END AS INT)"""
+
+SUMMARY_SQL = f"""CASE rule_id
+  WHEN 1 THEN format_string({_q(dims.SUMMARY_SCAN)}, src_ip, connection_probes_no_auth,
+                            size(hosts_targeted))
+  WHEN 2 THEN format_string({_q(dims.SUMMARY_COMPROMISE)}, src_ip, failed_logins)
+  WHEN 3 THEN format_string({_q(dims.SUMMARY_SPRAY)}, src_ip, size(usernames_targeted))
+  WHEN 4 THEN format_string({_q(dims.SUMMARY_BRUTE)}, src_ip, failed_logins,
+                            size(usernames_targeted))
+  WHEN 5 THEN CASE WHEN failed_logins > 0
+                   THEN format_string({_q(dims.SUMMARY_TYPO)}, src_ip, failed_logins)
+                   ELSE format_string({_q(dims.SUMMARY_NORMAL)}, src_ip, successful_logins) END
+  ELSE format_string({_q(dims.SUMMARY_UNCLEAR)}, src_ip, failed_logins, successful_logins) END"""
 
 
 def triage_rules(enriched: DataFrame, keep: tuple[str, ...] = ("dataset", "first_seq")) -> DataFrame:
     """Enriched alerts -> verdict records (``RESULT_COLUMNS``) plus ``rule_id``
     and the ``keep`` columns (dataset and first-seen key, used for ranking)."""
     spark = enriched.sparkSession
-    rid = rule_id()
-    scored = enriched.select(*keep, "src_ip", rid.alias("rule_id"),
-                             confidence(rid).cast("int").alias("confidence"),
-                             summary(rid).alias("summary"))
+    scored = (enriched.withColumn("rule_id", F.expr(RULE_ID_SQL))
+              .select(*keep, "src_ip", "rule_id", F.expr(CONFIDENCE_SQL).alias("confidence"),
+                      F.expr(SUMMARY_SQL).alias("summary")))
     return (scored.join(F.broadcast(dims.rules(spark)), "rule_id")
             .select(*keep, *RESULT_COLUMNS, "rule_id"))

@@ -335,7 +335,7 @@ FROM pid LEFT JOIN tactics e ON e.technique_id = pid.tid
   LEFT JOIN tactics pa ON pa.technique_id = split_part(pid.tid, '.', 1)""".replace("\n,", ",", 1)))
 def q_attack_matrix(spark, sf_dir):
     """ANA8-ANA10: ATT&CK matrix with tactic fallback and heat fraction."""
-    return A.attack_matrix(ranked(spark, sf_dir))
+    return A.attack_matrix(triaged(spark, sf_dir))
 
 
 @register("top_accounts", O.q(O.TRIAGE, """

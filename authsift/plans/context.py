@@ -102,9 +102,15 @@ class Derived:
         return self.spark.read.parquet(self.labels_path)
 
 
+_READY: dict[tuple[str, str], Derived] = {}
+
+
 def derived(spark: SparkSession, sf_dir: str) -> Derived:
     """Write (once) and return the derived inputs for ``sf_dir``."""
     root = f"{shared_dir(spark)}/authsift-derived/{_source_tag(sf_dir)}"
+    key = (spark.sparkContext.applicationId, root)
+    if key in _READY:
+        return _READY[key]
     ctx = Derived(spark, sf_dir, root)
     if not _exists(spark, ctx.log_path + "/_SUCCESS"):
         # range-sorted by event id: part files in name order = arrival order
@@ -122,4 +128,5 @@ def derived(spark: SparkSession, sf_dir: str) -> Derived:
             .parquet(ctx.security_path)
     if not _exists(spark, ctx.labels_path + "/_SUCCESS"):
         derive_labels(ctx.table("events")).write.mode("overwrite").parquet(ctx.labels_path)
+    _READY[key] = ctx
     return ctx
