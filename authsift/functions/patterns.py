@@ -32,6 +32,16 @@ NO_SUCH_USER = ("0xc0000064", "0xC0000064")
 # --------------------------------------------------------------------------
 
 
+def any_event_line() -> str:
+    """One anchored pattern true exactly for sshd lines whose message matches one
+    of the six message patterns: the envelope up to the message, then a search
+    for any of them (they all start with a letter, so a match lies inside the
+    message).  Built from the fixed patterns above."""
+    prefix = SSHD_LINE[: -len("(.*)$")]
+    alts = "|".join(f"(?:{p})" for p in (FAILED, ACCEPTED, MAX_AUTH, CLOSED_USER, PREAUTH, PROBE))
+    return f"{prefix}.*?(?:{alts})"
+
+
 def java(pattern: str) -> str:
     """Java flavour of a pattern above: Unicode classes and '.' over any char
     but newline, as in Python (lines never contain a newline here)."""
