@@ -166,6 +166,16 @@ def q_geo_lookup(spark, sf_dir):
     return enriched(spark, sf_dir).select("src_ip", "geolocation")
 
 
+@register("geo_prefix_join", O.q(O.ENRICHED, "SELECT src_ip, geolocation FROM enr"))
+def q_geo_prefix_join(spark, sf_dir):
+    """ENR3, general form: the prefix table as a DataFrame, matched by an
+    equi-join on each ip's prefixes of every length present, then min_by."""
+    from ..operators import dims as D
+    ctx = derived(spark, sf_dir)
+    e = enrich(correlate(ctx.events()), intel=ctx.intel(), prefixes=D.geo_prefixes(spark))
+    return e.select("src_ip", "geolocation")
+
+
 @register("intel_lookup", O.q(O.ENRICHED, """
 SELECT src_ip, reputation, tags, reports_90d FROM enr"""))
 def q_intel_lookup(spark, sf_dir):

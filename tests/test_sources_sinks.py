@@ -2,8 +2,8 @@
 import json
 
 from authsift.operators.evaluate import verdict_histogram
-from authsift.sources.sinks import (append_case_updates, write_blocklist, write_iocs,
-                                    write_results)
+from authsift.sources.sinks import (append_case_updates, write_blocklist, write_feedback,
+                                    write_iocs, write_results)
 from authsift.sources.tables import read_intel, read_labels, read_results
 
 
@@ -66,3 +66,12 @@ def test_append_case_updates(spark, tmp):
     append_case_updates(u, f"{tmp}/cases")
     append_case_updates(u.withColumn("update_id", u.update_id + 1), f"{tmp}/cases")
     assert spark.read.parquet(f"{tmp}/cases").where("dataset = 'd1'").count() == 2
+
+
+def test_feedback_csv(spark, tmp):
+    fb = spark.createDataFrame([("d", "1.1.1.1", "true_positive", "👍 agree", "ok")],
+                               "dataset string, src_ip string, ai_verdict string, "
+                               "analyst_feedback string, notes string")
+    write_feedback(fb, f"{tmp}/fb")
+    back = spark.read.csv(f"{tmp}/fb", header=True).collect()
+    assert back[0]["analyst_feedback"] == "👍 agree"
