@@ -42,6 +42,43 @@ def any_event_line() -> str:
     return f"{prefix}.*?(?:{alts})"
 
 
+def group_count(pattern: str) -> int:
+    """Number of capturing groups in one of the patterns above."""
+    n, i = 0, 0
+    while i < len(pattern):
+        c = pattern[i]
+        if c == "\\":
+            i += 2
+            continue
+        if c == "(" and not pattern.startswith("(?", i):
+            n += 1
+        i += 1
+    return n
+
+
+MESSAGE_KINDS = [("failed", FAILED), ("accepted", ACCEPTED), ("max_auth", MAX_AUTH),
+                 ("closed_user", CLOSED_USER), ("preauth", PREAUTH), ("probe", PROBE)]
+
+
+def dispatch_line() -> tuple[str, dict[str, int]]:
+    """The envelope followed by the message patterns as one priority alternation,
+    matching the whole line: ``^ENVELOPE(?:.*?(P1)|.*?(P2)|...).*$``.
+
+    An alternation tries every start position of one pattern before the next
+    pattern, so the first alternative that matches anywhere in the message wins,
+    exactly as a search per pattern in priority order.  Returns the pattern and
+    the group number where each kind's own groups start (its whole-match group
+    is that number minus one); groups 1 and 2 are the time text and the host.
+    """
+    prefix = SSHD_LINE[: -len("(.*)$")]
+    alts, starts, g = [], {}, group_count(prefix)
+    for kind, pat in MESSAGE_KINDS:
+        starts[kind] = g + 2
+        alts.append(f".*?({pat})")
+        g += 1 + group_count(pat)
+    return f"{prefix}(?:{'|'.join(alts)}).*$", starts
+
+
 def java(pattern: str) -> str:
     """Java flavour of a pattern above: Unicode classes and '.' over any char
     but newline, as in Python (lines never contain a newline here)."""

@@ -4,7 +4,6 @@ from __future__ import annotations
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
-from .patterns import SYSLOG_TIME_PREFIX, java
 
 # Characters Python's str.strip() removes, built from the rule ``c.isspace()``
 # (the highest whitespace code point is U+3000).
@@ -16,15 +15,30 @@ def py_strip(col: Column) -> Column:
     return F.btrim(col, F.lit(PY_WHITESPACE))
 
 
+# fixed values: English month abbreviations (the syslog month field)
+MONTHS = ["Jan", "Feb", "Mar", "Apr", "May", "Jun", "Jul", "Aug", "Sep", "Oct", "Nov", "Dec"]
+
+
 def syslog_time(ts_text: Column, year: int) -> Column:
     """Year-less syslog time ('Jun  9 03:01:42') -> TIMESTAMP in ``year``.
 
-    The space-padded day is collapsed first; an unknown month or an impossible
-    date (Feb 29 in a common year) yields NULL instead of failing the job.
+    ``ts_text`` is the envelope's time field (three word characters,
+    whitespace, day digits, one whitespace character, eight clock
+    characters), so the parts are cut by position and assembled with
+    ``try_make_timestamp``: no date-pattern parsing per row.  An unknown month,
+    a clock that is not ``dd:dd:dd`` or an impossible date (Feb 29 in a
+    common year) yields NULL instead of failing the job.
     """
-    prefix = F.regexp_extract(ts_text, java(SYSLOG_TIME_PREFIX), 0)
-    text = F.concat(F.lit(f"{year} "), F.regexp_replace(prefix, r"\s+", " "))
-    return F.when(prefix != "", F.try_to_timestamp(text, F.lit("yyyy MMM d HH:mm:ss")))
+    month = F.lit(None).cast("int")
+    for i, name in reversed(list(enumerate(MONTHS, start=1))):
+        month = F.when(F.substring(ts_text, 1, 3) == name, F.lit(i)).otherwise(month)
+    n = F.length(ts_text)
+    day = py_strip(F.substring(ts_text, F.lit(4), n - 12)).try_cast("int")
+    clock = F.substring(ts_text, -8, 8)
+    part = lambda pos: F.substring(clock, pos, 2).try_cast("int")
+    well_formed = (F.substring(clock, 3, 1) == ":") & (F.substring(clock, 6, 1) == ":")
+    return F.when(well_formed, F.try_make_timestamp(
+        F.lit(year), month, day, part(1), part(4), part(7).cast("decimal(8,6)")))
 
 
 def syslog_hour(ts_text: Column, year: int) -> Column:

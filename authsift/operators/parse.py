@@ -4,12 +4,18 @@ The envelope is one anchored pattern; the message is dispatched to the first
 matching pattern in priority order (failed, accepted, max_auth, closed-user,
 pre-auth, probe).  Unmatched lines are dropped.
 
-Cost per line: one combined pattern (envelope + any message pattern) decides
-whether a line is an event; only kept lines pay for the envelope split, the
-dispatch and the extraction of the matched pattern's fields.  The keep-filter
-reads only ``raw``, so it sits directly on the scan; there is no filter on the
-computed action that Catalyst could push down (and so duplicate) through the
-projections.
+Cost per line, the hot path at scale:
+
+1. one combined pattern (envelope + any message pattern) keeps event lines;
+   this filter reads only ``raw``, so it sits directly on the scan, and there
+   is no filter on a computed column that Catalyst could push down (and so
+   duplicate) through the projections;
+2. for kept lines one ``regexp_replace`` of the whole line with the priority
+   alternation (:func:`patterns.dispatch_line`) writes every capture group,
+   newline-separated, and ``split`` turns that into an array: envelope,
+   action and fields come from a single regex run.  A text line never
+   contains a newline, so the separator cannot collide with captured text;
+   groups that did not take part expand to empty strings.
 """
 from __future__ import annotations
 
@@ -21,19 +27,28 @@ from ..functions.text import syslog_time
 
 ACTIONS = ["failed", "accepted", "max_auth", "preauth_disconnect", "probe"]
 
-# priority order: (code, pattern)
-_DISPATCH = [
-    ("failed", P.FAILED),
-    ("accepted", P.ACCEPTED),
-    ("max_auth", P.MAX_AUTH),
-    ("closed_user", P.CLOSED_USER),
-    ("preauth", P.PREAUTH),
-    ("probe", P.PROBE),
-]
+_DISPATCH, _START = P.dispatch_line()
+_N_GROUPS = P.group_count(_DISPATCH)
+_TEMPLATE = "\n".join(f"${i}" for i in range(1, _N_GROUPS + 1))
+_KEEP = P.java(P.any_event_line())
 
 
-def _rx(msg: Column, pattern: str, group: int) -> Column:
-    return F.regexp_extract(msg, P.java(pattern), group)
+def _parts(raw: Column) -> Column:
+    """All capture groups of the dispatch pattern as an array (1-based)."""
+    return F.split(F.regexp_replace(raw, P.java(_DISPATCH), _TEMPLATE), "\n")
+
+
+def _g(parts: Column, kind: str, i: int) -> Column:
+    """Group ``i`` (1-based) of ``kind``'s own pattern."""
+    return F.element_at(parts, _START[kind] + i - 1)
+
+
+def _kind(parts: Column) -> Column:
+    """PARSE8: the first pattern that matched (its whole-match group is non-empty)."""
+    expr = F.lit(None).cast("string")
+    for kind, _ in reversed(P.MESSAGE_KINDS):
+        expr = F.when(F.element_at(parts, _START[kind] - 1) != "", F.lit(kind)).otherwise(expr)
+    return expr
 
 
 def _by_kind(kind: Column, values: dict[str, Column], default: Column) -> Column:
@@ -43,22 +58,14 @@ def _by_kind(kind: Column, values: dict[str, Column], default: Column) -> Column
     return expr
 
 
-def split_envelope(lines: DataFrame) -> DataFrame:
-    """PARSE1 + PARSE8 drop: keep sshd lines with a recognised message and split
-    them into time text, host, message."""
-    env = P.java(P.SSHD_LINE)
-    return (lines.where(F.col("raw").rlike(P.java(P.any_event_line())))
-            .withColumn("ts_text", F.regexp_extract("raw", env, 1))
-            .withColumn("host", F.regexp_extract("raw", env, 2))
-            .withColumn("msg", F.regexp_extract("raw", env, 3)))
+def _action(kind: Column) -> Column:
+    return _by_kind(kind, {"closed_user": F.lit("preauth_disconnect"),
+                           "preauth": F.lit("preauth_disconnect")}, kind)
 
 
-def classify(msg: Column) -> Column:
-    """PARSE8: first matching message pattern, NULL when none matches."""
-    expr = F.lit(None).cast("string")
-    for code, pattern in reversed(_DISPATCH):
-        expr = F.when(msg.rlike(P.java(pattern)), F.lit(code)).otherwise(expr)
-    return expr
+def keep_events(lines: DataFrame) -> DataFrame:
+    """PARSE1 + PARSE8 drop: sshd lines whose message matches a known pattern."""
+    return lines.where(F.col("raw").rlike(_KEEP))
 
 
 def parse_events(lines: DataFrame, year: int = 2026,
@@ -69,38 +76,38 @@ def parse_events(lines: DataFrame, year: int = 2026,
     none), src_ip, invalid_user, method (NULL when none), raw, log_source.
     ``year`` fills in the year syslog leaves out.
     """
-    env = split_envelope(lines)
-    kinds = env.withColumn("_kind", classify(F.col("msg")))  # never NULL after the keep-filter
-    msg, kind = F.col("msg"), F.col("_kind")
-    user = _by_kind(kind, {
-        "failed": _rx(msg, P.FAILED, 3),
-        "accepted": _rx(msg, P.ACCEPTED, 2),
-        "max_auth": _rx(msg, P.MAX_AUTH, 2),
-        "closed_user": _rx(msg, P.CLOSED_USER, 1),
+    parts = keep_events(lines).withColumn("_p", _parts(F.col("raw")))
+    p = F.col("_p")
+    staged = parts.withColumn("_kind", _kind(p)).withColumn("ts_text", F.element_at(p, 1))
+    kind = F.col("_kind")
+    user = _by_kind(kind, {                                       # PARSE2-PARSE5
+        "failed": _g(p, "failed", 3),
+        "accepted": _g(p, "accepted", 2),
+        "max_auth": _g(p, "max_auth", 2),
+        "closed_user": _g(p, "closed_user", 1),
     }, F.lit(""))
-    ip = _by_kind(kind, {
-        "failed": _rx(msg, P.FAILED, 4),
-        "accepted": _rx(msg, P.ACCEPTED, 3),
-        "max_auth": _rx(msg, P.MAX_AUTH, 3),
-        "closed_user": _rx(msg, P.CLOSED_USER, 2),
-        "preauth": _rx(msg, P.PREAUTH, 1),
-        "probe": F.coalesce(F.nullif(_rx(msg, P.PROBE, 1), F.lit("")), _rx(msg, P.PROBE, 2)),
+    ip = _by_kind(kind, {                                          # PARSE2-PARSE7
+        "failed": _g(p, "failed", 4),
+        "accepted": _g(p, "accepted", 3),
+        "max_auth": _g(p, "max_auth", 3),
+        "closed_user": _g(p, "closed_user", 2),
+        "preauth": _g(p, "preauth", 1),
+        "probe": F.coalesce(F.nullif(_g(p, "probe", 1), F.lit("")), _g(p, "probe", 2)),
     }, F.lit(None).cast("string"))
-    invalid = _by_kind(kind, {
-        "failed": _rx(msg, P.FAILED, 2) != "",
-        "max_auth": _rx(msg, P.MAX_AUTH, 1) != "",
+    invalid = _by_kind(kind, {                                     # PARSE2, PARSE4
+        "failed": _g(p, "failed", 2) != "",
+        "max_auth": _g(p, "max_auth", 1) != "",
     }, F.lit(False))
-    method = _by_kind(kind, {
-        "failed": _rx(msg, P.FAILED, 1),
-        "accepted": _rx(msg, P.ACCEPTED, 1),
+    method = _by_kind(kind, {                                      # PARSE2, PARSE3
+        "failed": _g(p, "failed", 1),
+        "accepted": _g(p, "accepted", 1),
     }, F.lit(None).cast("string"))
-    action = _by_kind(kind, {"closed_user": F.lit("preauth_disconnect"),
-                             "preauth": F.lit("preauth_disconnect")}, kind)
-    return kinds.select(
+    return staged.select(
         "dataset", "seq",
-        syslog_time(F.col("ts_text"), year).alias("event_time"),
-        "ts_text", "host",
-        action.alias("action"),
+        syslog_time(F.col("ts_text"), year).alias("event_time"),  # PARSE9
+        "ts_text",
+        F.element_at(p, 2).alias("host"),
+        _action(kind).alias("action"),
         user.alias("user"),
         ip.alias("src_ip"),
         invalid.alias("invalid_user"),
@@ -113,12 +120,8 @@ def parse_events(lines: DataFrame, year: int = 2026,
 def parse_audit(lines: DataFrame) -> DataFrame:
     """PARSE10: per-action line counts, ``dropped`` for unmatched lines and
     ``total`` for all lines in (one pass, ``rollup`` adds the total)."""
-    env = P.java(P.SSHD_LINE)
-    msg = F.regexp_extract("raw", env, 3)
-    kind = F.when(F.col("raw").rlike(env), classify(msg))
-    action = F.coalesce(_by_kind(kind, {"closed_user": F.lit("preauth_disconnect"),
-                                        "preauth": F.lit("preauth_disconnect")}, kind),
-                        F.lit("dropped"))
+    kind = F.when(F.col("raw").rlike(_KEEP), _kind(_parts(F.col("raw"))))
+    action = F.coalesce(_action(kind), F.lit("dropped"))
     counted = (lines.select(action.alias("action")).rollup("action")
                .agg(F.count(F.lit(1)).alias("lines")))
     return counted.select(F.coalesce("action", F.lit("total")).alias("action"), "lines")

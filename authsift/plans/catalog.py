@@ -228,6 +228,15 @@ def q_ranked_queue(spark, sf_dir):
     return queue_rows(ranked(spark, sf_dir))
 
 
+@register("triage_from_text", O.q(O.TRIAGE, _QUEUE_SQL))
+def q_triage_from_text(spark, sf_dir):
+    """The reference's command-line run end to end from the raw text log:
+    SRC1 -> PARSE -> AGG -> ENR -> TRI -> ranked queue (no parsed-events table)."""
+    from .pipeline import triage_log
+    ctx = derived(spark, sf_dir)
+    return queue_rows(triage_log(ctx.lines(), intel=ctx.intel(), year=YEAR))
+
+
 @register("queue_filter", O.q(O.TRIAGE, """
 SELECT rank, src_ip, severity, verdict, confidence FROM ranked
 WHERE severity IN ('critical', 'high', 'low') AND replace(verdict, '_', ' ') IN ('true positive')

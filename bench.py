@@ -16,6 +16,7 @@ import time
 sys.path.insert(0, os.path.dirname(os.path.abspath(__file__)))
 
 HEADLINE = [
+    "triage_from_text",    # the whole command-line job: text -> ranked queue
     "parse_events",        # text log -> typed events (regex parser)
     "parse_audit",
     "source_alerts",       # two-level correlation
