@@ -42,14 +42,8 @@ def activity_window(events: DataFrame, lines: DataFrame | None = None) -> DataFr
         F.count(F.lit(1)).alias("events"))
     if lines is None:
         return agg
-    n = lines.agg(F.count(F.lit(1)).alias("log_lines"))
-    return _one_row_join(agg, n)
-
-
-def _one_row_join(a: DataFrame, b: DataFrame) -> DataFrame:
-    """Join two single-row aggregates on a constant key (both sides are one row)."""
-    return a.withColumn("_k", F.lit(1)).join(F.broadcast(b.withColumn("_k", F.lit(1))), "_k") \
-        .drop("_k")
+    # the line count is a scalar subquery: no join between the two aggregates
+    return agg.withColumn("log_lines", lines.agg(F.count(F.lit(1))).scalar())
 
 
 def severity_counts(results: DataFrame) -> DataFrame:
