@@ -120,8 +120,12 @@ def parse_events(lines: DataFrame, year: int = 2026,
 def parse_audit(lines: DataFrame) -> DataFrame:
     """PARSE10: per-action line counts, ``dropped`` for unmatched lines and
     ``total`` for all lines in (one pass, ``rollup`` adds the total)."""
-    kind = F.when(F.col("raw").rlike(_KEEP), _kind(_parts(F.col("raw"))))
+    # the dispatch array gets its own projection: inside the CASE conditions
+    # below it would be re-evaluated per branch (no common-subexpression
+    # elimination beyond a CASE's first condition)
+    staged = lines.select(F.when(F.col("raw").rlike(_KEEP), _parts(F.col("raw"))).alias("_p"))
+    kind = F.when(F.col("_p").isNotNull(), _kind(F.col("_p")))
     action = F.coalesce(_action(kind), F.lit("dropped"))
-    counted = (lines.select(action.alias("action")).rollup("action")
+    counted = (staged.select(action.alias("action")).rollup("action")
                .agg(F.count(F.lit(1)).alias("lines")))
     return counted.select(F.coalesce("action", F.lit("total")).alias("action"), "lines")

@@ -623,7 +623,8 @@ from ..streaming import streams as ST  # noqa: E402
 
 def _stream_events(spark: SparkSession, sf_dir: str) -> DataFrame:
     ctx = derived(spark, sf_dir)
-    return ST.stream_events(spark, ctx.log_path, "derived", year=YEAR, files_per_trigger=1)
+    # several files per micro-batch: state still merges across batches
+    return ST.stream_events(spark, ctx.log_path, "derived", year=YEAR, files_per_trigger=4)
 
 
 @register("stream_timeline", O.q(O.PIPE, """

@@ -23,7 +23,7 @@ from ..sources.derived import (derive_auth_lines, derive_case_updates, derive_in
 
 DATASET = "derived"
 YEAR = 2024  # the year of the driver's events table; syslog lines carry none
-FORMAT_VERSION = "v2"
+FORMAT_VERSION = "v4"
 
 
 def _exists(spark: SparkSession, path: str) -> bool:
@@ -33,6 +33,20 @@ def _exists(spark: SparkSession, path: str) -> bool:
     return fs.exists(p)
 
 
+def _order_file_times(spark: SparkSession, folder: str) -> None:
+    """Give the part files of ``folder`` modification times in name order (one
+    second apart), as a rotating logger would: a file-stream source takes
+    files oldest first, so a stream then reads them in arrival order."""
+    jvm = spark.sparkContext._jvm
+    path = jvm.org.apache.hadoop.fs.Path(folder)
+    fs = path.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration())
+    names = sorted(str(st.getPath().toString()) for st in fs.listStatus(path)
+                   if st.getPath().getName().startswith("part-"))
+    base = 1_700_000_000_000
+    for i, name in enumerate(names):
+        fs.setTimes(jvm.org.apache.hadoop.fs.Path(name), base + 1000 * i, -1)
+
+
 def _source_tag(sf_dir: str) -> str:
     events = os.path.join(sf_dir, "events.parquet")
     try:
@@ -113,9 +127,14 @@ def derived(spark: SparkSession, sf_dir: str) -> Derived:
         return _READY[key]
     ctx = Derived(spark, sf_dir, root)
     if not _exists(spark, ctx.log_path + "/_SUCCESS"):
-        # range-sorted by event id: part files in name order = arrival order
-        (derive_auth_lines(ctx.table("events")).orderBy("seq").select("line")
+        # range-partitioned and sorted by event id: part files in name order =
+        # arrival order; at least one file per core so small inputs still
+        # spread over every core (at scale the 128 MB split cap decides)
+        files = max(8, spark.sparkContext.defaultParallelism)
+        (derive_auth_lines(ctx.table("events")).repartitionByRange(files, "seq")
+         .sortWithinPartitions("seq").select("line")
          .write.mode("overwrite").text(ctx.log_path))
+        _order_file_times(spark, ctx.log_path)
     if not _exists(spark, ctx.events_path + "/_SUCCESS"):
         parse_events(ctx.lines(), year=YEAR).write.mode("overwrite").parquet(ctx.events_path)
     if not _exists(spark, ctx.intel_path + "/_SUCCESS"):
