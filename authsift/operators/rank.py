@@ -52,3 +52,14 @@ def filter_queue(results: DataFrame, severities: Iterable[str] = (),
     if ip_query:
         cond = cond & F.col("src_ip").contains(ip_query)
     return results.where(cond)
+
+
+def filter_counts(results: DataFrame, severities: Iterable[str] = (),
+                  verdicts: Iterable[str] = (), ip_query: str = "") -> DataFrame:
+    """FLT1: matched and total alert counts for a queue filter (one aggregate)."""
+    sev = list(severities) or SEVERITY_ORDER
+    ver = list(verdicts) or [v.replace("_", " ") for v in VERDICTS]
+    cond = F.col("severity").isin(sev) & verdict_label(F.col("verdict")).isin(ver)
+    if ip_query:
+        cond = cond & F.col("src_ip").contains(ip_query)
+    return results.agg(F.count_if(cond).alias("matched"), F.count(F.lit(1)).alias("total"))

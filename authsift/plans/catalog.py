@@ -16,7 +16,7 @@ from pyspark.sql import functions as F
 from ..operators.correlate import correlate, raw_evidence
 from ..operators.enrich import enrich
 from ..operators.parse import parse_audit, parse_events
-from ..operators.rank import filter_queue, queue_rows, rank_results
+from ..operators.rank import filter_counts, filter_queue, queue_rows, rank_results
 from ..operators.rules import triage_rules
 from . import oracle as O
 from .context import YEAR, derived
@@ -247,6 +247,17 @@ def q_queue_filter(spark, sf_dir):
                         ".1.").select("rank", "src_ip", "severity", "verdict", "confidence")
 
 
+@register("queue_filter_counts", O.q(O.TRIAGE, """
+SELECT CAST(count_if(severity IN ('critical', 'high', 'low')
+                     AND replace(verdict, '_', ' ') IN ('true positive')
+                     AND contains(src_ip, '.1.')) AS BIGINT) AS matched,
+  CAST(count(*) AS BIGINT) AS total FROM triage"""))
+def q_queue_filter_counts(spark, sf_dir):
+    """FLT1: "N of M alerts match" for the same filter."""
+    return filter_counts(triaged(spark, sf_dir), ["critical", "high", "low"], ["true positive"],
+                         ".1.")
+
+
 # --- step 5: analytics ----------------------------------------------------------------------------
 from ..operators import analytics as A  # noqa: E402
 from ..operators import evaluate as EV  # noqa: E402
