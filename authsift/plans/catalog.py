@@ -324,14 +324,14 @@ def q_active_sources(spark, sf_dir):
     return A.active_sources(alerts(spark, sf_dir))
 
 
-@register("attack_origins", O.q(O.TRIAGE, f"""
-, cities(city, lat, lon) AS (VALUES {_CITIES_SQL})
+@register("attack_origins", O.q(O.TRIAGE + (f"""
+cities(city, lat, lon) AS (VALUES {_CITIES_SQL})""",), """
 SELECT c.city, c.lat, c.lon, CAST(x.attacks AS BIGINT) AS attacks,
   90000.0 + 130000.0 * sqrt(x.attacks) AS radius
 FROM (SELECT trim(split_part(substr(geolocation, strpos(geolocation, '—') + 1), '(', 1)) AS city,
              count(*) AS attacks
       FROM triage WHERE verdict = 'true_positive' AND contains(geolocation, '—') GROUP BY 1) x
-JOIN cities c USING (city)""").replace("\n\n,", ",", 1).replace("\n,", ",", 1))
+JOIN cities c USING (city)"""))
 def q_attack_origins(spark, sf_dir):
     """ANA6: confirmed attacks per city with bubble radius."""
     return A.attack_origins(*results_and_alerts(spark, sf_dir))
@@ -347,22 +347,23 @@ def q_timeline(spark, sf_dir):
     return t.select(_ts("hour").alias("hour"), "severity", "events")
 
 
-@register("attack_matrix", O.q(O.TRIAGE, f"""
-, tactics(technique_id, tactic, tactic_ord) AS (VALUES {_TACTICS_SQL}),
+@register("attack_matrix", O.q(O.TRIAGE + (f"""
+tactics(technique_id, tactic, tactic_ord) AS (VALUES {_TACTICS_SQL})""", """
 pn AS (
   SELECT mitre_technique_id AS tid, mitre_technique_name AS name, count(*) AS n, min(rank) AS fr
   FROM ranked WHERE verdict = 'true_positive' AND mitre_technique_id NOT IN ('N/A', '')
   GROUP BY 1, 2
-), pid AS (
+)""", """
+pid AS (
   SELECT tid, CAST(sum(n) AS BIGINT) AS alerts, first(name ORDER BY n DESC, fr ASC) AS name
   FROM pn GROUP BY tid
-)
+)"""), f"""
 SELECT coalesce(e.tactic, pa.tactic, 'Other') AS tactic,
   coalesce(e.tactic_ord, pa.tactic_ord, {dims.TACTIC_ORDER.index('Other')}) AS tactic_ord,
   pid.tid AS technique_id, pid.tid || ' — ' || pid.name AS technique, pid.alerts,
   round(pid.alerts / max(pid.alerts) OVER (), 6) AS heat
 FROM pid LEFT JOIN tactics e ON e.technique_id = pid.tid
-  LEFT JOIN tactics pa ON pa.technique_id = split_part(pid.tid, '.', 1)""".replace("\n,", ",", 1)))
+  LEFT JOIN tactics pa ON pa.technique_id = split_part(pid.tid, '.', 1)"""))
 def q_attack_matrix(spark, sf_dir):
     """ANA8-ANA10: ATT&CK matrix with tactic fallback and heat fraction."""
     return A.attack_matrix(triaged(spark, sf_dir))
@@ -536,7 +537,7 @@ LEFT JOIN (SELECT src_ip, string_agg("user", ',' ORDER BY f) AS users
   USING (src_ip)
 LEFT JOIN (SELECT src_ip, string_agg(host, ',' ORDER BY f) AS hosts
            FROM (SELECT src_ip, host, min(ts_text) AS f FROM win GROUP BY 1, 2) x GROUP BY 1) h
-  USING (src_ip)""".replace("win AS", "win AS")))
+  USING (src_ip)"""))
 def q_union_sources(spark, sf_dir):
     """TAG1: sshd and Windows events in one auth_events table, correlated per source."""
     both = events(spark, sf_dir).unionByName(windows_events(spark, sf_dir))
@@ -638,12 +639,12 @@ def _stream_events(spark: SparkSession, sf_dir: str) -> DataFrame:
     return ST.stream_events(spark, ctx.log_path, "derived", year=YEAR, files_per_trigger=4)
 
 
-@register("stream_timeline", O.q(O.PIPE, """
-, mx AS (SELECT max(event_time) - INTERVAL 1 HOUR AS wm FROM parsed)
+@register("stream_timeline", O.q(O.PIPE + ("""
+mx AS (SELECT max(event_time) - INTERVAL 1 HOUR AS wm FROM parsed)""",), """
 SELECT strftime(date_trunc('hour', event_time), '%Y-%m-%d %H:%M:%S') AS hour, action,
   CAST(count(*) AS BIGINT) AS events
 FROM parsed, mx WHERE date_trunc('hour', event_time) + INTERVAL 1 HOUR <= mx.wm
-GROUP BY 1, 2""".replace("\n,", ",", 1)))
+GROUP BY 1, 2"""))
 def q_stream_timeline(spark, sf_dir):
     """STR1, STR2: hourly counts per action from a watermarked stream (closed hours)."""
     out = ST.run_available_now(ST.stream_timeline(_stream_events(spark, sf_dir)), "timeline")
@@ -662,23 +663,24 @@ def q_stream_alerts(spark, sf_dir):
     return _flat_alerts(_stream_alert_state(spark, sf_dir))
 
 
-@register("stream_sessions", O.q(O.PIPE, """
-, mx AS (SELECT max(event_time) - INTERVAL 1 HOUR AS wm FROM parsed),
+@register("stream_sessions", O.q(O.PIPE + ("""
+mx AS (SELECT max(event_time) - INTERVAL 1 HOUR AS wm FROM parsed)""", """
 brk AS (
   SELECT src_ip, event_time, action,
     CASE WHEN event_time - lag(event_time) OVER (PARTITION BY src_ip ORDER BY event_time)
               < INTERVAL 30 MINUTE THEN 0 ELSE 1 END AS b
   FROM parsed
-), sess AS (
+)""", """
+sess AS (
   SELECT *, sum(b) OVER (PARTITION BY src_ip ORDER BY event_time ROWS UNBOUNDED PRECEDING) AS sid
   FROM brk
-)
+)"""), """
 SELECT src_ip, strftime(min(event_time), '%Y-%m-%d %H:%M:%S') AS session_start,
   strftime(max(event_time) + INTERVAL 30 MINUTE, '%Y-%m-%d %H:%M:%S') AS session_end,
   CAST(count(*) AS BIGINT) AS events, CAST(count_if(action = 'failed') AS BIGINT) AS failed,
   CAST(count_if(action = 'accepted') AS BIGINT) AS accepted
 FROM sess, mx GROUP BY src_ip, sid, mx.wm
-HAVING max(event_time) + INTERVAL 30 MINUTE <= mx.wm""".replace("\n,", ",", 1)))
+HAVING max(event_time) + INTERVAL 30 MINUTE <= mx.wm"""))
 def q_stream_sessions(spark, sf_dir):
     """STR4: per-source activity sessions (30-minute gap), closed sessions only."""
     out = ST.run_available_now(ST.stream_sessions(_stream_events(spark, sf_dir)), "sessions")
