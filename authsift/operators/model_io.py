@@ -89,16 +89,28 @@ def score_with(enriched: DataFrame, scorer: Scorer, parallelism: int | None = No
     return src.mapInPandas(run, RESULT_SCHEMA)
 
 
+# broadcast the per-attack header only below this many rows (checked by a count)
+HEADER_BROADCAST_ROWS = 1_000_000
+
+
 def incident_evidence(results: DataFrame, alerts: DataFrame, evidence: DataFrame) -> DataFrame:
     """MOD4: per confirmed attack, the alert and verdict as JSON plus its ordered
-    raw lines, one row per line (a source's lines are never gathered in one row)."""
+    raw lines, one row per line (a source's lines are never gathered in one row).
+
+    The evidence table is range-partitioned by (source, line), so a source that
+    owns a third of all lines is already spread over many partitions.  The
+    per-attack header is broadcast when its counted size allows, which keeps that
+    spread; beyond the bound it is a regular join (AQE splits a skewed side)."""
     keys = ["dataset", "src_ip"]
     att = results.where(F.col("verdict") == "true_positive")
     head = att.select(*keys, "severity", "mitre_technique_id",
                       F.to_json(F.struct(*[c for c in RESULT_SCHEMA_COLS
                                            if c in att.columns])).alias("triage_json"))
     ctx = alerts.select(*keys, alert_json(alerts).alias("alert_json"))
-    return head.join(ctx, keys).join(evidence, keys)
+    header = head.join(ctx, keys).persist()  # alert-sized; the count fills it
+    if header.count() <= HEADER_BROADCAST_ROWS:
+        header = F.broadcast(header)
+    return evidence.join(header, keys)
 
 
 RESULT_SCHEMA_COLS = [c.split()[0] for c in RESULT_SCHEMA.split(", ")]
