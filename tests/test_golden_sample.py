@@ -119,3 +119,15 @@ def test_raw_evidence_order(sample):
     ev = raw_evidence(events).where(F.col("src_ip") == "10.0.0.31").orderBy("line_no").collect()
     assert [r["line_no"] for r in ev] == [1, 2, 3]
     assert "Accepted password" in ev[0]["raw"] and "Failed password" in ev[1]["raw"]
+
+
+def test_run_batch_writes_tables(spark, tmp):
+    from authsift.plans.pipeline import run_batch
+    lines = read_auth_log(spark, fixture("sample_auth.log"), "sample")
+    paths = run_batch(lines, f"{tmp}/out")
+    res = spark.read.json(paths["results"]).orderBy("rank").collect()
+    assert [r["src_ip"] for r in res] == [e[1] for e in EXPECTED]
+    assert spark.read.parquet(paths["events"]).count() == 39
+    assert sorted(r[0] for r in spark.read.text(paths["blocklist"]).collect()) == \
+        sorted(["198.51.100.23", "185.220.101.7", "91.240.118.172", "203.0.113.45"])
+    assert spark.read.csv(paths["iocs"], header=True).count() == 4
