@@ -13,7 +13,6 @@ import os
 from dataclasses import dataclass
 
 from pyspark.sql import DataFrame, SparkSession
-from pyspark.sql import functions as F
 
 from ..operators.parse import parse_events
 from ..session import shared_dir

@@ -6,7 +6,6 @@ setting is missing on a ``local`` master (tests, bench).
 """
 from __future__ import annotations
 
-import os
 import tempfile
 
 from pyspark.sql import SparkSession
