@@ -2,15 +2,18 @@
 
 Order is data in an auth log: "first", "last", "failed *then* accepted" are
 defined by position in the file, not by the time value.  Spark rows have no
-order, so every event carries ``seq``, a sortable struct attached on the scan:
+order, so every event carries ``seq``, one BIGINT attached on the scan:
 
-    seq = struct(t, file, block, row)
+    seq = file_rank << 40  |  (split start offset + row index inside the split)
 
-``t`` is a primary sort text (empty for sshd files, the event time for
-exported Windows events, which the reference sorts by time first), ``file``
-and ``block`` come from ``_metadata``, ``row`` from
-``monotonically_increasing_id()`` (increasing inside one split).  All
-order-dependent logic is min/max over ``seq``, so it stays partial-aggregable.
+``file_rank`` is the file's place in the sorted list of the scan's input files
+(broadcast: its size is the number of files, which the driver already holds
+for the scan).  Inside a file the second part strictly increases: a split
+holds at most as many lines as bytes, so its last row stays below the next
+split's start offset.  Only a file's last (short) split can share a task with
+other splits, which adds a constant to it and keeps the order.  A single
+BIGINT keeps every order-dependent aggregate (min / max / min_by over
+``seq``) on fixed-width buffers; a struct key measured about 2x slower.
 
 ``number_rows`` gives dense 1-based positions (a global rank, or a rank inside
 groups) without a single-partition window: it range-sorts, checkpoints the
@@ -21,6 +24,7 @@ from __future__ import annotations
 
 from collections.abc import Sequence
 
+import pandas as pd
 from pyspark import StorageLevel
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
@@ -29,16 +33,27 @@ from ..session import shared_dir
 
 # broadcast the offset table only below this many rows (checked by a count)
 OFFSETS_BROADCAST_ROWS = 2_000_000
+POS_BITS = 40          # positions inside one file (about 1.1e12 bytes)
+FILE_BITS = 23         # files per scan (about 8.4 million)
 
 
-def order_key(t: Column | None = None) -> Column:
-    """The ``seq`` struct for a file scan (must be attached on the scan itself)."""
-    return F.struct(
-        (t if t is not None else F.lit("")).alias("t"),
-        F.col("_metadata.file_path").alias("file"),
-        F.col("_metadata.file_block_start").alias("block"),
-        F.monotonically_increasing_id().alias("row"),
-    )
+def with_arrival(scan: DataFrame, name: str = "seq") -> DataFrame:
+    """Add the BIGINT arrival key ``name`` to a freshly read file scan
+    (text, CSV, JSON lines); must be applied to the scan itself."""
+    spark = scan.sparkSession
+    files = sorted(scan.inputFiles())
+    if len(files) >= 1 << FILE_BITS:
+        raise ValueError(f"{len(files)} input files exceed the arrival key's file field; "
+                         "split the dataset")
+    ranks = spark.createDataFrame(pd.DataFrame({"_file": files, "_rank": range(len(files))}))
+    local_row = F.monotonically_increasing_id() - F.shiftleft(
+        F.spark_partition_id().cast("bigint"), 33)
+    located = scan.select("*", F.input_file_name().alias("_file"),
+                          (F.col("_metadata.file_block_start") + local_row).alias("_pos"))
+    keyed = located.join(F.broadcast(ranks), "_file")
+    return (keyed.withColumn(name, F.shiftleft(F.col("_rank").cast("bigint"), POS_BITS)
+                             + F.col("_pos"))
+            .drop("_file", "_pos", "_rank"))
 
 
 def number_rows(df: DataFrame, order_by: Sequence[Column | str],

@@ -22,7 +22,7 @@ from ..sources.derived import (derive_auth_lines, derive_case_updates, derive_in
 
 DATASET = "derived"
 YEAR = 2024  # the year of the driver's events table; syslog lines carry none
-FORMAT_VERSION = "v4"
+FORMAT_VERSION = "v5"
 
 
 def _exists(spark: SparkSession, path: str) -> bool:

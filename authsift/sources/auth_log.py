@@ -4,7 +4,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from ..functions.ordering import order_key
+from ..functions.ordering import with_arrival
 from ..functions.text import py_strip
 
 
@@ -16,8 +16,8 @@ def read_auth_log(spark: SparkSession, path: str | list[str], dataset: str) -> D
     filter or shuffle can reorder rows.
     """
     paths = [path] if isinstance(path, str) else list(path)
-    lines = spark.read.text(paths)
-    return lines.select(F.lit(dataset).alias("dataset"), order_key().alias("seq"),
+    lines = with_arrival(spark.read.text(paths), "seq")
+    return lines.select(F.lit(dataset).alias("dataset"), "seq",
                         py_strip(F.col("value")).alias("raw"))
 
 

@@ -9,8 +9,10 @@ Two entry points:
   filters over a raw security-event table, so it pushes down to parquet.
 
 :func:`logon_events` maps result rows to the shared ``auth_events`` shape.
-Correlation needs chronological order: the order key sorts by the time text
-first and by arrival second (a stable sort, WIN9).
+Correlation needs chronological order (WIN9): the order key is the event
+time in milliseconds shifted left by 21 bits, plus the low 21 bits of the
+arrival key, so events sort by time and, inside one millisecond, by arrival
+(exact up to two million events sharing a millisecond).
 """
 from __future__ import annotations
 
@@ -19,7 +21,7 @@ from datetime import datetime, timedelta
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from ..functions.ordering import order_key
+from ..functions.ordering import with_arrival
 from ..functions.patterns import NO_SUCH_USER
 
 LOG_SOURCE = "windows_ad"
@@ -31,7 +33,7 @@ EXPORT_SCHEMA = f"preview boolean, result {RESULT_SCHEMA}"
 def read_logon_export(spark: SparkSession, path: str | list[str]) -> DataFrame:
     """Export lines -> ``seq, result.*`` rows (only lines with a ``result``)."""
     paths = [path] if isinstance(path, str) else list(path)
-    raw = spark.read.text(paths).select(order_key().alias("_arrival"), "value")
+    raw = with_arrival(spark.read.text(paths), "_arrival").select("_arrival", "value")
     parsed = raw.select("_arrival", F.from_json("value", EXPORT_SCHEMA,
                                                 {"mode": "PERMISSIVE"}).alias("j"))
     return parsed.where(F.col("j.result").isNotNull()).select("_arrival", "j.result.*")
@@ -45,9 +47,8 @@ def logon_events(results: DataFrame, dataset: str) -> DataFrame:
     raw = F.concat(time_text, F.lit(" "), F.coalesce(F.col("host"), F.lit("")),
                    F.lit(" EventCode="), code, F.lit(" account="), account,
                    F.lit(" src="), src, F.lit(" logon_type="), logon_type)
-    arrival = F.col("_arrival")
-    seq = F.struct(time_text.alias("t"), arrival["file"].alias("file"),
-                   arrival["block"].alias("block"), arrival["row"].alias("row"))
+    millis = F.coalesce(F.unix_millis(F.try_to_timestamp(F.col("_time"))), F.lit(0))
+    seq = F.shiftleft(millis, 21) + (F.col("_arrival") % (1 << 21))
     return (results.where((src != "") & (account != "") & code.isin("4624", "4625"))
             .select(F.lit(dataset).alias("dataset"), seq.alias("seq"),
                     F.try_to_timestamp(F.col("_time")).alias("event_time"),
@@ -86,9 +87,7 @@ def select_logon_events(security: DataFrame, now: datetime,
               .where(F.col("source").contains("Security"))
               .where((code == "4625") | ((code == "4624") & lt.isin("3", "10"))))
     out = (picked.select(
-        F.struct(F.date_format("event_time", "yyyy-MM-dd'T'HH:mm:ss.SSSxxx").alias("t"),
-                 F.lit("").alias("file"), F.lit(0).cast("bigint").alias("block"),
-                 F.monotonically_increasing_id().alias("row")).alias("_arrival"),
+        F.monotonically_increasing_id().alias("_arrival"),
         F.date_format("event_time", "yyyy-MM-dd'T'HH:mm:ss.SSSxxx").alias("_time"),
         "host", "EventCode", account.alias("account"), src.alias("src"), "Logon_Type",
         "Sub_Status")

@@ -4,7 +4,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from ..functions.ordering import order_key
+from ..functions.ordering import with_arrival
 from ..operators.enrich import INTEL_SCHEMA
 from ..operators.evaluate import last_per_key
 
@@ -38,8 +38,7 @@ def read_labels(spark: SparkSession, path: str | None) -> DataFrame:
     if not path:
         return spark.createDataFrame([], LABEL_SCHEMA)
     try:
-        raw = spark.read.schema(LABEL_SCHEMA).csv(path, header=True)
-        raw = raw.select(order_key().alias("seq"), "*")
+        raw = with_arrival(spark.read.schema(LABEL_SCHEMA).csv(path, header=True), "seq")
         raw.schema  # noqa: B018 - resolve now so a missing file is caught here
     except Exception as exc:  # pyspark AnalysisException: path does not exist
         if "PATH_NOT_FOUND" in str(exc) or "does not exist" in str(exc):
