@@ -9,9 +9,9 @@ Two aggregation levels, two shuffles, one pass over the events:
 2. those rows are aggregated by (dataset, src_ip).
 
 Order-dependent fields are min/max over the BIGINT arrival key ``seq`` (see
-:mod:`authsift.functions.ordering`): first/last seen are ``min_by``/``max_by``; "success after failures" is
-``min(seq of failed) < max(seq of accepted)`` (any accepted after any failed,
-per source across accounts).  The ordered distinct lists hold one entry per
+:mod:`authsift.functions.ordering`): first/last seen are ``min_by`` /
+``max_by``; "success after failures" is ``min(seq of failed) < max(seq of
+accepted)`` (any accepted after any failed, per source across accounts).  The ordered distinct lists hold one entry per
 distinct user/host of a source, never one per event.
 """
 from __future__ import annotations
