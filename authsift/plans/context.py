@@ -10,6 +10,8 @@ from __future__ import annotations
 
 import hashlib
 import os
+import uuid
+from collections.abc import Callable
 from dataclasses import dataclass
 
 from pyspark.sql import DataFrame, SparkSession
@@ -22,7 +24,7 @@ from ..sources.derived import (derive_auth_lines, derive_case_updates, derive_in
 
 DATASET = "derived"
 YEAR = 2024  # the year of the driver's events table; syslog lines carry none
-FORMAT_VERSION = "v5"
+FORMAT_VERSION = "v6"
 
 
 def _exists(spark: SparkSession, path: str) -> bool:
@@ -32,6 +34,21 @@ def _exists(spark: SparkSession, path: str) -> bool:
     return fs.exists(p)
 
 
+def _publish(spark: SparkSession, path: str, write: Callable[[str], None]) -> None:
+    """Write a derived table once: into a fresh sibling folder, then renamed into
+    place, so readers never see a half-written table and a concurrent writer
+    that loses the race simply keeps the winner's copy."""
+    if _exists(spark, path + "/_SUCCESS"):
+        return
+    tmp = f"{path}.tmp-{uuid.uuid4().hex[:8]}"
+    write(tmp)
+    jvm = spark.sparkContext._jvm
+    dst = jvm.org.apache.hadoop.fs.Path(path)
+    fs = dst.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration())
+    if not fs.exists(dst):
+        fs.rename(jvm.org.apache.hadoop.fs.Path(tmp), dst)
+
+
 def _order_file_times(spark: SparkSession, folder: str) -> None:
     """Give the part files of ``folder`` modification times in name order (one
     second apart), as a rotating logger would: a file-stream source takes
@@ -125,26 +142,27 @@ def derived(spark: SparkSession, sf_dir: str) -> Derived:
     if key in _READY:
         return _READY[key]
     ctx = Derived(spark, sf_dir, root)
-    if not _exists(spark, ctx.log_path + "/_SUCCESS"):
+    events = ctx.table("events")
+
+    def write_log(path: str) -> None:
         # range-partitioned and sorted by event id: part files in name order =
         # arrival order; at least one file per core so small inputs still
         # spread over every core (at scale the 128 MB split cap decides)
         files = max(8, spark.sparkContext.defaultParallelism)
-        (derive_auth_lines(ctx.table("events")).repartitionByRange(files, "seq")
-         .sortWithinPartitions("seq").select("line")
-         .write.mode("overwrite").text(ctx.log_path))
-        _order_file_times(spark, ctx.log_path)
-    if not _exists(spark, ctx.events_path + "/_SUCCESS"):
-        parse_events(ctx.lines(), year=YEAR).write.mode("overwrite").parquet(ctx.events_path)
-    if not _exists(spark, ctx.intel_path + "/_SUCCESS"):
-        derive_intel(ctx.table("events")).write.mode("overwrite").parquet(ctx.intel_path)
-    if not _exists(spark, ctx.cases_path + "/_SUCCESS"):
-        derive_case_updates(ctx.table("events")).write.mode("overwrite") \
-            .partitionBy("dataset").parquet(ctx.cases_path)
-    if not _exists(spark, ctx.security_path + "/_SUCCESS"):
-        derive_security_events(ctx.table("events")).write.mode("overwrite") \
-            .parquet(ctx.security_path)
-    if not _exists(spark, ctx.labels_path + "/_SUCCESS"):
-        derive_labels(ctx.table("events")).write.mode("overwrite").parquet(ctx.labels_path)
+        (derive_auth_lines(events).repartitionByRange(files, "seq")
+         .sortWithinPartitions("seq").select("line").write.mode("overwrite").text(path))
+        _order_file_times(spark, path)
+
+    _publish(spark, ctx.log_path, write_log)
+    _publish(spark, ctx.events_path, lambda p: parse_events(ctx.lines(), year=YEAR)
+             .write.mode("overwrite").parquet(p))
+    _publish(spark, ctx.intel_path, lambda p: derive_intel(events)
+             .write.mode("overwrite").parquet(p))
+    _publish(spark, ctx.cases_path, lambda p: derive_case_updates(events)
+             .write.mode("overwrite").partitionBy("dataset").parquet(p))
+    _publish(spark, ctx.security_path, lambda p: derive_security_events(events)
+             .write.mode("overwrite").parquet(p))
+    _publish(spark, ctx.labels_path, lambda p: derive_labels(events)
+             .write.mode("overwrite").parquet(p))
     _READY[key] = ctx
     return ctx
