@@ -52,8 +52,7 @@ def read_labels(spark: SparkSession, path: str | None) -> DataFrame:
 def read_results(spark: SparkSession, path: str, multiline: bool = True) -> DataFrame:
     """SRC5: stored verdict records (a JSON array, or JSON lines); duplicate ips
     keep the last record."""
-    raw = spark.read.schema(RESULT_SCHEMA).json(path, multiLine=multiline)
-    raw = raw.select(F.monotonically_increasing_id().alias("_seq"), "*")
+    raw = with_arrival(spark.read.schema(RESULT_SCHEMA).json(path, multiLine=multiline), "_seq")
     cols = [c for c in raw.columns if c not in ("_seq", "src_ip")]
     return raw.groupBy("src_ip").agg(
         *[F.max_by(c, "_seq").alias(c) for c in cols])
