@@ -11,7 +11,9 @@ order, so every event carries ``seq``, one BIGINT attached on the scan:
 for the scan).  Inside a file the second part strictly increases: a split
 holds at most as many lines as bytes, so its last row stays below the next
 split's start offset.  Only a file's last (short) split can share a task with
-other splits, which adds a constant to it and keeps the order.  A single
+other splits, which adds a constant to it and keeps the order.  (Gzip files
+are one split each; for splittable bzip2 text the argument assumes at least
+one compressed byte per line.)  A single
 BIGINT keeps every order-dependent aggregate (min / max / min_by over
 ``seq``) on fixed-width buffers; a struct key measured about 2x slower.
 

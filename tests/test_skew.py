@@ -40,3 +40,28 @@ def test_hot_source_numbering_and_counts(spark, tmp):
         assert ns == list(range(1, ev.count() + 1))
     finally:
         spark.conf.unset("spark.sql.files.maxPartitionBytes")
+
+
+def test_arrival_key_with_packed_small_files(spark, tmp):
+    """Several small files share one task: the key still orders by (file, line)."""
+    from authsift.sources.auth_log import read_auth_log
+    import os
+    os.makedirs(f"{tmp}/many")
+    for f in range(6):
+        with open(f"{tmp}/many/f{f}.log", "w") as out:
+            for i in range(50):
+                out.write(f"Jun  9 10:00:{i:02d} h sshd[{f * 100 + i}]: x\n")
+    spark.conf.set("spark.sql.files.openCostInBytes", "1")
+    spark.conf.set("spark.sql.files.maxPartitionBytes", str(1 << 20))
+    spark.conf.set("spark.sql.files.minPartitionNum", "1")
+    try:
+        lines = read_auth_log(spark, f"{tmp}/many/*.log", "m")
+        assert lines.rdd.getNumPartitions() < 6  # files were packed together
+        rows = lines.orderBy("seq").collect()
+        pids = [int(r["raw"].split("sshd[")[1].split("]")[0]) for r in rows]
+        assert pids == sorted(pids) and len(pids) == 300
+        assert len({r["seq"] for r in rows}) == 300
+    finally:
+        spark.conf.unset("spark.sql.files.openCostInBytes")
+        spark.conf.unset("spark.sql.files.maxPartitionBytes")
+        spark.conf.unset("spark.sql.files.minPartitionNum")
