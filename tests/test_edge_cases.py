@@ -105,3 +105,34 @@ def test_evaluation_edges(spark):
     empty = spark.createDataFrame([], "src_ip string, verdict string")
     r = precision_recall(empty, empty.withColumn("notes", F.lit(""))).collect()
     assert r[0]["precision"] == 0.0 and r[0]["recall"] == 0.0
+
+
+def test_first_last_seen_exact_for_non_canonical_times(spark, tmp):
+    """Texts that are not canonical syslog/ISO renderings stay exact."""
+    path = f"{tmp}/odd.log"
+    with open(path, "w") as f:
+        f.write("Jun 09 03:01:42 h sshd[1]: Failed password for a from 5.5.5.5 port 22 ssh2\n")
+        f.write("Jun 9 03:01:43 h sshd[2]: Failed password for a from 5.5.5.5 port 22 ssh2\n")
+        f.write("Jun  9\t03:01:44 h sshd[3]: Failed password for a from 6.6.6.6 port 22 ssh2\n")
+        f.write("Jun  9 03:01:45 h sshd[4]: Failed password for a from 6.6.6.6 port 22 ssh2\n")
+    a = {r["src_ip"]: r for r in correlate(parse_events(read_auth_log(spark, path, "o"))).collect()}
+    assert (a["5.5.5.5"]["first_seen"], a["5.5.5.5"]["last_seen"]) == \
+        ("Jun 09 03:01:42", "Jun 9 03:01:43")
+    assert (a["6.6.6.6"]["first_seen"], a["6.6.6.6"]["last_seen"]) == \
+        ("Jun  9\t03:01:44", "Jun  9 03:01:45")
+
+
+def test_first_last_seen_iso_offsets(spark):
+    from authsift.sources.logon_export import logon_events
+    rows = [("2026-06-09T09:12:01.000+05:30", "4625", "a", "7.7.7.7"),
+            ("2026-06-09T04:00:00Z", "4625", "b", "7.7.7.7"),
+            ("2026-06-09T10:12:01.250-02:00", "4624", "a", "7.7.7.7")]
+    df = spark.createDataFrame(
+        [(0, t, "DC01", c, acc, ip, "3", None) for t, c, acc, ip in rows],
+        "_arrival long, _time string, host string, EventCode string, account string, "
+        "src string, Logon_Type string, Sub_Status string")
+    a = correlate(logon_events(df, "w")).collect()[0]
+    # time order: 03:42:01Z (+05:30 text), 04:00:00Z, 12:12:01.250Z (-02:00 text)
+    assert a["first_seen"] == "2026-06-09T09:12:01.000+05:30"
+    assert a["last_seen"] == "2026-06-09T10:12:01.250-02:00"
+    assert a["success_after_failures"] is True
