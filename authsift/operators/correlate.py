@@ -27,10 +27,12 @@ def _count(cond) -> F.Column:
 
 
 def _ordered_values(kind: str) -> F.Column:
-    """Distinct values of one kind in first-seen order (empty users skipped)."""
+    """Distinct values of one kind in first-seen order (empty users skipped).
+    A value can own several first-level rows (one per time-text class), so the
+    sorted list is de-duplicated keeping each value's first occurrence."""
     pairs = F.collect_list(F.when((F.col("kind") == kind) & (F.col("val") != ""),
                                   F.struct(F.col("first"), F.col("val"))))
-    return F.transform(F.array_sort(pairs), lambda x: x["val"])
+    return F.array_distinct(F.transform(F.array_sort(pairs), lambda x: x["val"]))
 
 
 def syslog_text(ts: F.Column) -> F.Column:

@@ -120,6 +120,10 @@ def test_first_last_seen_exact_for_non_canonical_times(spark, tmp):
         ("Jun 09 03:01:42", "Jun 9 03:01:43")
     assert (a["6.6.6.6"]["first_seen"], a["6.6.6.6"]["last_seen"]) == \
         ("Jun  9\t03:01:44", "Jun  9 03:01:45")
+    # one user over canonical and non-canonical rows is listed once
+    assert a["6.6.6.6"]["usernames_targeted"] == ["a"]
+    assert a["6.6.6.6"]["hosts_targeted"] == ["h"]
+    assert a["6.6.6.6"]["failed_logins"] == 2
 
 
 def test_first_last_seen_iso_offsets(spark):
