@@ -1,8 +1,11 @@
 """ANA1-ANA13: analyst tables over triage results, alerts and events.
 
-``results`` is a ranked verdict table (``rank_results`` output, with
-``dataset, src_ip, verdict, severity, confidence, mitre_technique_*``);
-``alerts`` is an enriched alert table.  Everything is an aggregate; the
+``results`` is a verdict table (``dataset, src_ip, verdict, severity,
+confidence, mitre_technique_*``); ``alerts`` is an enriched alert table.
+Functions that need both accept them separately (results from any engine)
+or, with ``alerts=None``, one wide table that carries the alert columns next
+to the verdicts (``triage_rules(..., keep=<alert columns>)``), which needs no
+join and computes the correlation once.  Everything is an aggregate; the
 per-event timeline pre-aggregates events per (source, hour) before it meets
 the verdicts, so the join never sees raw events.
 """
@@ -75,11 +78,21 @@ def attack_city(geo: F.Column) -> F.Column:
     return F.when(geo.contains("—"), py_strip(F.element_at(F.split(after, r"\(", 2), 1)))
 
 
-def attack_origins(results: DataFrame, alerts: DataFrame) -> DataFrame:
+def _attack_alerts(results: DataFrame, alerts: DataFrame | None, cols: list[str]) -> DataFrame:
+    """Confirmed attacks with alert columns ``cols``: directly from a wide table,
+    else verdicts joined to the alert table."""
+    att = _attacks(results)
+    if alerts is None:
+        return att
+    return att.join(alerts.select(*KEYS, *cols), KEYS)
+
+
+def attack_origins(results: DataFrame, alerts: DataFrame | None = None) -> DataFrame:
     """ANA6: confirmed attacks per known city, bubble radius 90,000 + 130,000 * sqrt(n)."""
     spark = results.sparkSession
-    geo = alerts.select(*KEYS, attack_city(F.col("geolocation")).alias("city"))
-    per_city = (_attacks(results).select(*KEYS).join(geo, KEYS)
+    geo = _attack_alerts(results.select(*KEYS, "verdict") if alerts is not None else results,
+                         alerts, ["geolocation"])
+    per_city = (geo.select(attack_city(F.col("geolocation")).alias("city"))
                 .where(F.col("city").isNotNull())
                 .groupBy("city").agg(F.count(F.lit(1)).alias("attacks")))
     return (per_city.join(F.broadcast(dims.cities(spark)), "city")
@@ -134,29 +147,31 @@ def attack_matrix(results: DataFrame) -> DataFrame:
                     F.round(share, 6).alias("heat"))
 
 
-def top_accounts(results: DataFrame, alerts: DataFrame, k: int = 10) -> DataFrame:
+def top_accounts(results: DataFrame, alerts: DataFrame | None = None,
+                 k: int = 10) -> DataFrame:
     """ANA11: accounts by number of attacking sources (top ``k``, name breaks ties)."""
-    att = _attacks(results).select(*KEYS)
-    return (alerts.join(att, KEYS, "left_semi")
-            .select(F.explode("usernames_targeted").alias("account"))
+    src = (_attacks(results) if alerts is None
+           else alerts.join(_attacks(results).select(*KEYS), KEYS, "left_semi"))
+    return (src.select(F.explode("usernames_targeted").alias("account"))
             .groupBy("account").agg(F.count(F.lit(1)).alias("attacking_sources"))
             .orderBy(F.col("attacking_sources").desc(), "account").limit(k))
 
 
-def top_hosts(results: DataFrame, alerts: DataFrame, k: int = 10) -> DataFrame:
+def top_hosts(results: DataFrame, alerts: DataFrame | None = None, k: int = 10) -> DataFrame:
     """ANA12: hosts by number of attack alerts (top ``k``)."""
-    att = _attacks(results).select(*KEYS)
-    return (alerts.join(att, KEYS, "left_semi")
-            .select(F.explode("hosts_targeted").alias("host"))
+    src = (_attacks(results) if alerts is None
+           else alerts.join(_attacks(results).select(*KEYS), KEYS, "left_semi"))
+    return (src.select(F.explode("hosts_targeted").alias("host"))
             .groupBy("host").agg(F.count(F.lit(1)).alias("attack_alerts"))
             .orderBy(F.col("attack_alerts").desc(), "host").limit(k))
 
 
-def iocs(results: DataFrame, alerts: DataFrame) -> DataFrame:
+def iocs(results: DataFrame, alerts: DataFrame | None = None) -> DataFrame:
     """ANA13: indicators of compromise: confirmed attacks from external sources."""
-    ctx = alerts.select(*KEYS, "internal_source", "reputation", "tags", "first_seen",
-                        "last_seen")
-    return (_attacks(results).join(ctx, KEYS).where(~F.col("internal_source"))
+    cols = ["internal_source", "reputation", "tags", "first_seen", "last_seen"]
+    base = _attack_alerts(results.select(*KEYS, "verdict", "severity", "mitre_technique_id")
+                          if alerts is not None else results, alerts, cols)
+    return (base.where(~F.col("internal_source"))
             .select(F.col("src_ip").alias("indicator"), F.lit("ipv4").alias("type"),
                     "severity", F.col("mitre_technique_id").alias("technique"),
                     "reputation",

@@ -264,9 +264,11 @@ from ..operators import evaluate as EV  # noqa: E402
 from ..operators import dims  # noqa: E402
 
 
-def results_and_alerts(spark: SparkSession, sf_dir: str) -> tuple[DataFrame, DataFrame]:
-    """Verdicts and the enriched alerts they were made from."""
-    return triaged(spark, sf_dir), enriched(spark, sf_dir)
+def triaged_wide(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Verdicts with every enriched-alert column kept: one correlation feeds
+    the analytics tables that need both (no self-join)."""
+    e = enriched(spark, sf_dir)
+    return triage_rules(e, keep=tuple(c for c in e.columns if c != "src_ip"))
 
 
 _CITIES_SQL = ", ".join("('" + c.replace("'", "''") + f"', {lat}::DOUBLE, {lon}::DOUBLE)"
@@ -334,7 +336,7 @@ FROM (SELECT trim(split_part(substr(geolocation, strpos(geolocation, '—') + 1)
 JOIN cities c USING (city)"""))
 def q_attack_origins(spark, sf_dir):
     """ANA6: confirmed attacks per city with bubble radius."""
-    return A.attack_origins(*results_and_alerts(spark, sf_dir))
+    return A.attack_origins(triaged_wide(spark, sf_dir))
 
 
 @register("timeline", O.q(O.TRIAGE, """
@@ -376,7 +378,7 @@ JOIN triage t USING (src_ip) WHERE t.verdict = 'true_positive'
 GROUP BY 1 ORDER BY 2 DESC, 1 LIMIT 10"""))
 def q_top_accounts(spark, sf_dir):
     """ANA11: top 10 targeted accounts by attacking sources."""
-    return A.top_accounts(triaged(spark, sf_dir), alerts(spark, sf_dir))
+    return A.top_accounts(triaged_wide(spark, sf_dir))
 
 
 @register("top_hosts", O.q(O.TRIAGE, """
@@ -386,7 +388,7 @@ JOIN triage t USING (src_ip) WHERE t.verdict = 'true_positive'
 GROUP BY 1 ORDER BY 2 DESC, 1 LIMIT 10"""))
 def q_top_hosts(spark, sf_dir):
     """ANA12: top 10 targeted hosts by attack alerts."""
-    return A.top_hosts(triaged(spark, sf_dir), alerts(spark, sf_dir))
+    return A.top_hosts(triaged_wide(spark, sf_dir))
 
 
 @register("iocs", O.q(O.TRIAGE, """
@@ -395,7 +397,7 @@ SELECT src_ip AS indicator, 'ipv4' AS type, severity, mitre_technique_id AS tech
 FROM triage WHERE verdict = 'true_positive' AND NOT internal_source"""))
 def q_iocs(spark, sf_dir):
     """ANA13: indicators of compromise."""
-    return A.iocs(*results_and_alerts(spark, sf_dir))
+    return A.iocs(triaged_wide(spark, sf_dir))
 
 
 # --- step 6: evaluation ------------------------------------------------------------------------------
