@@ -93,7 +93,8 @@ def score_with(enriched: DataFrame, scorer: Scorer, parallelism: int | None = No
 HEADER_BROADCAST_ROWS = 1_000_000
 
 
-def incident_evidence(results: DataFrame, alerts: DataFrame, evidence: DataFrame) -> DataFrame:
+def incident_evidence(results: DataFrame, alerts: DataFrame | None,
+                      evidence: DataFrame) -> DataFrame:
     """MOD4: per confirmed attack, the alert and verdict as JSON plus its ordered
     raw lines, one row per line (a source's lines are never gathered in one row).
 
@@ -106,8 +107,14 @@ def incident_evidence(results: DataFrame, alerts: DataFrame, evidence: DataFrame
     head = att.select(*keys, "severity", "mitre_technique_id",
                       F.to_json(F.struct(*[c for c in RESULT_SCHEMA_COLS
                                            if c in att.columns])).alias("triage_json"))
-    ctx = alerts.select(*keys, alert_json(alerts).alias("alert_json"))
-    header = head.join(ctx, keys).persist()  # alert-sized; the count fills it
+    if alerts is None:  # a wide table: verdicts and alert columns together
+        header = att.select(*keys, "severity", "mitre_technique_id",
+                            F.to_json(F.struct(*RESULT_SCHEMA_COLS)).alias("triage_json"),
+                            alert_json(att).alias("alert_json"))
+    else:
+        ctx = alerts.select(*keys, alert_json(alerts).alias("alert_json"))
+        header = head.join(ctx, keys)
+    header = header.persist()  # alert-sized; the count below fills it
     if header.count() <= HEADER_BROADCAST_ROWS:
         header = F.broadcast(header)
     return evidence.join(header, keys)

@@ -626,7 +626,7 @@ FROM parsed p JOIN triage t USING (src_ip) WHERE t.verdict = 'true_positive'""")
 def q_incident_evidence(spark, sf_dir):
     """MOD4: per confirmed attack, its verdict and ordered raw lines (JSON headers kept)."""
     ev = raw_evidence(events(spark, sf_dir))
-    b = MIO.incident_evidence(triaged(spark, sf_dir), enriched(spark, sf_dir), ev)
+    b = MIO.incident_evidence(triaged_wide(spark, sf_dir), None, ev)
     return b.select("src_ip", "severity", "mitre_technique_id", "line_no", "raw")
 
 
