@@ -5,12 +5,17 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from authsift.llm import decontaminate, mixing, neardup, quality_model, quality_rules, secrets, spans, sql
+from authsift.llm import (
+    decontaminate, language_model, mixing, neardup, pii, quality_model, quality_rules, secrets, spans, sql, toxicity)
 from authsift.llm.common import table
 
 Query = Callable[[SparkSession, str], DataFrame]
 
 
+def op1_pii(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return pii.digest(table(spark, sf_dir, "documents"))
+
+
 def op2_secrets(spark: SparkSession, sf_dir: str) -> DataFrame:
     return secrets.digest(table(spark, sf_dir, "documents"))
 
@@ -32,6 +37,14 @@ def op6_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:
     return decontaminate.report(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark"))
 
 
+def op7_language_model(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return language_model.scores(table(spark, sf_dir, "documents"))
+
+
+def op8_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return toxicity.scores(table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels"))
+
+
 def op9_near_duplicates(spark: SparkSession, sf_dir: str) -> DataFrame:
     return neardup.report(table(spark, sf_dir, "documents"), n=3, num=85)
 
@@ -41,8 +54,8 @@ def op10_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 QUERIES: dict[str, Query] = {f.__name__: f for f in (
-    op2_secrets, op3_quality_classifier, op4_mixing, op5_sentence_spans, op6_decontamination, op9_near_duplicates,
-    op10_quality_rules)}
+    op1_pii, op2_secrets, op3_quality_classifier, op4_mixing, op5_sentence_spans, op6_decontamination,
+    op7_language_model, op8_toxicity, op9_near_duplicates, op10_quality_rules)}
 
 ORACLE: dict[str, str] = {
     "op2_secrets": sql.SECRETS,
