@@ -15,8 +15,8 @@ fraction, so what is learnt from grows with the corpus.  The start is the unigra
 model, in the output biases.  A training document's part in a round is decided by
 the hash of its id.
 
-Scoring carries the state through whole documents.  Counts of the 262,144 most
-frequent tokens are broadcast (4 MB, a fixed bound); the other tokens of a document
+Scoring carries the state through whole documents.  Counts of at most 262,144
+of the most frequent tokens are broadcast (4 MB, a fixed bound); the other tokens of a document
 are joined to the table of all counts by Spark, once per distinct text.
 
 Edge cases: null and empty texts are the end token alone; a null id counts as the
@@ -40,8 +40,8 @@ FOLDS, HELD = 10, 0
 CLASSES, PER = 32, 64
 VOCABULARY = CLASSES * PER
 FREQUENT = 1 << 18
-HIDDEN, STEPS, STREAMS = 24, 16, 64
-ROUNDS, SHARE, RATE = 2, 0.2, 0.02
+HIDDEN, STEPS, STREAMS = 24, 16, 128
+ROUNDS, SHARE, RATE = 2, 0.125, 0.02
 END = np.uint64(0)
 """Stands for the end token's hash."""
 ALPHA = 0.1
@@ -253,6 +253,19 @@ def document_logs(m: dict, ids: np.ndarray, offs: np.ndarray, group: int = 1024,
     return out
 
 
+def _frequent_from(counts: DataFrame) -> int:
+    """The least count at which at most FREQUENT tokens are left: from the sizes of 16 classes per doubling."""
+    cls = F.floor(F.log2("c") * 16).cast("int")
+    sizes = sorted(counts.groupBy(cls.alias("k")).count().collect(), key=lambda r: -r["k"])  # at most 16 * 63 rows
+    left, least = FREQUENT, 1 << 62
+    for r in sizes:
+        left -= r["count"]
+        if left < 0:
+            break
+        least = int(np.ceil(2 ** (r["k"] / 16) - 1e-9))
+    return least
+
+
 def _fit(rows: DataFrame, v, model: dict, rounds: int, share: float) -> dict:
     """Rounds of local training and averaging."""
     sc = rows.sparkSession.sparkContext
@@ -310,7 +323,7 @@ def scores(docs: DataFrame, text: str = "text", id_col: str = "doc_id", folds: i
     rows = docs.select(F.col(id_col).alias("id"), F.col(text).cast("string").alias("t"), (crc_mod(id_col, folds) == held).alias("held"))
     counts = saved(token_counts(rows))
     total = counts.agg(F.coalesce(F.sum("c"), F.lit(0)).alias("n"), F.count(F.lit(1)).alias("v")).first()
-    top = counts.orderBy(F.desc("c"), "h").limit(FREQUENT).toPandas()
+    top = counts.where(F.col("c") >= _frequent_from(counts)).toPandas().sort_values(["c", "h"], ascending=[False, True])
     v = sc.broadcast(vocabulary(top["h"].to_numpy(np.int64).view(np.uint64), top["c"].to_numpy(np.int64), total["n"], total["v"]))
     model = sc.broadcast(_fit(rows, v, initial(v.value), rounds, share))
 
