@@ -27,43 +27,12 @@ def _count(cond) -> F.Column:
 
 
 def _ordered_values(kind: str) -> F.Column:
-    """Distinct values of one kind in first-seen order (empty users skipped).
-    A value can own several first-level rows (one per time-text class), so the
-    sorted list is de-duplicated keeping each value's first occurrence."""
+    """Distinct values of one kind in first-seen order (empty users skipped)."""
     pairs = F.collect_list(F.when((F.col("kind") == kind) & (F.col("val") != ""),
                                   F.struct(F.col("first"), F.col("val"))))
     return F.array_distinct(F.transform(F.array_sort(pairs), lambda x: x["val"]))
 
 
-def syslog_text(ts: F.Column) -> F.Column:
-    """Canonical syslog time text of a timestamp ('Jun  9 03:01:42')."""
-    return F.concat(F.date_format(ts, "MMM"), F.lit(" "),
-                    F.lpad(F.dayofmonth(ts).cast("string"), 2, " "), F.lit(" "),
-                    F.date_format(ts, "HH:mm:ss"))
-
-
-def iso_text(ts: F.Column, minutes: F.Column) -> F.Column:
-    """Canonical ISO time text with milliseconds in the given offset."""
-    local = F.timestamp_add("MINUTE", minutes, ts)
-    sign = F.when(minutes < 0, F.lit("-")).otherwise(F.lit("+"))
-    hh = F.lpad((F.abs(minutes) / 60).cast("int").cast("string"), 2, "0")
-    mm = F.lpad((F.abs(minutes) % 60).cast("string"), 2, "0")
-    return F.concat(F.date_format(local, "yyyy-MM-dd'T'HH:mm:ss.SSS"), sign, hh, F.lit(":"), mm)
-
-
-def _syslog_shape(text: F.Column) -> F.Column:
-    """Canonical syslog shape 'Mmm dd HH:MM:SS' (space-padded day): such a text
-    renders back from its own parsed time exactly, so no per-row formatting."""
-    return ((F.length(text) == 15) & (F.substring(text, 4, 1) == " ")
-            & (F.substring(text, 7, 1) == " ") & (F.substring(text, 5, 1) != "0"))
-
-
-def _iso_shape(text: F.Column) -> F.Column:
-    """Canonical ISO shape with milliseconds and a numeric offset."""
-    return text.rlike(r"^[0-9]{4}-[0-9]{2}-[0-9]{2}T[0-9]{2}:[0-9]{2}:[0-9]{2}"
-                      r"\.[0-9]{3}[+-][0-9]{2}:[0-9]{2}$")
-
-
 def correlate(events: DataFrame) -> DataFrame:
     """``auth_events`` -> ``source_alerts``.
 
@@ -72,49 +41,43 @@ def correlate(events: DataFrame) -> DataFrame:
     preauth_disconnects, connection_probes_no_auth, usernames_targeted,
     success_after_failures, first_seen, last_seen, first_seq, last_seq.
 
-    The first aggregate keeps only fixed-width buffers (so Spark runs it as a
-    hash aggregate): a time text in canonical shape (RFC 3164 syslog, or ISO
-    with milliseconds and an offset) was parsed into the event time without
-    loss, so it is carried as (event time, format code, offset minutes) and
-    rendered again once per alert at the end; any other text stays exact in
-    ``nc_text``, a grouping key that is NULL for canonical rows, so it adds
-    groups only for rows that need it.
+    Events are first reduced to one row per (source, user, host), then these
+    rows are split into (source, user) and (source, host) rows, then summed per
+    source.  ``first_seen`` / ``last_seen`` are the log's own texts, carried
+    along with the order key.
     """
-    a, ts, text = F.col("action"), F.col("event_time"), F.col("ts_text")
-    fmt = (F.when(ts.isNull(), F.lit(None).cast("int"))
-           .when(_syslog_shape(text), F.lit(0))
-           .when(_iso_shape(text), F.lit(1)))
-    # offset of an ISO text at fixed positions (shape already checked)
-    offset = F.substring(text, 24, 6)
-    mins = F.substring(offset, 2, 2).cast("int") * 60 + F.substring(offset, 5, 2).cast("int")
-    minutes = F.when(fmt == 1, F.when(F.substring(offset, 1, 1) == "-", -mins).otherwise(mins))
-    keyed = events.select(
-        *KEYS, "log_source", "seq", "action", "invalid_user",
-        ts.alias("_t"), fmt.alias("_fmt"), minutes.alias("_tz"),
-        F.when(fmt.isNull(), text).alias("nc_text"),
-        F.inline(F.array(F.struct(F.lit("u").alias("kind"), F.col("user").alias("val")),
-                         F.struct(F.lit("h").alias("kind"), F.col("host").alias("val")))))
-    u = F.col("kind") == "u"  # count every event once, on its user row
-    level1 = keyed.groupBy(*KEYS, "kind", "val", "log_source", "nc_text").agg(
+    a = F.col("action")
+    reduced = events.groupBy(*KEYS, "log_source", "user", "host").agg(
         F.min("seq").alias("first"),
         F.max("seq").alias("last"),
-        F.min_by("_t", "seq").alias("first_t"),
-        F.max_by("_t", "seq").alias("last_t"),
-        F.min_by("_fmt", "seq").alias("first_fmt"),
-        F.max_by("_fmt", "seq").alias("last_fmt"),
-        F.min_by("_tz", "seq").alias("first_tz"),
-        F.max_by("_tz", "seq").alias("last_tz"),
-        _count(u & (a == "failed")).alias("failed"),
-        _count(u & (a == "accepted")).alias("accepted"),
-        _count(u & F.col("invalid_user")).alias("invalid"),
-        _count(u & (a == "probe")).alias("probes"),
-        _count(u & (a == "preauth_disconnect")).alias("preauth"),
-        _count(u & (a == "max_auth")).alias("max_auth"),
+        F.min_by("ts_text", "seq").alias("first_text"),
+        F.max_by("ts_text", "seq").alias("last_text"),
+        _count(a == "failed").alias("failed"),
+        _count(a == "accepted").alias("accepted"),
+        _count(F.col("invalid_user")).alias("invalid"),
+        _count(a == "probe").alias("probes"),
+        _count(a == "preauth_disconnect").alias("preauth"),
+        _count(a == "max_auth").alias("max_auth"),
         F.min(F.when(a == "failed", F.col("seq"))).alias("first_failed"),
         F.max(F.when(a == "accepted", F.col("seq"))).alias("last_accepted"),
     )
-    first = F.min_by(F.struct("nc_text", "first_t", "first_fmt", "first_tz"), "first")
-    last = F.max_by(F.struct("nc_text", "last_t", "last_fmt", "last_tz"), "last")
+    numbers = ("failed", "accepted", "invalid", "probes", "preauth", "max_auth")
+    keyed = reduced.select(
+        *KEYS, "log_source", "first", "last", "first_text", "last_text", "first_failed",
+        "last_accepted", *numbers,
+        F.inline(F.array(F.struct(F.lit("u").alias("kind"), F.col("user").alias("val")),
+                         F.struct(F.lit("h").alias("kind"), F.col("host").alias("val")))))
+    u = F.col("kind") == "u"  # every event counts once, on its user row
+    level1 = keyed.groupBy(*KEYS, "kind", "val").agg(
+        F.min_by("log_source", "first").alias("log_source"),
+        F.min_by("first_text", "first").alias("first_text"),
+        F.max_by("last_text", "last").alias("last_text"),
+        F.min("first").alias("first"),
+        F.max("last").alias("last"),
+        *(F.coalesce(F.sum(F.when(u, F.col(n))), F.lit(0)).alias(n) for n in numbers),
+        F.min("first_failed").alias("first_failed"),
+        F.max("last_accepted").alias("last_accepted"),
+    )
     alerts = level1.groupBy(*KEYS).agg(
         F.min_by("log_source", "first").alias("log_source"),
         _ordered_values("h").alias("hosts_targeted"),
@@ -127,19 +90,13 @@ def correlate(events: DataFrame) -> DataFrame:
         _ordered_values("u").alias("usernames_targeted"),
         F.coalesce(F.min("first_failed") < F.max("last_accepted"), F.lit(False))
         .alias("success_after_failures"),
-        first.alias("_first"), last.alias("_last"),
+        F.min_by("first_text", "first").alias("first_seen"),
+        F.max_by("last_text", "last").alias("last_seen"),
         F.min("first").alias("first_seq"),
         F.max("last").alias("last_seq"),
     )
 
-    def render(x: str) -> F.Column:
-        c = F.col(x)
-        t = c.getField(x[1:] + "_t")
-        return F.coalesce(c["nc_text"], F.when(c.getField(x[1:] + "_fmt") == 0, syslog_text(t))
-                          .when(c.getField(x[1:] + "_fmt") == 1,
-                                iso_text(t, c.getField(x[1:] + "_tz"))))
-    return (alerts.withColumn("first_seen", render("_first"))
-            .withColumn("last_seen", render("_last"))
+    return (alerts
             .select(*KEYS, "log_source", "hosts_targeted", "failed_logins", "successful_logins",
                     "invalid_user_attempts", "max_auth_exceeded_events", "preauth_disconnects",
                     "connection_probes_no_auth", "usernames_targeted",

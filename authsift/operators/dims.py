@@ -110,13 +110,13 @@ def sql_literal(v, t: str) -> str:
     return f"CAST({v!r} AS {t})"
 
 
-_TABLES: dict[tuple[int, str], DataFrame] = {}
+_TABLES: dict[tuple[str, str], DataFrame] = {}
 
 
 def literal_table(spark: SparkSession, rows: list[tuple], schema: str) -> DataFrame:
     """A small fixed table as one SQL ``VALUES`` relation (JVM-side, no Python
     RDD, one round trip); cached per session."""
-    key = (id(spark), repr((rows, schema)))
+    key = (spark.sparkContext.applicationId, repr((rows, schema)))
     if key in _TABLES:
         return _TABLES[key]
     fields = [f.strip().split(" ", 1) for f in _split_schema(schema)]

@@ -54,8 +54,13 @@ def enrich(alerts: DataFrame, intel: DataFrame | None = None,
     ``internal_source``, ``geolocation``, ``reputation``, ``tags``."""
     spark = alerts.sparkSession
     intel = intel if intel is not None else empty_intel(spark)
-    static = F.broadcast(static_intel if static_intel is not None else dims.static_intel(spark))
+    static = static_intel if static_intel is not None else dims.static_intel(spark)
 
+    # one row per ip: the last by ``feed_order`` if the feed has one, else a fixed choice
+    fields = ("geo", "reputation", "tags", "reports_90d")
+    order = F.col("feed_order") if "feed_order" in intel.columns else F.struct(*fields)
+    intel = intel.groupBy("ip").agg(F.max_by(F.struct(*fields), order).alias("_row")) \
+        .select("ip", "_row.*")
     dyn = intel.select(F.col("ip").alias("src_ip"), F.lit(True).alias("_dyn"),
                        F.col("geo").alias("_dyn_geo"),
                        F.struct("reputation", "tags", "reports_90d").alias("_dyn_ti"))

@@ -20,9 +20,16 @@ def last_per_key(df: DataFrame, key: str = "src_ip", value: str = "verdict",
     return df.groupBy(key).agg(F.max_by(value, order).alias(value))
 
 
+def _one(df: DataFrame, keys: list[str]) -> DataFrame:
+    """EVAL10 inside the operators: one verdict per key, the last by the table's own
+    order column (``seq``, ``_seq``, ``last_seq``), else the largest text."""
+    order = next((c for c in ("seq", "_seq", "last_seq") if c in df.columns), "verdict")
+    return df.groupBy(*keys).agg(F.max_by("verdict", order).alias("verdict"))
+
+
 def _joined(results: DataFrame, labels: DataFrame, by: list[str]) -> DataFrame:
-    r = results.select(*by, "src_ip", F.col("verdict").alias("predicted"))
-    lab = labels.select("src_ip", F.col("verdict").alias("truth"))
+    r = _one(results, [*by, "src_ip"]).withColumnRenamed("verdict", "predicted")
+    lab = _one(labels, ["src_ip"]).withColumnRenamed("verdict", "truth")
     return r.join(lab, "src_ip", "full")
 
 
@@ -60,17 +67,19 @@ def precision_recall(results: DataFrame, labels: DataFrame) -> DataFrame:
 
 def engine_compare(results_by_engine: DataFrame, labels: DataFrame) -> DataFrame:
     """EVAL11: the same metrics per ``engine`` side by side."""
-    lab = labels.select("src_ip", F.col("verdict").alias("truth"))
-    engines = [r[0] for r in results_by_engine.select("engine").distinct().collect()]
-    parts = []
-    for name in sorted(engines):  # a handful of engines: one full join each
-        r = results_by_engine.where(F.col("engine") == name).select(
-            "src_ip", F.col("verdict").alias("predicted"))
-        parts.append(r.join(lab, "src_ip", "full").withColumn("engine", F.lit(name)))
-    joined = parts[0]
-    for p in parts[1:]:
-        joined = joined.unionByName(p)
-    return _metrics(joined, ["engine"])
+    lab = _one(labels, ["src_ip"]).withColumnRenamed("verdict", "truth")
+    r = _one(results_by_engine, ["engine", "src_ip"]).withColumnRenamed("verdict", "predicted")
+    per = _metrics(r.join(lab, "src_ip", "left"), ["engine"])
+    # every engine is held against all labels, also those it has no result for
+    totals = lab.agg(F.count_if(F.col("truth") == TP).alias("_attacks"),
+                     F.count_if(F.col("truth") == FP).alias("_benign")).withColumn("_one", F.lit(1))
+    cols = per.columns
+    recall = F.round(F.coalesce(F.col("true_positives") / F.nullif(F.col("_attacks"), F.lit(0)),
+                                F.lit(0.0)), 6)
+    return (per.withColumn("_one", F.lit(1)).join(totals, "_one")
+            .withColumn("labelled_attacks", F.col("_attacks"))
+            .withColumn("labelled_benign", F.col("_benign"))
+            .withColumn("recall", recall).select(*cols))
 
 
 def dangerous_misses(results: DataFrame, labels: DataFrame) -> DataFrame:

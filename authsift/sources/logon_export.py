@@ -48,7 +48,9 @@ def logon_events(results: DataFrame, dataset: str) -> DataFrame:
                    F.lit(" EventCode="), code, F.lit(" account="), account,
                    F.lit(" src="), src, F.lit(" logon_type="), logon_type)
     millis = F.coalesce(F.unix_millis(F.try_to_timestamp(F.col("_time"))), F.lit(0))
-    seq = F.shiftleft(millis, 21) + (F.col("_arrival") % (1 << 21))
+    # time, then arrival, both whole: ties keep the order of the export
+    seq = (millis.cast("decimal(18,0)") * F.lit(str(1 << 63)).cast("decimal(19,0)")
+           + F.col("_arrival").cast("decimal(19,0)")).cast("decimal(38,0)")
     return (results.where((src != "") & (account != "") & code.isin("4624", "4625"))
             .select(F.lit(dataset).alias("dataset"), seq.alias("seq"),
                     F.try_to_timestamp(F.col("_time")).alias("event_time"),
@@ -68,6 +70,11 @@ def default_window(now: datetime) -> tuple[datetime, datetime]:
     return start, now
 
 
+def _instant(t: datetime) -> F.Column:
+    """A naive time is one of the session's zone, not of the driver's."""
+    return F.lit(t) if t.tzinfo else F.lit(t.isoformat(sep=" ")).cast("timestamp")
+
+
 def select_logon_events(security: DataFrame, now: datetime,
                         earliest: datetime | None = None,
                         latest: datetime | None = None) -> DataFrame:
@@ -83,7 +90,7 @@ def select_logon_events(security: DataFrame, now: datetime,
     src = F.coalesce(F.col("src_ip"), F.col("Source_Network_Address"))
     account = F.coalesce(F.col("user"), F.try_element_at(F.col("Account_Name"), F.lit(-1)))
     picked = (security
-              .where((F.col("event_time") >= F.lit(start)) & (F.col("event_time") < F.lit(end)))
+              .where((F.col("event_time") >= _instant(start)) & (F.col("event_time") < _instant(end)))
               .where(F.col("source").contains("Security"))
               .where((code == "4625") | ((code == "4624") & lt.isin("3", "10"))))
     out = (picked.select(

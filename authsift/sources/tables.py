@@ -27,7 +27,7 @@ def read_intel(spark: SparkSession, path: str, fmt: str = "object") -> DataFrame
     if fmt == "jsonl":
         return spark.read.schema(INTEL_SCHEMA).json(path)
     whole = spark.read.text(path, wholetext=True)
-    m = F.from_json("value", f"map<string, {INTEL_ENTRY}>")
+    m = F.from_json("value", f"map<string, {INTEL_ENTRY}>", {"mode": "FAILFAST"})  # a broken feed is an error
     return (whole.select(F.explode(m).alias("ip", "e"))
             .select("ip", "e.geo", "e.reputation", "e.tags", "e.reports_90d"))
 
