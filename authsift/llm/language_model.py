@@ -124,16 +124,14 @@ def initial(v: dict, seed: int = 7) -> dict[str, np.ndarray]:
             "w": n(CLASSES, HIDDEN, PER) * 0, "wb": np.log(p / p.sum(axis=1, keepdims=True)).astype(np.float32)}
 
 
-def _sigmoid(x):
-    return 1 / (1 + np.exp(-x))
-
-
 def step(m: dict, ids: np.ndarray, h: np.ndarray) -> tuple[np.ndarray, ...]:
     """One GRU step for a batch: (new state, gates r and z, candidate, its recurrent part)."""
-    a = m["x"][ids] + m["b"]
+    a = m["x"][ids]
+    a += m["b"]
     g = h @ m["u"]
     k = HIDDEN
-    r, z = _sigmoid(a[:, :k] + g[:, :k]), _sigmoid(a[:, k:2 * k] + g[:, k:2 * k])
+    gates = 1 / (1 + np.exp(-(a[:, :2 * k] + g[:, :2 * k])))
+    r, z = gates[:, :k], gates[:, k:]
     n = np.tanh(a[:, 2 * k:] + r * g[:, 2 * k:])
     return n + z * (h - n), r, z, n, g[:, 2 * k:]
 
@@ -143,31 +141,52 @@ def _soft(x: np.ndarray) -> np.ndarray:
     return e / e.sum(axis=1, keepdims=True)
 
 
+def _log_soft_at(h: np.ndarray, w: np.ndarray, b: np.ndarray, at: np.ndarray) -> np.ndarray:
+    """Log of the softmax of h @ w + b at ``at``.  A GRU's state lies in -1..1, which bounds the logits for exp."""
+    x = h @ w
+    x += b - (b + np.abs(w).sum(axis=0)).max()
+    out = x[np.arange(len(x)), at]
+    total = np.exp(x, out=x) @ np.ones(x.shape[1], x.dtype)
+    return out - np.log(np.maximum(total, 1e-37))
+
+
 def log_softmax_at(m: dict, h: np.ndarray, target: np.ndarray, grad: dict | None = None) -> tuple[np.ndarray, np.ndarray | None]:
     """Natural log p(target | state) by class, then within the class; adds to ``grad`` and returns dh if asked."""
     cls, word = target // PER, target % PER
-    at = np.arange(len(h))
+    out = _log_soft_at(h, m["c"], m["cb"], cls)
+    order = np.argsort(cls.astype(np.uint8), kind="stable")
+    bounds = np.searchsorted(cls[order], np.arange(CLASSES + 1))
+    for c in np.flatnonzero(np.diff(bounds)):
+        mine = order[bounds[c]:bounds[c + 1]]
+        out[mine] += _log_soft_at(h[mine], m["w"][c], m["wb"][c], word[mine])
+    return out, None if grad is None else softmax_gradients(m, h, target, grad)
+
+
+def softmax_gradients(m: dict, h: np.ndarray, target: np.ndarray, grad: dict) -> np.ndarray:
+    """Adds the gradients of -log p(target | state) to ``grad``; returns dh."""
+    cls, word = target // PER, target % PER
     pc = _soft(h @ m["c"] + m["cb"])
-    out = np.log(np.maximum(pc[at, cls], 1e-30))
-    dh = None
-    if grad is not None:
-        pc[at, cls] -= 1
-        grad["c"] += h.T @ pc
-        grad["cb"] += pc.sum(axis=0)
-        dh = pc @ m["c"].T
-    order = np.argsort(cls, kind="stable")
+    pc[np.arange(len(h)), cls] -= 1
+    grad["c"] += h.T @ pc
+    grad["cb"] += pc.sum(axis=0)
+    dh = pc @ m["c"].T
+    order = np.argsort(cls.astype(np.uint8), kind="stable")
     bounds = np.searchsorted(cls[order], np.arange(CLASSES + 1))
-    for c in np.unique(cls):
+    for c in np.flatnonzero(np.diff(bounds)):
         mine = order[bounds[c]:bounds[c + 1]]
         p = _soft(h[mine] @ m["w"][c] + m["wb"][c])
-        k = np.arange(len(mine))
-        out[mine] += np.log(np.maximum(p[k, word[mine]], 1e-30))
-        if grad is not None:
-            p[k, word[mine]] -= 1
-            grad["w"][c] += h[mine].T @ p
-            grad["wb"][c] += p.sum(axis=0)
-            dh[mine] += p @ m["w"][c].T
-    return out, dh
+        p[np.arange(len(mine)), word[mine]] -= 1
+        grad["w"][c] += h[mine].T @ p
+        grad["wb"][c] += p.sum(axis=0)
+        dh[mine] += p @ m["w"][c].T
+    return dh
+
+
+def _add_rows(table: np.ndarray, ids: np.ndarray, rows: np.ndarray) -> None:
+    """table[ids] += rows, with repeated ids summed first."""
+    order = np.argsort(ids, kind="stable")
+    first = np.flatnonzero(np.diff(ids[order], prepend=-1))
+    table[ids[order[first]]] += np.add.reduceat(rows[order], first, axis=0)
 
 
 def train(m: dict, tokens: np.ndarray, fresh: np.ndarray, rate: float = RATE) -> dict:
@@ -201,9 +220,10 @@ def train(m: dict, tokens: np.ndarray, fresh: np.ndarray, rate: float = RATE) ->
             states.append(h)
             previous = t[:, s]
         grad = {key: np.zeros_like(v) for key, v in m.items()}
-        _, dh = log_softmax_at(m, np.concatenate(states), t[:, lo:hi].T.ravel(), grad)
+        dh = softmax_gradients(m, np.concatenate(states), t[:, lo:hi].T.ravel(), grad)
         dh = dh.reshape(hi - lo, streams, k)
         back = np.zeros((streams, k), np.float32)
+        inputs = []
         for s in range(hi - lo - 1, -1, -1):
             ids, before, r, z, n, gn, start = tape[s]
             d = dh[s] + back
@@ -212,10 +232,11 @@ def train(m: dict, tokens: np.ndarray, fresh: np.ndarray, rate: float = RATE) ->
             dr = dn * gn * r * (1 - r)
             da = np.concatenate([dr, dz, dn], axis=1)
             dg = np.concatenate([dr, dz, dn * r], axis=1)
-            np.add.at(grad["x"], ids, da)
+            inputs.append((ids, da))
             grad["b"] += da.sum(axis=0)
             grad["u"] += before.T @ dg
             back = np.where(start[:, None], np.float32(0), d * z + dg @ m["u"].T)
+        _add_rows(grad["x"], *(np.concatenate(v) for v in zip(*inputs)))
         scale = np.float32(1 / dh[:, :, 0].size)
         norm = np.sqrt(sum(float((g * g).sum()) for g in grad.values())) * scale
         scale *= np.float32(min(1.0, 1.0 / max(norm, 1e-9)))
