@@ -7,8 +7,8 @@ order, so every event carries ``seq``, one BIGINT attached on the scan:
     seq = file_rank << 40  |  (split start offset + row index inside the split)
 
 ``file_rank`` is the file's place in the sorted list of the scan's input files
-(broadcast: its size is the number of files, which the driver already holds
-for the scan).  Inside a file the second part strictly increases: a split
+(joined as a local table of known size: Spark broadcasts it only below its
+threshold).  Inside a file the second part strictly increases: a split
 holds at most as many lines as bytes, so its last row stays below the next
 split's start offset.  Only a file's last (short) split can share a task with
 other splits, which adds a constant to it and keeps the order.  (Gzip files
@@ -26,16 +26,14 @@ from __future__ import annotations
 
 from collections.abc import Sequence
 
-import pandas as pd
+import pyarrow as pa
 from pyspark import StorageLevel
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..session import shared_dir
 
-# broadcast the offset table only below this many rows (checked by a count)
-OFFSETS_BROADCAST_ROWS = 2_000_000
-POS_BITS = 40          # positions inside one file (about 1.1e12 bytes)
+POS_BITS = 40          # positions inside one file (about 1.1e12 bytes); beyond it the job fails
 FILE_BITS = 23         # files per scan (about 8.4 million)
 
 
@@ -47,27 +45,28 @@ def with_arrival(scan: DataFrame, name: str = "seq") -> DataFrame:
     if len(files) >= 1 << FILE_BITS:
         raise ValueError(f"{len(files)} input files exceed the arrival key's file field; "
                          "split the dataset")
-    ranks = spark.createDataFrame(pd.DataFrame({"_file": files, "_rank": range(len(files))}))
+    ranks = spark.createDataFrame(pa.table({"_file": pa.array(files, pa.string()),
+                                            "_rank": pa.array(range(len(files)), pa.int64())}))
     local_row = F.monotonically_increasing_id() - F.shiftleft(
         F.spark_partition_id().cast("bigint"), 33)
     located = scan.select("*", F.input_file_name().alias("_file"),
                           (F.col("_metadata.file_block_start") + local_row).alias("_pos"))
-    keyed = located.join(F.broadcast(ranks), "_file")
-    return (keyed.withColumn(name, F.shiftleft(F.col("_rank").cast("bigint"), POS_BITS)
-                             + F.col("_pos"))
+    keyed = located.join(ranks, "_file")
+    pos = F.when(F.col("_pos") < F.lit(1 << POS_BITS), F.col("_pos")).otherwise(
+        F.raise_error(F.lit("a position exceeds the arrival key's field; split the file")))
+    return (keyed.withColumn(name, F.shiftleft(F.col("_rank"), POS_BITS) + pos)
             .drop("_file", "_pos", "_rank"))
 
 
 def number_rows(df: DataFrame, order_by: Sequence[Column | str],
-                partition_by: Sequence[str] = (), name: str = "rank",
-                few_groups: bool = False) -> DataFrame:
+                partition_by: Sequence[str] = (), name: str = "rank") -> DataFrame:
     """Add ``name`` = 1-based position by ``order_by`` (within ``partition_by``).
 
     The order must be total (include a unique tiebreak) for a deterministic
     result.  Work is spread over all partitions even when one group holds most
-    rows; the driver only sees a row count of the small offset table.
-    ``few_groups`` declares the groups few (e.g. datasets): the offset table
-    then has at most partitions x groups rows and is broadcast unchecked.
+    rows.  The rows are sorted by group first, so the offset table has at most
+    partitions + groups rows.  Without groups that is one per partition, and it
+    is broadcast; with groups the join is left to Spark's size statistics.
     """
     spark = df.sparkSession
     shared_dir(spark)  # makes sure checkpoint() has a shared folder
@@ -85,8 +84,7 @@ def number_rows(df: DataFrame, order_by: Sequence[Column | str],
     w = Window.partitionBy(*pcols).orderBy("_pid") if pcols else Window.orderBy("_pid")
     offsets = counts.select("_pid", *pcols, "_m0",
                             (F.sum("_n").over(w) - F.col("_n")).alias("_off"))
-    if not pcols or few_groups or offsets.count() <= OFFSETS_BROADCAST_ROWS:
-        # without groups the table has one row per partition: bounded
+    if not pcols:
         offsets = F.broadcast(offsets)
     out = tagged.join(offsets, ["_pid", *pcols])
     return (out.withColumn(name, F.col("_off") + F.col("_mid") - F.col("_m0") + 1)

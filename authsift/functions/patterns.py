@@ -25,8 +25,6 @@ PREAUTH = r"(?:Received disconnect from|Connection reset by) (\S+) port \d+.*\[p
 # probe: 1 = ip (no identification string), 2 = ip (invalid banner format)
 PROBE = (r"Did not receive identification string from (\S+)"
          r"|Connection from (\S+) port \d+: invalid format")
-# dashboard time prefix: 1 = month, 2 = day, 3 = hour, 4 = minute
-SYSLOG_TIME_PREFIX = r"^(\w{3})\s+(\d+)\s(\d\d):(\d\d):\d\d"
 # Windows sub-status codes meaning "no such user" (exact spellings only)
 NO_SUCH_USER = ("0xc0000064", "0xC0000064")
 # --------------------------------------------------------------------------

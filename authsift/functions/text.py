@@ -39,8 +39,3 @@ def syslog_time(ts_text: Column, year: int) -> Column:
     well_formed = (F.substring(clock, 3, 1) == ":") & (F.substring(clock, 6, 1) == ":")
     return F.when(well_formed, F.try_make_timestamp(
         F.lit(year), month, day, part(1), part(4), part(7).cast("decimal(8,6)")))
-
-
-def syslog_hour(ts_text: Column, year: int) -> Column:
-    """Hour bucket of a syslog time text (timeline key)."""
-    return F.date_trunc("hour", syslog_time(ts_text, year))

@@ -166,10 +166,6 @@ def tactics(spark: SparkSession) -> DataFrame:
     return literal_table(spark, rows, "technique_id string, tactic string, tactic_ord int")
 
 
-def severities(spark: SparkSession) -> DataFrame:
-    return literal_table(spark, list(enumerate(SEVERITY_ORDER)), "sev_rank int, severity string")
-
-
 def rules(spark: SparkSession) -> DataFrame:
     return literal_table(
         spark, RULES, "rule_id int, verdict string, severity string, mitre_technique_id string, "

@@ -96,8 +96,8 @@ def verdict_histogram(results: DataFrame) -> DataFrame:
 
 def disagreements(results: DataFrame, labels: DataFrame) -> DataFrame:
     """EVAL7: labels whose prediction differs, missing predictions included."""
-    lab = labels.select("src_ip", F.col("verdict").alias("truth"))
-    r = results.select("src_ip", F.col("verdict").alias("predicted"))
+    lab = _one(labels, ["src_ip"]).withColumnRenamed("verdict", "truth")
+    r = _one(results, ["src_ip"]).withColumnRenamed("verdict", "predicted")
     j = lab.join(r, "src_ip", "left").withColumn(
         "predicted", F.coalesce("predicted", F.lit("missing")))
     return j.where(F.col("predicted") != F.col("truth")).select("src_ip", "truth", "predicted")
@@ -105,8 +105,8 @@ def disagreements(results: DataFrame, labels: DataFrame) -> DataFrame:
 
 def label_match(results: DataFrame, labels: DataFrame) -> DataFrame:
     """EVAL8: per-label result rows with a match flag."""
-    lab = labels.select("src_ip", F.col("verdict").alias("truth"))
-    r = results.select("src_ip", F.col("verdict").alias("predicted"))
+    lab = _one(labels, ["src_ip"]).withColumnRenamed("verdict", "truth")
+    r = _one(results, ["src_ip"]).withColumnRenamed("verdict", "predicted")
     j = lab.join(r, "src_ip", "left").withColumn(
         "predicted", F.coalesce("predicted", F.lit("missing")))
     return j.select("src_ip", "truth", "predicted",

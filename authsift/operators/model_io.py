@@ -31,7 +31,7 @@ def alert_json(alerts: DataFrame) -> F.Column:
 
 def model_requests(alerts: DataFrame, model: str, system_prompt: str,
                    max_tokens: int = 1024,
-                   user_prefix: str = "Triage this SSH alert:\n") -> DataFrame:
+                   user_prefix: str = "Assess this authentication alert (JSON):\n") -> DataFrame:
     """MOD1: ``custom_id, body`` where body is one JSON request per alert."""
     body = F.to_json(F.struct(
         F.lit(model).alias("model"), F.lit(max_tokens).alias("max_tokens"),
@@ -89,19 +89,16 @@ def score_with(enriched: DataFrame, scorer: Scorer, parallelism: int | None = No
     return src.mapInPandas(run, RESULT_SCHEMA)
 
 
-# broadcast the per-attack header only below this many rows (checked by a count)
-HEADER_BROADCAST_ROWS = 1_000_000
-
-
 def incident_evidence(results: DataFrame, alerts: DataFrame | None,
                       evidence: DataFrame) -> DataFrame:
     """MOD4: per confirmed attack, the alert and verdict as JSON plus its ordered
     raw lines, one row per line (a source's lines are never gathered in one row).
 
     The evidence table is range-partitioned by (source, line), so a source that
-    owns a third of all lines is already spread over many partitions.  The
-    per-attack header is broadcast when its counted size allows, which keeps that
-    spread; beyond the bound it is a regular join (AQE splits a skewed side)."""
+    owns a third of all lines is already spread over many partitions.  The join to
+    the per-attack header is left to Spark's size statistics (AQE splits a skewed
+    side).  Pass the evidence of confirmed attacks only: numbers are per source, so
+    they are the same, and nothing else is sorted."""
     keys = ["dataset", "src_ip"]
     att = results.where(F.col("verdict") == "true_positive")
     head = att.select(*keys, "severity", "mitre_technique_id",
@@ -114,9 +111,6 @@ def incident_evidence(results: DataFrame, alerts: DataFrame | None,
     else:
         ctx = alerts.select(*keys, alert_json(alerts).alias("alert_json"))
         header = head.join(ctx, keys)
-    header = header.persist()  # alert-sized; the count below fills it
-    if header.count() <= HEADER_BROADCAST_ROWS:
-        header = F.broadcast(header)
     return evidence.join(header, keys)
 
 

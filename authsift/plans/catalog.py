@@ -625,8 +625,10 @@ SELECT t.src_ip, t.severity, t.mitre_technique_id,
 FROM parsed p JOIN triage t USING (src_ip) WHERE t.verdict = 'true_positive'"""))
 def q_incident_evidence(spark, sf_dir):
     """MOD4: per confirmed attack, its verdict and ordered raw lines (JSON headers kept)."""
-    ev = raw_evidence(events(spark, sf_dir))
-    b = MIO.incident_evidence(triaged_wide(spark, sf_dir), None, ev)
+    verdicts, keys = triaged_wide(spark, sf_dir), ["dataset", "src_ip"]
+    attacks = verdicts.where(F.col("verdict") == "true_positive").select(*keys)
+    ev = raw_evidence(events(spark, sf_dir).join(attacks, keys, "left_semi"))
+    b = MIO.incident_evidence(verdicts, None, ev)
     return b.select("src_ip", "severity", "mitre_technique_id", "line_no", "raw")
 
 

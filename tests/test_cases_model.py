@@ -92,4 +92,4 @@ def test_scorer_and_requests(spark):
     req = M.model_requests(alerts, "m", "sys").collect()
     body = json.loads(req[0]["body"])
     assert body["model"] == "m" and body["messages"][0]["role"] == "user"
-    assert body["messages"][0]["content"].startswith("Triage this SSH alert:\n")
+    assert body["messages"][0]["content"].startswith("Assess this authentication alert (JSON):\n")
