@@ -6,12 +6,15 @@ r"""MinHash near-duplicates by an LSH forest.
 2. A class gets ``trees * depth`` minhashes of a byte each.  Tree t orders the
    classes by its own ``depth`` bytes (then the others): one range sort of
    (tree, signature) rows over the cluster.
-3. Along a sorted order, classes with a common prefix of at least ``least`` bytes
-   form a region.  A region of more than ``region`` classes is split at the next
-   byte, and so on: the depth adapts to how crowded the place is, and a pair of
-   similarity s meets in a region of depth d with probability s^d in every tree.
-   Within a region only classes whose whole signatures agree in enough bytes stay,
-   in groups linked by that agreement.
+3. Along a sorted order, classes with a common prefix of ``least`` bytes form a
+   region: a pair of similarity s meets in one with probability s^least in every
+   tree, however crowded the place is.  Within a region only classes whose whole
+   signatures agree in enough bytes stay, in groups linked by that agreement.  A
+   region that reaches a partition's edge is put together again by its prefix.
+   In a region of more than ``region`` classes first the class nearest to the
+   region's commonest bytes is compared with all others (a text with many near
+   copies); what its exact links have not joined to the region's largest component
+   is then compared with the whole region, in pairs of blocks over the cluster.
 4. The groups' members bring their full sets (groups met in several trees are
    taken once), and all pairs of a group are decided exactly by one product of
    0/1 matrices; only a spanning set of the links is emitted.
@@ -19,7 +22,11 @@ r"""MinHash near-duplicates by an LSH forest.
    steps, each checkpointed.
 
 The links are exact (no false one); a link is missed only if its classes meet in
-none of the trees: at 16 trees and depth 3 that is (1 - 0.85^3)^16, below 3e-7.
+none of the trees (at 16 trees and depth 3 that is (1 - 0.85^3)^16, below 3e-7, at
+similarity 0.85 and 1.1e-5 at 0.8, at any region size) or if their signatures agree
+in over 0.16 fewer bytes than their similarity.  A region of n classes without a
+common neighbour (pages of one template) costs n^2 / 2 signature comparisons and up
+to n^2 / 1024 rows of groups; no pairs are emitted.
 
 Edge cases: null and word-less texts have an empty set and are linked with
 nothing, not even each other; a text with fewer words than a shingle is one
@@ -40,6 +47,8 @@ from authsift.llm import textarrays as ta
 from authsift.llm.common import bitmap_of, in_bitmap, passed_through, saved, with_columns
 
 TREES, DEPTH, LEAST, REGION = 16, 8, 3, 512
+STAR, BLOCK, SAMPLE = 256, 1024, 64
+"""Leaves per group of a star, classes per block of a region, and classes that tell a region's commonest bytes."""
 SLACK = 0.16
 """How far below the threshold two signatures may agree and still be checked (over 5 standard errors at 128 bytes)."""
 
@@ -111,19 +120,6 @@ def classes(docs: DataFrame, text: str, id_col: str, n: int, sig: bool) -> DataF
     return rows.mapInArrow(run, schema)
 
 
-def _regions(key: np.ndarray, lo: int, hi: int, byte: int, limit: int) -> Iterator[tuple[int, int]]:
-    """Split sorted rows [lo, hi), equal in their first ``byte`` bytes, until a part has at most ``limit``."""
-    if hi - lo <= limit:
-        yield lo, hi
-    elif byte < key.shape[1]:
-        cut = np.flatnonzero(np.diff(key[lo:hi, byte])) + lo + 1
-        for a, b in zip([lo, *cut], [*cut, hi]):
-            yield from _regions(key, a, b, byte + 1, limit)
-    else:  # equal signatures throughout: neighbours in order, each part sharing its last class with the next
-        for a in range(lo, hi - 1, limit - 1):
-            yield a, min(a + limit, hi)
-
-
 def _linked(rows: np.ndarray, least: int) -> list[np.ndarray]:
     """Groups (indices) of signatures linked by agreeing in at least ``least`` bytes."""
     n = len(rows)
@@ -150,14 +146,31 @@ def _groups(n: int, a: np.ndarray, b: np.ndarray, label: np.ndarray) -> list[np.
     return [g for g in np.split(order, cut) if len(g) > 1]
 
 
-def candidates(reps: DataFrame, least_share: float) -> DataFrame:
-    """(group, node): classes to compare, from the sorted orders."""
+def _named(nodes: list[bytes], found: list[np.ndarray]) -> tuple[list[bytes], list[bytes]]:
+    """(group, node) columns of groups of indices into ``nodes``."""
+    import hashlib
+    groups, members = [], []
+    for g in found:
+        who = sorted(nodes[k] for k in g)
+        groups.extend([hashlib.md5(b"".join(who)).digest()] * len(who))
+        members.extend(who)
+    return groups, members
+
+
+def _bytes(column) -> np.ndarray:
+    """Signatures as rows of bytes."""
+    return np.frombuffer(b"".join(column), np.uint8).reshape(-1, TREES * DEPTH)
+
+
+def candidates(reps: DataFrame, agree: int) -> tuple[DataFrame, DataFrame]:
+    """(group, node): classes to compare, from the sorted orders; (tree, head, n, node, sig): the regions above REGION."""
+    import pandas as pd
 
     def by_tree(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
             if not b.num_rows:
                 continue
-            sig = np.frombuffer(b"".join(b.column(1).to_pylist()), np.uint8).reshape(-1, TREES * DEPTH)
+            sig = _bytes(b.column(1).to_pylist())
             for t in range(TREES):
                 turned = np.roll(sig, -t * DEPTH, axis=1)
                 yield pa.RecordBatch.from_arrays(
@@ -165,51 +178,133 @@ def candidates(reps: DataFrame, least_share: float) -> DataFrame:
                      b.column(0)], names=["tree", "sig", "node"])
 
     def walk(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        import hashlib
-        agree = int(np.ceil(least_share * TREES * DEPTH))
+        names = ["group", "node", "tree", "head", "sig"]
         rest: tuple | None = None
+        opened = None  # the region whose rows are given out as they come
+        first = True
 
-        def found(tree, key, nodes):
-            head = key[:, :LEAST]
-            cut = np.flatnonzero((tree[1:] != tree[:-1]) | (head[1:] != head[:-1]).any(axis=1)) + 1
-            groups, members = [], []
-            bounds = [0, *cut.tolist(), len(tree)]
-            for lo, hi in zip(bounds[:-1], bounds[1:]):
-                if hi - lo < 2:
-                    continue
-                for a, b in _regions(key, lo, hi, LEAST, REGION):
-                    if b - a < 2:
-                        continue
-                    for g in _linked(key[a:b], agree):
-                        who = sorted(nodes[a + k] for k in g)
-                        name = hashlib.md5(b"".join(who)).digest()
-                        groups.extend([name] * len(who))
-                        members.extend(who)
-            return pa.RecordBatch.from_arrays([pa.array(groups, pa.binary()), pa.array(members, pa.binary())],
-                                              names=["group", "node"])
+        def given(tree, key, nodes):
+            n = len(nodes)
+            return pa.RecordBatch.from_arrays(
+                [pa.nulls(n, pa.binary()), pa.array(nodes, pa.binary()), pa.array(tree, pa.int32()),
+                 pa.array([x.tobytes() for x in key[:, :LEAST]], pa.binary()), pa.array([x.tobytes() for x in key], pa.binary())], names=names)
 
         for b in batches:
             if not b.num_rows:
                 continue
-            tree = b.column(0).to_numpy()
-            key = np.frombuffer(b"".join(b.column(1).to_pylist()), np.uint8).reshape(-1, TREES * DEPTH)
-            nodes = b.column(2).to_pylist()
+            tree, key, nodes = b.column(0).to_numpy(), _bytes(b.column(1).to_pylist()), b.column(2).to_pylist()
             if rest is not None:
                 tree, key, nodes = np.concatenate([rest[0], tree]), np.concatenate([rest[1], key]), rest[2] + nodes
-            # the last region may go on in the next batch; a very long one is cut there, like any other split
-            last = np.flatnonzero((tree != tree[-1]) | (key[:, :LEAST] != key[-1, :LEAST]).any(axis=1))
-            keep = int(last[-1]) + 1 if len(last) else 0
-            if keep == 0 and len(tree) > 64 * REGION:
-                keep = len(tree)
-            if keep:
-                yield found(tree[:keep], key[:keep], nodes[:keep])
-            rest = (tree[keep:], key[keep:], nodes[keep:])
-        if rest is not None and len(rest[0]):
-            yield found(*rest)
+            head = key[:, :LEAST]
+            cut = np.flatnonzero((tree[1:] != tree[:-1]) | (head[1:] != head[:-1]).any(axis=1)) + 1
+            bounds = np.concatenate([[0], cut, [len(tree)]])
+            at = lambda k: (int(tree[k]), head[k].tobytes())
+            groups, members = [], []
+            for k in np.flatnonzero((np.diff(bounds) > 1) | (np.arange(len(bounds) - 1) == 0)):
+                lo, hi = int(bounds[k]), int(bounds[k + 1])
+                if k == len(bounds) - 2:
+                    break  # the last region may go on in the next batch
+                if k == 0 and (first or at(lo) == opened) or hi - lo > REGION:
+                    yield given(tree[lo:hi], key[lo:hi], nodes[lo:hi])
+                elif hi - lo > 1:
+                    g, m = _named(nodes[lo:hi], _linked(key[lo:hi], agree))
+                    groups += g
+                    members += m
+            if groups:
+                n = len(groups)
+                yield pa.RecordBatch.from_arrays(
+                    [pa.array(groups, pa.binary()), pa.array(members, pa.binary()), pa.nulls(n, pa.int32()),
+                     pa.nulls(n, pa.binary()), pa.nulls(n, pa.binary())], names=names)
+            first = first and len(bounds) == 2
+            lo = int(bounds[-2])
+            rest = (tree[lo:], key[lo:], nodes[lo:])
+            if at(lo) == opened or len(rest[0]) > REGION:
+                yield given(*rest)
+                opened, rest, first = at(lo), None, False
+        if rest is not None:
+            yield given(*rest)
 
     rows = reps.select("node", "sig").mapInArrow(by_tree, "tree int, sig binary, node binary")
     ordered = rows.repartitionByRange("tree", "sig").sortWithinPartitions("tree", "sig", "node")
-    return ordered.mapInArrow(walk, "group binary, node binary").distinct()
+    walked = saved(ordered.mapInArrow(walk, "group binary, node binary, tree int, head binary, sig binary"))
+    loose = walked.where("tree is not null").drop("group")
+    size = loose.groupBy("tree", "head").agg(F.count(F.lit(1)).alias("n")).where("n > 1")
+    loose = saved(loose.join(size, ["tree", "head"]).select("tree", "head", "n", "node", "sig"))
+
+    def small(key, rows):
+        nodes = rows["node"].tolist()
+        return pd.DataFrame(dict(zip(("group", "node"), _named(nodes, _linked(_bytes(rows["sig"]), agree)))))
+
+    edge = loose.where(F.col("n") <= REGION).groupBy("tree", "head").applyInPandas(small, "group binary, node binary")
+    groups = walked.where("tree is null").select("group", "node").unionByName(edge).distinct()
+    return groups, loose.where(F.col("n") > REGION)
+
+
+def _agreeing(rows: DataFrame, other: str) -> DataFrame:
+    """``rows`` with the number of bytes in which sig and ``other`` agree."""
+    a, b = rows.columns.index("sig"), rows.columns.index(other)
+
+    def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for x in batches:
+            n = (_bytes(x.column(a).to_pylist()) == _bytes(x.column(b).to_pylist())).sum(axis=1)
+            yield with_columns(x, agree=pa.array(n.astype(np.int32)))
+
+    return rows.mapInArrow(count, passed_through(rows, "agree int"))
+
+
+def stars(crowded: DataFrame, agree: int) -> DataFrame:
+    """(group, node): the class nearest to a region's commonest bytes with the classes that may be its near copies."""
+    import pandas as pd
+
+    def commonest(key, rows):
+        sig = _bytes(rows["sig"])
+        mid = np.array([np.bincount(c, minlength=256).argmax() for c in sig.T], dtype=np.uint8)
+        return pd.DataFrame({"tree": [key[0]], "head": [key[1]], "mid": [mid.tobytes()]})
+
+    some = crowded.where(F.pmod(F.xxhash64("node"), F.ceil(F.col("n") / SAMPLE)) == 0)
+    mid = some.groupBy("tree", "head").applyInPandas(commonest, "tree int, head binary, mid binary")
+    near = _agreeing(crowded.join(mid, ["tree", "head"]), "mid")
+    hub = near.groupBy("tree", "head").agg(F.max(F.struct("agree", "node", "sig")).alias("x")) \
+        .select("tree", "head", F.col("x.node").alias("hub"), F.col("x.sig").alias("hub_sig"))
+    leaf = _agreeing(crowded.join(hub, ["tree", "head"]), "hub_sig").where((F.col("agree") >= agree) & (F.col("node") != F.col("hub"))) \
+        .select("hub", "node").distinct()
+    parts = leaf.groupBy("hub").agg(F.ceil(F.count(F.lit(1)) / STAR).alias("parts"))
+    leaf = leaf.join(parts, "hub").withColumn("part", F.pmod(F.xxhash64("node"), F.col("parts")))
+    group = F.unhex(F.md5(F.concat("hub", F.col("part").cast("string").cast("binary")))).alias("group")
+    return leaf.select(group, "node").unionByName(leaf.select(group, F.col("hub").alias("node")).distinct())
+
+
+def crossing(crowded: DataFrame, label: DataFrame, agree: int) -> DataFrame:
+    """(group, node): classes to compare in the regions that have more than one component, all against all but
+    within the largest component."""
+    import pandas as pd
+
+    rows = crowded.join(label, "node", "left").withColumn("label", F.coalesce("label", "node"))
+    main = rows.groupBy("tree", "head", "label").agg(F.count(F.lit(1)).alias("c")).groupBy("tree", "head") \
+        .agg(F.max(F.struct("c", "label")).alias("x")).select("tree", "head", F.col("x.c").alias("inner"), F.col("x.label").alias("main"))
+    rows = rows.join(main, ["tree", "head"]).where(F.col("inner") < F.col("n"))
+    apart = F.ceil((F.col("n") - F.col("inner")) / BLOCK)  # blocks outside the largest component, numbered first
+    out = F.col("label") != F.col("main")
+    spread = F.xxhash64("node")
+    rows = rows.withColumn("apart", apart).withColumn("within", F.ceil(F.col("inner") / BLOCK)) \
+        .withColumn("block", F.when(out, F.pmod(spread, F.col("apart"))).otherwise(F.col("apart") + F.pmod(spread, F.col("within")))) \
+        .withColumn("with", F.explode(F.sequence(F.lit(0).cast("bigint"), F.when(out, F.col("apart") + F.col("within")).otherwise(F.col("apart")) - 1)))
+    rows = rows.select("tree", "head", F.least("block", "with").alias("p"), F.greatest("block", "with").alias("q"), "block", "node", "label", "sig")
+
+    def met(key, rows):
+        sig, block = _bytes(rows["sig"]), rows["block"].to_numpy()
+        label = pd.factorize(rows["label"])[0]
+        mine, theirs = np.flatnonzero(block == key[2]), np.flatnonzero(block == key[3])
+        other, of = sig[theirs], label[theirs]
+        a, b = [], []
+        for k in mine:
+            hit = theirs[((other == sig[k]).sum(axis=1) >= agree) & (of != label[k])]
+            a.append(np.full(len(hit), k))
+            b.append(hit)
+        a, b = (np.concatenate(x) if x else np.zeros(0, np.int64) for x in (a, b))
+        return pd.DataFrame(dict(zip(("group", "node"), _named(rows["node"].tolist(), _groups(len(sig), a, b, np.arange(len(sig)))))))
+
+    return rows.groupBy("tree", "head", "p", "q").applyInPandas(met, "group binary, node binary").distinct()
 
 
 def _first_row(nodes: list[bytes], id_hash: pa.Array) -> np.ndarray:
@@ -304,8 +399,17 @@ def clusters(docs: DataFrame, text: str = "text", id_col: str = "doc_id", n: int
     """
     rows = saved(classes(docs, text, id_col, n, True))
     reps = saved(rows.where("node is not null").groupBy("node").agg(F.min("id").alias("rep"), F.first("sig").alias("sig")))
-    groups = saved(candidates(reps, num / den - SLACK))
-    label = components(links(docs, reps, groups, text, id_col, n, num, den))
+    agree = int(np.ceil((num / den - SLACK) * TREES * DEPTH))
+    groups, crowded = candidates(reps, agree)
+    crowds = not crowded.isEmpty()
+    if crowds:
+        groups = groups.unionByName(stars(crowded, agree))
+    edges = saved(links(docs, reps, saved(groups), text, id_col, n, num, den))
+    label = components(edges)
+    if crowds:
+        more = saved(crossing(crowded, label, agree))
+        if not more.isEmpty():
+            label = components(edges.unionByName(links(docs, reps, more, text, id_col, n, num, den)))
     reps = reps.select("node", "rep").join(label, "node", "left").withColumn("label", F.coalesce("label", "node"))
     least = reps.groupBy("label").agg(F.min("rep").alias("component_id"))
     return rows.drop("sig"), saved(reps.join(least, "label").drop("label"))

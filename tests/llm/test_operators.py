@@ -130,6 +130,26 @@ def test_many_copies_and_a_star_of_near_copies(spark):
     assert len(linked) > 300 and all(got[k] == 0 for k in linked)
 
 
+def test_a_star_of_many_near_copies(spark):
+    rng = np.random.default_rng(6)
+    base = [f"w{k}" for k in range(300)]
+    rows = [(0, " ".join(base))]
+    for k in range(1, 10_001):  # each is near the base alone
+        w = list(base)
+        for j in rng.choice(np.arange(1, 299), 7, replace=False):
+            w[j] = f"n{k}-{j}"
+        rows.append((k, " ".join(w)))
+    other = [f"v{k}" if k > 280 else x for k, x in enumerate(base)]  # a second, far smaller star nearby
+    rows += [(20_000 + k, " ".join(other[:k] + [f"m{k}"] + other[k + 1:])) for k in range(2, 40)]
+    got = {r["doc_id"]: r["component_id"] for r in neardup.report(
+        spark.createDataFrame(rows, "doc_id bigint, text string").repartition(8), n=3, num=85).collect()}
+    shingles = lambda t: {tuple(t[i:i + 3]) for i in range(len(t) - 2)}
+    b = shingles(base)
+    linked = [k for k, t in rows if 100 * len(b & (s := shingles(t.split()))) >= 85 * len(b | s)]
+    assert len(linked) > 9_900 and [k for k in linked if got[k] != 0] == []
+    assert len({got[k] for k, _ in rows if k >= 20_000}) == 1
+
+
 def test_quality_rules(docs):
     got = quality_rules.verdicts(docs).collect()
     texts = Counter((r["doc_id"], r["text"]) for r in docs.collect())
