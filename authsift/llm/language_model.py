@@ -7,13 +7,12 @@ p(word) = p(class | state) p(word | class, state).  A token outside is the class
 stand-in times its smoothed share of the tokens outside, so the model is a
 distribution over all words.
 
-Training: in each of ``rounds`` rounds every partition runs truncated
-back-propagation (windows of ``steps`` tokens, state carried across windows, reset
-at a document's start) over its share of the training documents, from common
-weights; Spark averages the partitions' weights by their tokens.  The share is a
-fraction, so what is learnt from grows with the corpus.  The start is the unigram
-model, in the output biases.  A training document's part in a round is decided by
-the hash of its id.
+Training: every training document is learnt from once, in one of ``rounds`` rounds,
+decided by the hash of its id (of its text, if the id is null).  In a round every
+partition runs truncated back-propagation (windows of ``steps`` tokens, state carried
+across windows, reset at a document's start) over the round's documents, from common
+weights; Spark averages the partitions' weights by their tokens.  The start is the
+unigram model, in the output biases.
 
 Scoring carries the state through whole documents.  Counts of at most 262,144
 of the most frequent tokens are broadcast (4 MB, a fixed bound); the other tokens of a document
@@ -41,7 +40,7 @@ CLASSES, PER = 32, 64
 VOCABULARY = CLASSES * PER
 FREQUENT = 1 << 18
 HIDDEN, STEPS, STREAMS = 24, 16, 128
-ROUNDS, SHARE, RATE = 2, 0.125, 0.02
+ROUNDS, RATE = 4, 0.02
 END = np.uint64(0)
 """Stands for the end token's hash."""
 ALPHA = 0.1
@@ -197,11 +196,13 @@ def train(m: dict, tokens: np.ndarray, fresh: np.ndarray, rate: float = RATE) ->
     """
     m = {k: v.copy() for k, v in m.items()}
     streams = max(1, min(STREAMS, len(tokens) // (8 * STEPS)))
-    length = len(tokens) // streams
-    if length < 2:
+    length = -(-len(tokens) // streams)
+    if not length:
         return m
-    t = tokens[:streams * length].reshape(streams, length)
-    new = fresh[:streams * length].reshape(streams, length).copy()
+    room = streams * length - len(tokens)  # the last stream's end, which is no token
+    t = np.pad(tokens, (0, room)).reshape(streams, length)
+    new = np.pad(fresh, (0, room)).reshape(streams, length)
+    live = (np.arange(streams * length) < len(tokens)).reshape(streams, length)
     new[:, 0] = True
     first, second = {k: np.zeros_like(v) for k, v in m.items()}, {k: np.zeros_like(v) for k, v in m.items()}
     h = np.zeros((streams, HIDDEN), np.float32)
@@ -220,7 +221,9 @@ def train(m: dict, tokens: np.ndarray, fresh: np.ndarray, rate: float = RATE) ->
             states.append(h)
             previous = t[:, s]
         grad = {key: np.zeros_like(v) for key, v in m.items()}
-        dh = softmax_gradients(m, np.concatenate(states), t[:, lo:hi].T.ravel(), grad)
+        on = live[:, lo:hi].T.ravel()
+        dh = np.zeros((len(on), k), np.float32)
+        dh[on] = softmax_gradients(m, np.concatenate(states)[on], t[:, lo:hi].T.ravel()[on], grad)
         dh = dh.reshape(hi - lo, streams, k)
         back = np.zeros((streams, k), np.float32)
         inputs = []
@@ -237,7 +240,7 @@ def train(m: dict, tokens: np.ndarray, fresh: np.ndarray, rate: float = RATE) ->
             grad["u"] += before.T @ dg
             back = np.where(start[:, None], np.float32(0), d * z + dg @ m["u"].T)
         _add_rows(grad["x"], *(np.concatenate(v) for v in zip(*inputs)))
-        scale = np.float32(1 / dh[:, :, 0].size)
+        scale = np.float32(1 / on.sum())
         norm = np.sqrt(sum(float((g * g).sum()) for g in grad.values())) * scale
         scale *= np.float32(min(1.0, 1.0 / max(norm, 1e-9)))
         lr = rate * (1 - 0.9 * u / updates)
@@ -287,12 +290,12 @@ def _frequent_from(counts: DataFrame) -> int:
     return least
 
 
-def _fit(rows: DataFrame, v, model: dict, rounds: int, share: float) -> dict:
+def _fit(rows: DataFrame, v, model: dict, rounds: int) -> dict:
     """Rounds of local training and averaging."""
     sc = rows.sparkSession.sparkContext
     pieces = 16
     shapes = [(k, x.shape, x.size) for k, x in model.items()]
-    parts = int(round(1 / share))
+    place = F.pmod(F.when(F.col("id").isNull(), F.xxhash64("t")).otherwise(F.xxhash64("id")), F.lit(rounds))
     for turn in range(rounds):
         now = sc.broadcast(model)
 
@@ -321,7 +324,7 @@ def _fit(rows: DataFrame, v, model: dict, rounds: int, share: float) -> dict:
             total = np.sum([np.frombuffer(x) for x in sorted(group["sum"])], axis=0)
             return pd.DataFrame({"piece": [group["piece"].iloc[0]], "part": [0], "n": [group["n"].sum()], "sum": [total.tobytes()]})
 
-        mine = rows.where("not held").where(F.pmod(F.xxhash64("id"), F.lit(parts)) == turn % parts).select("t")
+        mine = rows.where("not held").where(place == turn).select("t")
         schema = "piece int, part int, n bigint, sum binary"
         total = mine.mapInArrow(learn, schema)
         for keys in (["piece", "part"], ["piece"]):  # 64 partial sums, then one
@@ -338,7 +341,7 @@ def _fit(rows: DataFrame, v, model: dict, rounds: int, share: float) -> dict:
 
 
 def scores(docs: DataFrame, text: str = "text", id_col: str = "doc_id", folds: int = FOLDS, held: int = HELD,
-           rounds: int = ROUNDS, share: float = SHARE) -> DataFrame:
+           rounds: int = ROUNDS) -> DataFrame:
     """Per row: id, held_out, n_tokens, n_known, train_tokens, base_score, score."""
     sc = docs.sparkSession.sparkContext
     rows = docs.select(F.col(id_col).alias("id"), F.col(text).cast("string").alias("t"), (crc_mod(id_col, folds) == held).alias("held"))
@@ -346,7 +349,7 @@ def scores(docs: DataFrame, text: str = "text", id_col: str = "doc_id", folds: i
     total = counts.agg(F.coalesce(F.sum("c"), F.lit(0)).alias("n"), F.count(F.lit(1)).alias("v")).first()
     top = counts.where(F.col("c") >= _frequent_from(counts)).toPandas().sort_values(["c", "h"], ascending=[False, True])
     v = sc.broadcast(vocabulary(top["h"].to_numpy(np.int64).view(np.uint64), top["c"].to_numpy(np.int64), total["n"], total["v"]))
-    model = sc.broadcast(_fit(rows, v, initial(v.value), rounds, share))
+    model = sc.broadcast(_fit(rows, v, initial(v.value), rounds))
 
     def rare(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
