@@ -393,7 +393,9 @@ def components(edges: DataFrame) -> DataFrame:
 
 def clusters(docs: DataFrame, text: str = "text", id_col: str = "doc_id", n: int = 5, num: int = 80, den: int = 100
              ) -> tuple[DataFrame, DataFrame]:
-    """(rows, reps): rows (id, node, n_shingles); reps (node, rep, component_id) per class of equal sets.
+    """(rows, reps): rows (id, node, n_shingles); reps (node, rep, component_id, stays) per class of equal sets.
+
+    ``stays`` marks one class of every component: the one with the smallest id, then the smallest node.
 
     Linked: den * |intersection| >= num * |union| of the sets of n-word shingles.
     """
@@ -411,8 +413,10 @@ def clusters(docs: DataFrame, text: str = "text", id_col: str = "doc_id", n: int
         if not more.isEmpty():
             label = components(edges.unionByName(links(docs, reps, more, text, id_col, n, num, den)))
     reps = reps.select("node", "rep").join(label, "node", "left").withColumn("label", F.coalesce("label", "node"))
-    least = reps.groupBy("label").agg(F.min("rep").alias("component_id"))
-    return rows.drop("sig"), saved(reps.join(least, "label").drop("label"))
+    least = reps.groupBy("label").agg(F.min("rep").alias("component_id"),
+                                      F.min(F.struct(F.col("rep").isNull().alias("none"), "rep", "node")).alias("first"))
+    return rows.drop("sig"), saved(reps.join(least, "label").select(
+        "node", "rep", "component_id", (F.col("node") == F.col("first.node")).alias("stays")))
 
 
 def report(docs: DataFrame, text: str = "text", id_col: str = "doc_id", n: int = 5, num: int = 80, den: int = 100) -> DataFrame:
@@ -427,7 +431,7 @@ def report(docs: DataFrame, text: str = "text", id_col: str = "doc_id", n: int =
 def deduplicated(docs: DataFrame, text: str = "text", id_col: str = "doc_id", n: int = 5, num: int = 80, den: int = 100) -> DataFrame:
     """The rows of ``docs`` that stay, unchanged: one of every component, and all with an empty set.
 
-    Of a component the row with the smallest id stays (of repeated rows with that id one).
+    Of a component the row with the smallest id stays (of several rows with that id, or without any id, one).
     """
     _, reps = clusters(docs, text, id_col, n, num, den)
     t = docs.columns.index(text)
@@ -438,11 +442,7 @@ def deduplicated(docs: DataFrame, text: str = "text", id_col: str = "doc_id", n:
             yield with_columns(b, **{_NODE: pa.array(names, pa.binary())})
 
     rows = docs.mapInArrow(named, passed_through(docs, f"{_NODE} binary"))
-    # a class stays if it holds its component's id; without any id in the component, its smallest class
-    best = reps.where("rep <=> component_id").groupBy("component_id").agg(F.min("node").alias(_NODE)) \
-        .where("component_id is not null")
-    free = reps.where("component_id is null").select(F.col("node").alias(_NODE), F.lit(None).cast(docs.schema[id_col].dataType).alias(_REP))
-    stay = best.select(_NODE, F.col("component_id").alias(_REP)).unionByName(free)
+    stay = reps.where("stays").select(F.col("node").alias(_NODE), F.col("rep").alias(_REP))
     kept = rows.where(f"{_NODE} is not null").join(stay, _NODE).where(F.col(id_col).eqNullSafe(F.col(_REP))) \
         .dropDuplicates([_NODE]).select(*docs.columns)
     return kept.unionByName(rows.where(f"{_NODE} is null").select(*docs.columns))
