@@ -29,7 +29,7 @@ def op4_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def op5_sentence_spans(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return spans.deduplicated(table(spark, sf_dir, "documents")) \
+    return spans.deduplicated(table(spark, sf_dir, "documents"), ending=True) \
         .select("doc_id", "text", "n_sentences", "n_removed", "words_removed")
 
 

@@ -1,8 +1,12 @@
 r"""Substring dedup over sliding sentence spans.
 
 A sentence ends after ``.``, ``!`` or ``?`` before white space, or at a newline.  At
-every sentence starts a span: the shortest run of at least 2 sentences with at
-least 15 words.  Spans are equal if their words (A-Z lower-cased) are.  The
+every sentence starts a span and, with ``ending``, at every sentence ends one: the
+shortest run of at least 2 sentences with at least 15 words.  Both together cover
+every repeated run of so many sentences and words: up to the last start from which a
+run fits, the spans that start in it, and from there on the span that ends with it.
+Without ``ending`` a repeated run's last sentences stay if they have fewer than 15
+words; the query ``op5_sentence_spans`` takes both.  Spans are equal if their words (A-Z lower-cased) are.  The
 occurrences of a span are ordered by (id, text hash, position), a null id last; all
 but the first are repeated, and a sentence covered by any repeated occurrence is
 removed.
@@ -49,7 +53,7 @@ def sentences(data: np.ndarray, offs: np.ndarray) -> tuple[ta.Words, np.ndarray,
     return w, first, end, w.row[first]
 
 
-def spans(w: ta.Words, first: np.ndarray, end: np.ndarray, row: np.ndarray, run: int, least: int
+def spans(w: ta.Words, first: np.ndarray, end: np.ndarray, row: np.ndarray, run: int, least: int, ending: bool
           ) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
     """(first sentence, end sentence, hash) of every span; indices into the slice's sentences."""
     n = len(first)
@@ -61,6 +65,12 @@ def spans(w: ta.Words, first: np.ndarray, end: np.ndarray, row: np.ndarray, run:
     last = np.searchsorted(row, row, side="right")
     at = at[stop <= last]
     stop = stop[at]
+    if ending:
+        to = np.arange(1, n + 1)
+        back = np.minimum(np.searchsorted(first, end - least, side="right") - 1, to - run)
+        fits = back >= np.searchsorted(row, row)
+        each = np.unique(np.concatenate([at * (n + 1) + stop, back[fits] * (n + 1) + to[fits]]))  # a run found both ways is one span
+        at, stop = each // (n + 1), each % (n + 1)
     with np.errstate(over="ignore"):  # polynomial over the word hashes: any run in constant time
         p = ta._power(ta._BASE, len(w.hash) + 1)
         q = ta._power(ta._INVERSE, len(w.hash) + 1)
@@ -74,7 +84,8 @@ def _text_key(data: np.ndarray, offs: np.ndarray) -> np.ndarray:
     return ta.byte_hashes(data, offs[:-1], offs[1:]).view(np.int64)
 
 
-def repeats(docs: DataFrame, text: str = "text", id_col: str = "doc_id", run: int = RUN, least: int = MIN_WORDS) -> DataFrame:
+def repeats(docs: DataFrame, text: str = "text", id_col: str = "doc_id", run: int = RUN, least: int = MIN_WORDS,
+            ending: bool = False) -> DataFrame:
     """(id, key, removed): sentence ranges [lo, hi) to remove per document (id, hash of the text)."""
     rows = docs.select(F.col(id_col).alias("id"), F.col(text).cast("string").alias("t"))
 
@@ -83,7 +94,7 @@ def repeats(docs: DataFrame, text: str = "text", id_col: str = "doc_id", run: in
             for b in batches:
                 for a, _, data, offs in ta.slices(b.column(1)):
                     w, first, end, row = sentences(data, offs)
-                    s, e, h = spans(w, first, end, row, run, least)
+                    s, e, h = spans(w, first, end, row, run, least, ending)
                     if bits is not None and len(h):
                         pick = in_bitmap(bits.value, h)
                         s, e, h = s[pick], e[pick], h[pick]
@@ -104,9 +115,10 @@ def repeats(docs: DataFrame, text: str = "text", id_col: str = "doc_id", run: in
     return found.groupBy("id", "key").agg(F.sort_array(F.collect_set(F.struct("lo", "hi"))).alias("removed"))
 
 
-def deduplicated(docs: DataFrame, text: str = "text", id_col: str = "doc_id", run: int = RUN, least: int = MIN_WORDS) -> DataFrame:
+def deduplicated(docs: DataFrame, text: str = "text", id_col: str = "doc_id", run: int = RUN, least: int = MIN_WORDS,
+                 ending: bool = False) -> DataFrame:
     """``docs`` with the text less its repeated sentences, and n_sentences, n_removed, words_removed."""
-    cut = repeats(docs, text, id_col, run, least).select(F.col("id").alias(_ID), F.col("key").alias(_KEY),
+    cut = repeats(docs, text, id_col, run, least, ending).select(F.col("id").alias(_ID), F.col("key").alias(_KEY),
                                                          F.transform("removed", lambda r: F.array(r["lo"], r["hi"])).alias(_CUT))
     names = list(docs.columns)
     at = names.index(text)
