@@ -1,4 +1,4 @@
-"""Training-data operators: ten corpus operators and their registered queries.
+"""Training-data operators: the corpus operators and their registered queries.
 
 The package's functions are sent to the Python workers by value, so executors
 need no copy of the package on their path.

@@ -110,3 +110,73 @@ c AS (SELECT r, r AS o FROM d UNION SELECT c.r, l.b FROM c JOIN l ON c.o = l.a),
 k AS (SELECT c.r, min(d.doc_id) AS component_id FROM c JOIN d ON c.o = d.r GROUP BY c.r)
 SELECT doc_id, coalesce(n, 0) AS n_shingles, component_id, doc_id IS NOT DISTINCT FROM component_id AS kept
 FROM d LEFT JOIN n USING (r) JOIN k USING (r)"""
+
+
+_H = "CAST('0x' || substr(sha256('1:' || coalesce(CAST(doc_id AS VARCHAR), '')), {}, 8) AS BIGINT)"
+FIM = f"""
+WITH d AS (SELECT doc_id, coalesce(text, '') AS t, regexp_extract_all(coalesce(text, ''), '[A-Za-z]+|[^A-Za-z]') AS u,
+                  {_H.format(1)} AS h1, {_H.format(9)} AS h2, {_H.format(17)} AS h3, {_H.format(25)} AS h4 FROM documents),
+c AS (SELECT *, CAST(len(u) AS BIGINT) AS n, least(h1 % (len(u) + 1), h2 % (len(u) + 1)) AS a,
+             greatest(h1 % (len(u) + 1), h2 % (len(u) + 1)) AS b,
+             CASE WHEN t = '' OR contains(t, '<P>') OR contains(t, '<S>') OR contains(t, '<M>') OR h3 % 100 >= 90 THEN 'plain'
+                  WHEN h4 % 100 < 20 THEN 'spm' ELSE 'psm' END AS form FROM d),
+p AS (SELECT *, array_to_string(u[:a], '') AS pre, array_to_string(u[a + 1:b], '') AS mid, array_to_string(u[b + 1:], '') AS suf FROM c),
+o AS (SELECT *, CASE form WHEN 'plain' THEN t WHEN 'psm' THEN '<P>' || pre || '<S>' || suf || '<M>' || mid
+                          ELSE '<S>' || suf || '<P>' || pre || '<M>' || mid END AS out FROM p),
+r AS (SELECT *, CASE WHEN form = 'psm' THEN strpos(out, '<S>') WHEN form = 'spm' THEN strpos(out, '<P>') END AS i,
+             strpos(out, '<M>') AS m FROM o)
+SELECT doc_id, n, form, CASE WHEN form <> 'plain' THEN length(pre) END AS prefix_chars,
+       CASE WHEN form <> 'plain' THEN length(mid) END AS middle_chars, sha256(out) AS output_sha256,
+       sha256(CASE form WHEN 'plain' THEN out
+                        WHEN 'psm' THEN substr(out, 4, i - 4) || substr(out, m + 3) || substr(out, i + 3, m - i - 3)
+                        ELSE substr(out, i + 3, m - i - 3) || substr(out, m + 3) || substr(out, 4, i - 4) END) AS restored_sha256
+FROM r"""
+
+
+def _edit(held: str, cost: str, letter: str, line: str) -> str:
+    """The state's struct (cost, audit, repaired lines) after one edit."""
+    return f"{{'c': {held}.c + {cost}, 'a': {held}.a || '{letter}', 'o': {line}}}"
+
+
+_LINE = "{}.o || CASE WHEN {}.o = '' THEN '' ELSE chr(10) END || {}"  # a line holds its colon, so only no lines are ''
+_INS = lambda h, role: _edit(h, "3", "I", _LINE.format(h, h, f"'{role}:'"))
+_ROW = lambda h, cost, letter, role: f"CASE WHEN r.gone THEN {_FAR} ELSE {_edit(h, f'{cost} + r.extra', letter, _LINE.format(h, h, f'{role} || chr(58) || r.t'))} END"
+_FAR = "{'c': 1000000000::BIGINT, 'a': '', 'o': ''}"
+_LEAST = lambda *xs: f"list_sort([{', '.join(xs)}])[1]"
+_IF = lambda initial, h: f"CASE WHEN r.i = '{initial}' THEN {_ROW(h, 0, 'K', 'r.role')} ELSE {_FAR} END"
+_DEL = lambda h: _edit(h, "4", "D", f"{h}.o")
+
+TALKS = f"""
+WITH RECURSIVE crc AS (SELECT [list_reduce(list_prepend(k, range(8)), lambda x, y: CASE WHEN x & 1 = 1 THEN xor(x >> 1, 3988292384) ELSE x >> 1 END)
+                               FOR k IN range(256)] AS t),
+raw AS (SELECT conv_id, turn, coalesce(role, ' ') AS role, coalesce(text, ' ') AS t,
+               coalesce(CAST(conv_id AS VARCHAR), ' ') || ':' || coalesce(CAST(turn AS VARCHAR), ' ') AS key FROM conversations),
+keyed AS (SELECT *, xor(list_reduce(list_prepend(4294967295, [ascii(x)::BIGINT FOR x IN string_split(key, '')]),
+                  lambda x, b: xor(x >> 8, crc.t[(xor(x, b) & 255) + 1])), 4294967295) % 20 AS k FROM raw, crc),
+hurt AS (SELECT conv_id, turn, CASE WHEN k = 4 THEN 'user' ELSE role END AS role,
+                CASE k WHEN 1 THEN '' WHEN 2 THEN regexp_replace(keyed.t, '[.!?]', '', 'g') ELSE keyed.t END AS t,
+                unnest(range(CASE k WHEN 3 THEN 2 ELSE 1 END)) AS copy FROM keyed WHERE k <> 0),
+pos AS (SELECT *, row_number() OVER (PARTITION BY conv_id ORDER BY turn NULLS FIRST, role, sha256(t)) AS p FROM hurt),
+seen AS (SELECT *, row_number() OVER (PARTITION BY conv_id, role, t ORDER BY p) > 1 AS again,
+                NOT regexp_matches(t, '[^\\x20\\x09-\\x0D]') AS blank,
+                NOT regexp_matches(t, '[.!?][\\x20\\x09-\\x0D]*$') AS cut, substr(role, 1, 1) AS i FROM pos),
+r AS (SELECT *, blank OR again AS gone, CASE WHEN cut THEN 3 ELSE 0 END AS extra,
+             lag(i) OVER (PARTITION BY conv_id ORDER BY p) || i AS pair FROM seen),
+dp AS (SELECT DISTINCT conv_id, 0::BIGINT AS p, {{'c': 0::BIGINT, 'a': '', 'o': ''}} AS n, {_FAR} AS s, {_FAR} AS u, {_FAR} AS a FROM r
+  UNION ALL
+  SELECT conv_id, p, {_DEL('n')}, {_LEAST(_DEL('s'), _IF('s', 'n'))},
+         {_LEAST(_DEL('u2'), _IF('u', 'n'), _IF('u', 's'), _IF('u', 'a2'), _ROW('n', 3, 'R', "'user'"), _ROW('s', 3, 'R', "'user'"), _ROW('a2', 3, 'R', "'user'"))},
+         {_LEAST(_DEL('a2'), _IF('a', 'u2'), _ROW('u2', 3, 'R', "'assistant'"))}
+  FROM (SELECT *, {_LEAST('a', _INS('u2', 'assistant'))} AS a2 FROM (
+        SELECT r.*, dp.n, dp.s, dp.a, {_LEAST('dp.u', _INS('dp.n', 'user'), _INS('dp.s', 'user'), _INS('dp.a', 'user'))} AS u2
+        FROM dp JOIN r ON r.conv_id IS NOT DISTINCT FROM dp.conv_id AND r.p = dp.p + 1)) r),
+fin AS (SELECT conv_id, {_LEAST('n', _INS('u', 'assistant'), _INS(_LEAST(_INS('n', 'user'), _INS('s', 'user')), 'assistant'), 'a')} AS best
+        FROM dp QUALIFY p = max(p) OVER (PARTITION BY conv_id)),
+per AS (SELECT conv_id, coalesce(max(turn) - min(turn) + 1 - count(DISTINCT turn), 0) AS gaps, count(*) FILTER (blank) AS blank,
+               count(*) FILTER (again AND NOT blank) AS duplicate, count(*) FILTER (cut AND NOT gone) AS truncated,
+               count(*) FILTER (pair NOT IN ('su', 'ua', 'au')) AS illegal FROM r GROUP BY conv_id)
+SELECT c.conv_id, coalesce(gaps, 0) AS gaps, coalesce(blank, 0) AS blank, coalesce(duplicate, 0) AS duplicate,
+       coalesce(truncated, 0) AS truncated, coalesce(illegal, 0) AS illegal, coalesce(best.c, 0) AS cost,
+       coalesce(best.a, '') AS audit, sha256(coalesce(best.o, '')) AS repaired_sha256
+FROM (SELECT DISTINCT conv_id FROM conversations) c LEFT JOIN per ON per.conv_id IS NOT DISTINCT FROM c.conv_id
+     LEFT JOIN fin ON fin.conv_id IS NOT DISTINCT FROM c.conv_id"""
