@@ -16,6 +16,7 @@ from pyspark.sql import functions as F
 
 from ..functions.text import py_strip
 from . import dims
+from .correlate import HOSTS, USERS
 
 KEYS = ["dataset", "src_ip"]
 
@@ -147,23 +148,25 @@ def attack_matrix(results: DataFrame) -> DataFrame:
                     F.round(share, 6).alias("heat"))
 
 
-def top_accounts(results: DataFrame, alerts: DataFrame | None = None,
-                 k: int = 10) -> DataFrame:
-    """ANA11: accounts by number of attacking sources (top ``k``, name breaks ties)."""
-    src = (_attacks(results) if alerts is None
-           else alerts.join(_attacks(results).select(*KEYS), KEYS, "left_semi"))
-    return (src.select(F.explode("usernames_targeted").alias("account"))
-            .groupBy("account").agg(F.count(F.lit(1)).alias("attacking_sources"))
-            .orderBy(F.col("attacking_sources").desc(), "account").limit(k))
+def _top_values(results: DataFrame, pairs: DataFrame, kind: str, name: str, count: str,
+                k: int) -> DataFrame:
+    """Values of one kind by the number of attacking sources that have them (top ``k``)."""
+    attacks = _attacks(results).select(*KEYS)
+    return (pairs.where((F.col("kind") == kind) & (F.col("val") != ""))
+            .join(attacks, KEYS, "left_semi")
+            .groupBy(F.col("val").alias(name)).agg(F.count(F.lit(1)).alias(count))
+            .orderBy(F.col(count).desc(), name).limit(k))
 
 
-def top_hosts(results: DataFrame, alerts: DataFrame | None = None, k: int = 10) -> DataFrame:
-    """ANA12: hosts by number of attack alerts (top ``k``)."""
-    src = (_attacks(results) if alerts is None
-           else alerts.join(_attacks(results).select(*KEYS), KEYS, "left_semi"))
-    return (src.select(F.explode("hosts_targeted").alias("host"))
-            .groupBy("host").agg(F.count(F.lit(1)).alias("attack_alerts"))
-            .orderBy(F.col("attack_alerts").desc(), "host").limit(k))
+def top_accounts(results: DataFrame, pairs: DataFrame, k: int = 10) -> DataFrame:
+    """ANA11: accounts by number of attacking sources (top ``k``, name breaks ties), from
+    the pair table (:func:`authsift.operators.correlate.source_values`)."""
+    return _top_values(results, pairs, USERS, "account", "attacking_sources", k)
+
+
+def top_hosts(results: DataFrame, pairs: DataFrame, k: int = 10) -> DataFrame:
+    """ANA12: hosts by number of attack alerts (top ``k``), from the pair table."""
+    return _top_values(results, pairs, HOSTS, "host", "attack_alerts", k)
 
 
 def iocs(results: DataFrame, alerts: DataFrame | None = None) -> DataFrame:

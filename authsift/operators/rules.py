@@ -25,8 +25,8 @@ def _q(text: str) -> str:
 RULE_ID_SQL = """CASE
   WHEN connection_probes_no_auth >= 2 AND failed_logins = 0 AND successful_logins = 0 THEN 1
   WHEN success_after_failures AND NOT internal_source THEN 2
-  WHEN internal_source AND failed_logins >= 4 AND size(usernames_targeted) >= 3 THEN 3
-  WHEN (failed_logins >= 4 OR (failed_logins >= 2 AND size(usernames_targeted) >= 3))
+  WHEN internal_source AND failed_logins >= 4 AND n_users >= 3 THEN 3
+  WHEN (failed_logins >= 4 OR (failed_logins >= 2 AND n_users >= 3))
        AND NOT internal_source THEN 4
   WHEN internal_source AND failed_logins <= 2 AND successful_logins >= 1 THEN 5
   ELSE 6 END"""
@@ -40,11 +40,11 @@ CONFIDENCE_SQL = """CAST(CASE rule_id
 
 SUMMARY_SQL = f"""CASE rule_id
   WHEN 1 THEN format_string({_q(dims.SUMMARY_SCAN)}, src_ip, connection_probes_no_auth,
-                            size(hosts_targeted))
+                            n_hosts)
   WHEN 2 THEN format_string({_q(dims.SUMMARY_COMPROMISE)}, src_ip, failed_logins)
-  WHEN 3 THEN format_string({_q(dims.SUMMARY_SPRAY)}, src_ip, size(usernames_targeted))
+  WHEN 3 THEN format_string({_q(dims.SUMMARY_SPRAY)}, src_ip, n_users)
   WHEN 4 THEN format_string({_q(dims.SUMMARY_BRUTE)}, src_ip, failed_logins,
-                            size(usernames_targeted))
+                            n_users)
   WHEN 5 THEN CASE WHEN failed_logins > 0
                    THEN format_string({_q(dims.SUMMARY_TYPO)}, src_ip, failed_logins)
                    ELSE format_string({_q(dims.SUMMARY_NORMAL)}, src_ip, successful_logins) END
@@ -53,8 +53,14 @@ SUMMARY_SQL = f"""CASE rule_id
 
 def triage_rules(enriched: DataFrame, keep: tuple[str, ...] = ("dataset", "first_seq")) -> DataFrame:
     """Enriched alerts -> verdict records (``RESULT_COLUMNS``) plus ``rule_id``
-    and the ``keep`` columns (dataset and first-seen key, used for ranking)."""
+    and the ``keep`` columns (dataset and first-seen key, used for ranking).
+
+    The rules read the numbers of users and hosts; alerts from elsewhere that have
+    only the lists get the numbers from these."""
     spark = enriched.sparkSession
+    for number, values in (("n_users", "usernames_targeted"), ("n_hosts", "hosts_targeted")):
+        if number not in enriched.columns:
+            enriched = enriched.withColumn(number, F.size(values))
     scored = (enriched.withColumn("rule_id", F.expr(RULE_ID_SQL))
               .select(*keep, "src_ip", "rule_id", F.expr(CONFIDENCE_SQL).alias("confidence"),
                       F.expr(SUMMARY_SQL).alias("summary")))

@@ -13,7 +13,8 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from ..operators.correlate import correlate, raw_evidence
+from ..operators.correlate import (HOSTS, USERS, alerts_of, correlate, ordered_values, raw_evidence,
+                                   source_values)
 from ..operators.enrich import enrich
 from ..operators.parse import parse_audit, parse_events
 from ..operators.rank import filter_counts, filter_queue, queue_rows, rank_results
@@ -40,6 +41,11 @@ def events(spark: SparkSession, sf_dir: str) -> DataFrame:
     return derived(spark, sf_dir).events()
 
 
+def pairs(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The pair table, written once: (source, kind, value) rows that alerts and lists share."""
+    return derived(spark, sf_dir).pairs()
+
+
 def alerts(spark: SparkSession, sf_dir: str) -> DataFrame:
     return correlate(events(spark, sf_dir))
 
@@ -97,13 +103,13 @@ _ALERT_COLS_SQL = """src_ip, hosts AS hosts_targeted, failed_logins, successful_
   first_seen, last_seen"""
 
 
-def _flat_alerts(df: DataFrame) -> DataFrame:
+def _flat_alerts(df: DataFrame, *more: str) -> DataFrame:
     return df.select(
         "src_ip", F.array_join("hosts_targeted", ",").alias("hosts_targeted"),
         "failed_logins", "successful_logins", "invalid_user_attempts",
         "max_auth_exceeded_events", "preauth_disconnects", "connection_probes_no_auth",
         F.array_join("usernames_targeted", ",").alias("usernames_targeted"),
-        "success_after_failures", "first_seen", "last_seen")
+        "success_after_failures", "first_seen", "last_seen", *more)
 
 
 @register("source_alerts", O.q(O.ALERTS, f"SELECT {_ALERT_COLS_SQL} FROM alerts"))
@@ -117,9 +123,7 @@ SELECT src_ip, CAST(row_number() OVER (PARTITION BY src_ip ORDER BY f) AS INTEGE
 FROM (SELECT src_ip, "user", min(seq) AS f FROM parsed WHERE "user" <> '' GROUP BY 1, 2) x"""))
 def q_ordered_usernames(spark, sf_dir):
     """AGG8: distinct usernames in first-seen order, one row per position."""
-    return alerts(spark, sf_dir).select(
-        "src_ip", F.posexplode("usernames_targeted").alias("pos", "user")) \
-        .select("src_ip", (F.col("pos") + 1).alias("pos"), "user")
+    return ordered_values(pairs(spark, sf_dir), USERS, "user").drop("dataset")
 
 
 @register("ordered_hosts", O.q(O.PIPE, """
@@ -127,9 +131,7 @@ SELECT src_ip, CAST(row_number() OVER (PARTITION BY src_ip ORDER BY f) AS INTEGE
 FROM (SELECT src_ip, host, min(seq) AS f FROM parsed GROUP BY 1, 2) x"""))
 def q_ordered_hosts(spark, sf_dir):
     """AGG9: distinct hosts in first-seen order."""
-    return alerts(spark, sf_dir).select(
-        "src_ip", F.posexplode("hosts_targeted").alias("pos", "host")) \
-        .select("src_ip", (F.col("pos") + 1).alias("pos"), "host")
+    return ordered_values(pairs(spark, sf_dir), HOSTS, "host").drop("dataset")
 
 
 @register("success_after_failures", O.q(O.ALERTS, """
@@ -190,8 +192,7 @@ SELECT {_ALERT_COLS_SQL}, internal_source, geolocation, reputation FROM enr"""))
 def q_enriched_alerts(spark, sf_dir):
     """ENR6: alerts with the enrichment block (flattened for comparison)."""
     e = enriched(spark, sf_dir)
-    return _flat_alerts(e).join(e.select("src_ip", "internal_source", "geolocation",
-                                         "reputation"), "src_ip")
+    return _flat_alerts(e, "internal_source", "geolocation", "reputation")
 
 
 # --- step 4: rules and ranking -----------------------------------------------------------------
@@ -271,6 +272,12 @@ def triaged_wide(spark: SparkSession, sf_dir: str) -> DataFrame:
     return triage_rules(e, keep=tuple(c for c in e.columns if c != "src_ip"))
 
 
+def triaged_of_pairs(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Verdicts from the written pair table: the events are not correlated again."""
+    ctx = derived(spark, sf_dir)
+    return triage_rules(enrich(alerts_of(ctx.pairs()), intel=ctx.intel()))
+
+
 _CITIES_SQL = ", ".join("('" + c.replace("'", "''") + f"', {lat}::DOUBLE, {lon}::DOUBLE)"
                         for c, lat, lon in dims.CITY_COORDS)
 _TACTICS_SQL = ", ".join(f"('{t}', '{a}', {dims.TACTIC_ORDER.index(a)})"
@@ -378,7 +385,7 @@ JOIN triage t USING (src_ip) WHERE t.verdict = 'true_positive'
 GROUP BY 1 ORDER BY 2 DESC, 1 LIMIT 10"""))
 def q_top_accounts(spark, sf_dir):
     """ANA11: top 10 targeted accounts by attacking sources."""
-    return A.top_accounts(triaged_wide(spark, sf_dir))
+    return A.top_accounts(triaged_of_pairs(spark, sf_dir), pairs(spark, sf_dir))
 
 
 @register("top_hosts", O.q(O.TRIAGE, """
@@ -388,7 +395,7 @@ JOIN triage t USING (src_ip) WHERE t.verdict = 'true_positive'
 GROUP BY 1 ORDER BY 2 DESC, 1 LIMIT 10"""))
 def q_top_hosts(spark, sf_dir):
     """ANA12: top 10 targeted hosts by attack alerts."""
-    return A.top_hosts(triaged_wide(spark, sf_dir))
+    return A.top_hosts(triaged_of_pairs(spark, sf_dir), pairs(spark, sf_dir))
 
 
 @register("iocs", O.q(O.TRIAGE, """

@@ -16,6 +16,7 @@ from dataclasses import dataclass
 
 from pyspark.sql import DataFrame, SparkSession
 
+from ..operators.correlate import source_values
 from ..operators.parse import parse_events
 from ..session import shared_dir
 from ..sources.auth_log import read_auth_log
@@ -24,7 +25,7 @@ from ..sources.derived import (derive_auth_lines, derive_case_updates, derive_in
 
 DATASET = "derived"
 YEAR = 2024  # the year of the driver's events table; syslog lines carry none
-FORMAT_VERSION = "v6"
+FORMAT_VERSION = "v7"
 
 
 def _exists(spark: SparkSession, path: str) -> bool:
@@ -99,6 +100,14 @@ class Derived:
         """Parsed events (parquet written once from the text log)."""
         return self.spark.read.parquet(self.events_path)
 
+    @property
+    def pairs_path(self) -> str:
+        return f"{self.root}/source_values"
+
+    def pairs(self) -> DataFrame:
+        """(source, kind, value) pairs of the events (parquet written once)."""
+        return self.spark.read.parquet(self.pairs_path)
+
     @property
     def intel_path(self) -> str:
         return f"{self.root}/intel"
@@ -156,6 +165,8 @@ def derived(spark: SparkSession, sf_dir: str) -> Derived:
     _publish(spark, ctx.log_path, write_log)
     _publish(spark, ctx.events_path, lambda p: parse_events(ctx.lines(), year=YEAR)
              .write.mode("overwrite").parquet(p))
+    _publish(spark, ctx.pairs_path, lambda p: source_values(ctx.events())
+             .write.mode("overwrite").parquet(p))
     _publish(spark, ctx.intel_path, lambda p: derive_intel(events)
              .write.mode("overwrite").parquet(p))
     _publish(spark, ctx.cases_path, lambda p: derive_case_updates(events)

@@ -4,7 +4,7 @@ from pyspark.sql import functions as F
 
 from authsift.operators import analytics as A
 from authsift.operators import evaluate as EV
-from authsift.operators.correlate import correlate, raw_evidence
+from authsift.operators.correlate import correlate, raw_evidence, source_values
 from authsift.operators.enrich import enrich
 from authsift.operators.parse import parse_audit, parse_events
 from authsift.operators.rank import queue_rows, rank_results
@@ -114,16 +114,17 @@ def test_timeline(sample):
 
 
 def test_matrix_origins_entities(sample):
-    _, _, alerts, ranked = sample
+    _, events, alerts, ranked = sample
+    pairs = source_values(events)
     m = {r["technique_id"]: (r["tactic"], r["alerts"]) for r in A.attack_matrix(ranked).collect()}
     assert m == {"T1110": ("Credential Access", 2), "T1110.001": ("Credential Access", 1),
                  "T1110.003": ("Credential Access", 1), "T1595": ("Reconnaissance", 1)}
     o = {r["city"]: (r["attacks"], r["radius"]) for r in A.attack_origins(ranked, alerts).collect()}
     assert o == {c: (1, 220000.0) for c in ["Moscow", "Shenzhen", "St. Petersburg"]}
-    acc = A.top_accounts(ranked, alerts).collect()
+    acc = A.top_accounts(ranked, pairs).collect()
     assert [(r["account"], r["attacking_sources"]) for r in acc] == [("root", 2)] + [
         (u, 1) for u in ("anna", "backupd", "ben", "cam1", "cam2", "cora", "demo", "dirk")]
-    assert [(r["host"], r["attack_alerts"]) for r in A.top_hosts(ranked, alerts).collect()] == \
+    assert [(r["host"], r["attack_alerts"]) for r in A.top_hosts(ranked, pairs).collect()] == \
         [("gate7", 4), ("mail1", 3)]
     assert A.iocs(ranked, alerts).count() == 4
     sev = {r["severity"]: r["alerts"] for r in A.severity_counts(ranked).collect()}
