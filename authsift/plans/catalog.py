@@ -662,16 +662,11 @@ def q_stream_timeline(spark, sf_dir):
     return spark.read.parquet(out).select(_ts("hour").alias("hour"), "action", "events")
 
 
-def _stream_alert_state(spark: SparkSession, sf_dir: str) -> DataFrame:
-    out = ST.run_available_now(ST.stream_alerts(_stream_events(spark, sf_dir)), "alerts",
-                               mode="update")
-    return ST.latest_versions(spark.read.parquet(out), ["dataset", "src_ip"])
-
-
 @register("stream_alerts", O.q(O.STREAM_ALERTS, f"SELECT {_ALERT_COLS_SQL} FROM alerts"))
 def q_stream_alerts(spark, sf_dir):
-    """STR3: running per-source alert state (final state after all updates)."""
-    return _flat_alerts(_stream_alert_state(spark, sf_dir))
+    """STR3: running alert state per source: pairs from several micro-batches, lists as AGG8/AGG9."""
+    table = ST.run_alerts(_stream_events(spark, sf_dir))
+    return _flat_alerts(ST.alerts_of_spans(table.read()))
 
 
 @register("stream_sessions", O.q(O.PIPE + ("""
@@ -703,20 +698,27 @@ def q_stream_sessions(spark, sf_dir):
 @register("stream_triage", O.q(O.STREAM_TRIAGE, """
 SELECT src_ip, rule_id, verdict, severity, confidence FROM triage"""))
 def q_stream_triage(spark, sf_dir):
-    """STR5: streaming alert state triaged per micro-batch; latest verdict per source."""
-    alerts_stream = ST.stream_alerts(_stream_events(spark, sf_dir))
-    out = ST.stream_triage(alerts_stream, intel=derived(spark, sf_dir).intel())
-    cur = ST.latest_versions(spark.read.parquet(out), ["dataset", "src_ip"])
-    return cur.select("src_ip", "rule_id", "verdict", "severity", "confidence")
+    """STR5: changed sources triaged per micro-batch, upserted by source."""
+    cur = ST.stream_triage(_stream_events(spark, sf_dir), intel=derived(spark, sf_dir).intel())
+    return cur.verdicts.read().select("src_ip", "rule_id", "verdict", "severity", "confidence")
+
+
+@register("stream_severity_timeline", O.q(O.STREAM_TRIAGE, """
+SELECT strftime(date_trunc('hour', p.event_time), '%Y-%m-%d %H:%M:%S') AS hour,
+  coalesce(t.severity, 'informational') AS severity, CAST(count(*) AS BIGINT) AS events
+FROM parsed p LEFT JOIN triage t USING (src_ip) GROUP BY 1, 2"""))
+def q_stream_severity_timeline(spark, sf_dir):
+    """STR2 as ANA7: hours by parent severity, retracted when a verdict changes."""
+    cur = ST.stream_triage(_stream_events(spark, sf_dir), intel=derived(spark, sf_dir).intel(),
+                           name="timeline")
+    return ST.severity_timeline(cur.hours.read()).select(_ts("hour").alias("hour"), "severity", "events")
 
 
 @register("stream_case_state", O.q(O.CASES, """
-SELECT dataset, src_ip, field, first(value ORDER BY updated_at DESC, update_id DESC) AS value
-FROM upd GROUP BY 1, 2, 3"""))
+SELECT dataset, src_ip, status, assignee, notes, feedback,
+  strftime(updated_at, '%Y-%m-%d %H:%M:%S') AS updated_at FROM cases"""))
 def q_stream_case_state(spark, sf_dir):
-    """STR6: case updates consumed as a stream; latest value per field."""
-    path = derived(spark, sf_dir).cases_path
-    out = ST.run_available_now(ST.stream_case_state(spark, path, UPDATE_SCHEMA), "cases",
-                               mode="update")
-    cur = ST.latest_versions(spark.read.parquet(out), ["dataset", "src_ip", "field"])
-    return cur.select("dataset", "src_ip", "field", "value")
+    """STR6: case updates as a stream, merged field by field into the wide case row."""
+    state = ST.run_case_state(spark, derived(spark, sf_dir).cases_path, UPDATE_SCHEMA)
+    return state.read().select("dataset", "src_ip", "status", "assignee", "notes", "feedback",
+                               _ts("updated_at").alias("updated_at"))

@@ -330,31 +330,13 @@ upd AS (
   FROM upd GROUP BY dataset, src_ip
 )"""
 
-# --- stream semantics: order by (event time, raw line), unordered distinct lists ---------
-_STREAM_ALERTS = """
-sk AS (SELECT *, strftime(event_time, '%Y-%m-%d %H:%M:%S') || raw AS okey FROM parsed),
-alerts AS (
-  SELECT src_ip,
-    CAST(count_if(action = 'failed') AS BIGINT) AS failed_logins,
-    CAST(count_if(action = 'accepted') AS BIGINT) AS successful_logins,
-    CAST(count_if(invalid_user) AS BIGINT) AS invalid_user_attempts,
-    CAST(count_if(action = 'max_auth') AS BIGINT) AS max_auth_exceeded_events,
-    CAST(count_if(action = 'preauth_disconnect') AS BIGINT) AS preauth_disconnects,
-    CAST(count_if(action = 'probe') AS BIGINT) AS connection_probes_no_auth,
-    coalesce(min(CASE WHEN action = 'failed' THEN okey END)
-             < max(CASE WHEN action = 'accepted' THEN okey END), false) AS success_after_failures,
-    first(ts_text ORDER BY okey) AS first_seen, first(ts_text ORDER BY okey DESC) AS last_seen,
-    min(okey) AS first_seq,
-    coalesce(array_to_string(list_sort(list_distinct(list("user") FILTER (WHERE "user" <> ''))), ','), '')
-      AS usernames,
-    CAST(count(DISTINCT CASE WHEN "user" <> '' THEN "user" END) AS BIGINT) AS n_users,
-    array_to_string(list_sort(list_distinct(list(host))), ',') AS hosts,
-    CAST(count(DISTINCT host) AS BIGINT) AS n_hosts
-  FROM sk GROUP BY src_ip
-)"""
+# --- stream semantics: order by (event time, raw line) ------------------------------------
+_STREAM_ALERTS = _ALERTS.replace("FROM parsed", "FROM sk").replace("seq", "okey").replace("first_okey", "first_seq")
+_STREAM_KEY = """
+sk AS (SELECT *, strftime(event_time, '%Y-%m-%d %H:%M:%S') || raw AS okey FROM parsed)"""
 
 SECURITY = BASE[:1] + (_SECURITY,)
 CASE_BLOCK = _CASES
 CASES = (_PROFILED, _CASES)
-STREAM_ALERTS = PIPE + (_STREAM_ALERTS,)
+STREAM_ALERTS = PIPE + (_STREAM_KEY, _STREAM_ALERTS)
 STREAM_TRIAGE = STREAM_ALERTS + (_INTEL, _ENRICHED, _TRIAGE)

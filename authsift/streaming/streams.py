@@ -1,36 +1,42 @@
 """STR1-STR6: the same column functions as batch, run as Structured Streaming.
 
-* STR1 :func:`stream_events` - continuous log intake with the batch parser.
-  Streams refuse ``monotonically_increasing_id``, so the order key is the
-  event time with the raw line as tiebreak (``seq.t``, ``seq.file``).
-* STR2 :func:`stream_timeline` - hourly tumbling windows with a watermark,
-  append mode (late rows are dropped after the watermark).
-* STR3 :func:`stream_alerts` - running per-source state; every field is a
-  mergeable aggregate (count / min / max / min_by / max_by / sets).  State
-  grows with the number of sources; :func:`stream_sessions` (STR4) is the
-  bounded variant.
-* STR5 :func:`stream_triage` - STR3 updates -> enrichment -> rules in
-  ``foreachBatch``, appended as versions; the current verdict is the latest
-  version per source (the same last-write-wins pattern as case state).
-* STR6 :func:`stream_case_state` - case updates as a stream.
-
-:func:`run_available_now` drives a stream over the files present and writes
-its output under the shared folder; versioned writes are idempotent per
-batch id, so a replayed batch overwrites instead of duplicating.
+* STR1 :func:`stream_events`, :func:`stream_logon_events` - continuous intake of sshd logs
+  and logon exports with the batch parsers.  Streams refuse
+  ``monotonically_increasing_id``, so the order key is the event time with the raw line as
+  tiebreak (``seq.t``, ``seq.file``).
+* STR2 :func:`stream_timeline` - hourly counts per action, emitted when the watermark closes
+  the hour; :func:`severity_timeline` - the hourly table by the severity of the parent alert, kept
+  current by STR5: a changed verdict moves all hours of its source.
+* STR3 :func:`stream_pairs` - running alert state: one small state row per (source, kind,
+  value, span) instead of one growing set per source.  A span's rows leave the state once the
+  watermark has passed it, so idle sources cost nothing; the pair table keeps their totals, and
+  :func:`alerts_of_spans` makes alerts of it with the batch functions.
+* STR4 :func:`stream_sessions` - sessions per source.
+* STR5 :func:`stream_triage` - per micro-batch the changed sources are triaged and upserted by
+  source into a :class:`~authsift.streaming.current.CurrentTable`.
+* STR6 :func:`stream_case_state` - the batch case merge as streaming state, upserted by case.
+
+:func:`run_available_now` and :func:`run_into` drive a stream over the files present and write
+its output under the shared folder; a replayed batch changes nothing.
 """
 from __future__ import annotations
 
 import uuid
 from collections.abc import Callable
+from typing import NamedTuple
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ..functions.text import py_strip
+from ..operators import cases
+from ..operators.correlate import alerts_of
 from ..operators.enrich import enrich
 from ..operators.parse import parse_events
 from ..operators.rules import triage_rules
 from ..session import shared_dir
+from ..sources.logon_export import EXPORT_SCHEMA, logon_events
+from .current import CurrentTable
 
 KEYS = ["dataset", "src_ip"]
 
@@ -52,6 +58,29 @@ def stream_events(spark: SparkSession, path: str, dataset: str, year: int = 2026
         F.lit(0).cast("bigint").alias("block"), F.lit(0).cast("bigint").alias("row")))
 
 
+def stream_logon_lines(spark: SparkSession, path: str, files_per_trigger: int | None = None) -> DataFrame:
+    """STR1 for logon exports: every line of the exports present and to come, with its ``result``
+    (NULL: the line is blank, malformed or has no result) and the text itself."""
+    reader = spark.readStream.format("text")
+    if files_per_trigger:
+        reader = reader.option("maxFilesPerTrigger", files_per_trigger)
+    return reader.load(path).select(
+        "value", F.from_json("value", EXPORT_SCHEMA, {"mode": "PERMISSIVE"}).getField("result").alias("result"))
+
+
+def logon_events_of(lines: DataFrame, dataset: str) -> DataFrame:
+    """The auth events of logon lines, with the event-time order key of the sshd stream."""
+    rows = lines.where("result is not null").select(F.lit(0).cast("bigint").alias("_arrival"), "result.*")
+    return logon_events(rows, dataset).withColumn("seq", F.struct(
+        F.date_format("event_time", "yyyy-MM-dd HH:mm:ss.SSS").alias("t"), F.col("raw").alias("file"),
+        F.lit(0).cast("bigint").alias("block"), F.lit(0).cast("bigint").alias("row")))
+
+
+def rejected_lines(lines: DataFrame) -> DataFrame:
+    """Lines that are no result, to be kept beside the events; blank lines are no lines."""
+    return lines.where(F.col("result").isNull() & (F.trim("value") != "")).select("value")
+
+
 def stream_timeline(events: DataFrame, delay: str = "1 hour") -> DataFrame:
     """STR2: events per hour and action, emitted once the watermark closes the hour."""
     return (events.withWatermark("event_time", delay)
@@ -60,27 +89,56 @@ def stream_timeline(events: DataFrame, delay: str = "1 hour") -> DataFrame:
             .select(F.col("w.start").alias("hour"), "action", "events"))
 
 
-def stream_alerts(events: DataFrame) -> DataFrame:
-    """STR3: running alert fields per source (update mode)."""
+PAIR_KEYS = (*KEYS, "kind", "val", "span")
+_SUMS = ("failed", "accepted", "invalid", "probes", "preauth", "max_auth")
+
+
+def stream_pairs(events: DataFrame, span: str = "1 day", delay: str = "1 day") -> DataFrame:
+    """STR3: per (source, kind, value, span) the pair aggregates so far (update mode).
+
+    Kinds and columns are those of :func:`~authsift.operators.correlate.source_values`;
+    ``span`` is the start of the event's window.  All aggregates merge, map tasks
+    combine first, and a source of any number of users spreads over all state partitions.
+    The state of a span is dropped once the watermark (the latest event time less
+    ``delay``) has passed its end; rows later than that are dropped, as in every
+    windowed stream.
+    """
     a = F.col("action")
-    users = F.array_sort(F.collect_set(F.when(F.col("user") != "", F.col("user"))))
-    return events.groupBy(*KEYS).agg(
-        F.count_if(a == "failed").alias("failed_logins"),
-        F.count_if(a == "accepted").alias("successful_logins"),
-        F.count_if(F.col("invalid_user")).alias("invalid_user_attempts"),
-        F.count_if(a == "max_auth").alias("max_auth_exceeded_events"),
-        F.count_if(a == "preauth_disconnect").alias("preauth_disconnects"),
-        F.count_if(a == "probe").alias("connection_probes_no_auth"),
-        users.alias("usernames_targeted"),
-        F.array_sort(F.collect_set("host")).alias("hosts_targeted"),
-        F.coalesce(F.min(F.when(a == "failed", F.col("seq")))
-                   < F.max(F.when(a == "accepted", F.col("seq"))), F.lit(False))
-        .alias("success_after_failures"),
-        F.min_by("ts_text", "seq").alias("first_seen"),
-        F.max_by("ts_text", "seq").alias("last_seen"),
-        F.min("seq").alias("first_seq"),
-        F.max("seq").alias("last_seq"),
-        F.min_by("log_source", "seq").alias("log_source"))
+    when = lambda cond: F.when(cond, F.col("seq"))
+    keyed = events.withWatermark("event_time", delay).select(
+        *KEYS, "event_time", "seq", "log_source", "ts_text", "action", "invalid_user",
+        F.inline(F.array(F.struct(F.lit("u").alias("kind"), F.col("user").alias("val")),
+                         F.struct(F.lit("h").alias("kind"), F.col("host").alias("val")))))
+    user = F.col("kind") == "u"  # every event counts once, on its user row
+    return (keyed.groupBy(*KEYS, "kind", "val", F.window("event_time", span).alias("w")).agg(
+        F.min_by("log_source", "seq").alias("log_source"),
+        F.min_by("ts_text", "seq").alias("first_text"), F.max_by("ts_text", "seq").alias("last_text"),
+        F.min("seq").alias("first"), F.max("seq").alias("last"),
+        F.count_if(user & (a == "failed")).alias("failed"),
+        F.count_if(user & (a == "accepted")).alias("accepted"),
+        F.count_if(user & F.col("invalid_user")).alias("invalid"),
+        F.count_if(user & (a == "probe")).alias("probes"),
+        F.count_if(user & (a == "preauth_disconnect")).alias("preauth"),
+        F.count_if(user & (a == "max_auth")).alias("max_auth"),
+        F.min(when(a == "failed")).alias("first_failed"),
+        F.max(when(a == "accepted")).alias("last_accepted"))
+        .withColumn("span", F.col("w.start")).drop("w"))
+
+
+def over_spans(spans: DataFrame) -> DataFrame:
+    """The pair table of all spans: one row per (source, kind, value)."""
+    return spans.groupBy(*KEYS, "kind", "val").agg(
+        F.min_by("log_source", "first").alias("log_source"),
+        F.min_by("first_text", "first").alias("first_text"),
+        F.max_by("last_text", "last").alias("last_text"),
+        F.min("first").alias("first"), F.max("last").alias("last"),
+        *(F.sum(n).alias(n) for n in _SUMS),
+        F.min("first_failed").alias("first_failed"), F.max("last_accepted").alias("last_accepted"))
+
+
+def alerts_of_spans(spans: DataFrame) -> DataFrame:
+    """Running alerts of the sources in ``spans``, as the batch correlation makes them."""
+    return alerts_of(over_spans(spans))
 
 
 def stream_sessions(events: DataFrame, gap: str = "30 minutes",
@@ -97,50 +155,110 @@ def stream_sessions(events: DataFrame, gap: str = "30 minutes",
 
 
 def stream_case_state(spark: SparkSession, path: str, schema: str) -> DataFrame:
-    """STR6: latest value per (dataset, src_ip, field) over a stream of updates."""
-    updates = spark.readStream.schema(schema).parquet(path)
-    return updates.groupBy(*KEYS, "field").agg(
-        F.max_by("value", F.struct("updated_at", "update_id")).alias("value"),
-        F.max("updated_at").alias("updated_at"))
+    """STR6: the wide CASE1 row per (dataset, src_ip) over a stream of field updates (update
+    mode).  Each field keeps the value of its latest update, whatever the order of arrival;
+    an explicit NULL clears a field.  One small state row per case."""
+    return cases.case_state(spark.readStream.schema(schema).parquet(path))
 
 
-def latest_versions(versions: DataFrame, keys: list[str]) -> DataFrame:
-    """Current rows of a versioned table: per key, the row of the highest batch."""
-    cols = [c for c in versions.columns if c not in keys and c != "batch_id"]
-    return versions.groupBy(*keys).agg(
-        *[F.max_by(c, "batch_id").alias(c) for c in cols])
+def _place(spark: SparkSession, name: str) -> str:
+    return f"{shared_dir(spark)}/authsift-streams/{name}-{uuid.uuid4().hex[:8]}"
 
 
-def run_available_now(stream: DataFrame, name: str, mode: str = "append",
-                      transform: Callable[[DataFrame], DataFrame] | None = None) -> str:
-    """Run ``stream`` over the data present, write its output under the shared
-    folder and return the output path.
+def run_available_now(stream: DataFrame, name: str) -> str:
+    """Run ``stream`` in append mode over the data present into a parquet folder under the
+    shared folder (exactly-once by the sink's log); returns its path."""
+    base = _place(stream.sparkSession, name)
+    q = (stream.writeStream.option("checkpointLocation", f"{base}/_checkpoint").trigger(availableNow=True)
+         .outputMode("append").format("parquet").option("path", f"{base}/out").start())
+    q.awaitTermination()
+    return f"{base}/out"
 
-    ``append`` uses the parquet file sink (exactly-once via its log).  ``update``
-    writes each micro-batch, optionally ``transform``-ed, as version
-    ``batch_id`` of a versioned table (overwrite of that batch's partition, so
-    replays are idempotent); read it back with :func:`latest_versions`.
+
+def run_into(stream: DataFrame, checkpoint: str, write: Callable[[DataFrame, int], object]) -> None:
+    """Run ``stream`` in update mode over the data present; ``write`` gets each micro-batch
+    and its id (the same id again if a batch is replayed).
+
+    The state is kept in RocksDB, off the executors' heap.
     """
     spark = stream.sparkSession
-    base = f"{shared_dir(spark)}/authsift-streams/{name}-{uuid.uuid4().hex[:8]}"
-    out, chk = f"{base}/out", f"{base}/_checkpoint"
-    writer = stream.writeStream.option("checkpointLocation", chk).trigger(availableNow=True)
-    if mode == "append":
-        q = writer.outputMode("append").format("parquet").option("path", out).start()
-    else:
-        def write_batch(batch: DataFrame, batch_id: int) -> None:
-            df = transform(batch) if transform else batch
-            df.withColumn("batch_id", F.lit(batch_id)).write.mode("overwrite") \
-                .parquet(f"{out}/batch_id={batch_id}")
-        q = writer.outputMode("update").foreachBatch(write_batch).start()
-    q.awaitTermination()
+    key = "spark.sql.streaming.stateStore.providerClass"
+    before = spark.conf.get(key)
+    spark.conf.set(key, "org.apache.spark.sql.execution.streaming.state.RocksDBStateStoreProvider")
+    try:
+        q = (stream.writeStream.option("checkpointLocation", checkpoint).trigger(availableNow=True)
+             .outputMode("update").foreachBatch(write).start())
+        q.awaitTermination()
+    finally:
+        spark.conf.set(key, before)
+
+
+def pair_table(spark: SparkSession, root: str) -> CurrentTable:
+    """Where STR3 keeps its pairs: bucketed by source, so a batch reads its sources' buckets."""
+    return CurrentTable(spark, root, PAIR_KEYS, by=tuple(KEYS), spread=8)
+
+
+def run_alerts(events: DataFrame, name: str = "alerts", **spans: str) -> CurrentTable:
+    """STR3 over the events present; returns the current pair table (by span)."""
+    base = _place(events.sparkSession, name)
+    pairs = pair_table(events.sparkSession, f"{base}/pairs")
+    run_into(stream_pairs(events, **spans), f"{base}/_checkpoint", pairs.upsert)
+    return pairs
+
+
+class Triage(NamedTuple):
+    """The current tables of STR5 and STR2."""
+    pairs: CurrentTable
+    verdicts: CurrentTable   # one row per source
+    hours: CurrentTable      # events and severity per (source, hour)
+
+
+def hourly(spans: DataFrame, verdicts: DataFrame) -> DataFrame:
+    """Events per (source, hour) of hourly pairs, under the severity of the source's verdict."""
+    user = F.col("kind") == "u"  # every event has one action and counts on its user row
+    events = sum((F.col(n) for n in ("accepted", "probes", "preauth", "max_auth")), F.col("failed"))
+    return (spans.where(user).groupBy(*KEYS, F.col("span").alias("hour")).agg(F.sum(events).alias("events"))
+            .join(verdicts.select(*KEYS, "severity"), KEYS, "left")
+            .select(*KEYS, "hour", "events", F.coalesce("severity", F.lit("informational")).alias("severity")))
+
+
+def severity_timeline(hours: DataFrame) -> DataFrame:
+    """ANA7 of the current hours: events per hour and severity of the parent alert."""
+    return hours.groupBy("hour", "severity").agg(F.sum("events").alias("events"))
+
+
+def stream_triage(events: DataFrame, intel: DataFrame | None = None, name: str = "triage",
+                  delay: str = "1 day") -> Triage:
+    """STR5 and STR2: STR3 by the hour, with the sources of each micro-batch triaged anew.
+
+    Verdicts are upserted by source, and all hours of these sources under their new
+    severity: what the hour counted under the old one is thereby retracted, also when
+    the verdict comes long after the hour.  The three tables are committed one after
+    the other, the pairs first; a batch that fails between is done again from its id.
+    """
+    spark = events.sparkSession
+    base = _place(spark, name)
+    out = Triage(pair_table(spark, f"{base}/pairs"), CurrentTable(spark, f"{base}/verdicts", tuple(KEYS)),
+                 CurrentTable(spark, f"{base}/hours", (*KEYS, "hour"), by=tuple(KEYS)))
+
+    def write(batch: DataFrame, batch_id: int) -> None:
+        batch.persist()
+        try:
+            out.pairs.upsert(batch, batch_id)
+            spans = out.pairs.read_for(batch)
+            out.verdicts.upsert(triage_rules(enrich(alerts_of_spans(spans), intel=intel),
+                                             keep=("dataset", "first_seq", "log_source")), batch_id)
+            out.hours.upsert(hourly(spans, out.verdicts.read_for(batch)), batch_id)
+        finally:
+            batch.unpersist()
+
+    run_into(stream_pairs(events, span="1 hour", delay=delay), f"{base}/_checkpoint", write)
     return out
 
 
-def stream_triage(alerts_stream: DataFrame, intel: DataFrame | None = None) -> str:
-    """STR5: run STR3 and triage each batch of updated sources; returns the
-    versioned verdict table path."""
-    def triage_batch(batch: DataFrame) -> DataFrame:
-        return triage_rules(enrich(batch, intel=intel),
-                            keep=("dataset", "first_seq", "log_source"))
-    return run_available_now(alerts_stream, "triage", "update", triage_batch)
+def run_case_state(spark: SparkSession, path: str, schema: str, name: str = "cases") -> CurrentTable:
+    """STR6 over the updates present; returns the current case table."""
+    base = _place(spark, name)
+    state = CurrentTable(spark, f"{base}/state", tuple(KEYS))
+    run_into(stream_case_state(spark, path, schema), f"{base}/_checkpoint", state.upsert)
+    return state
