@@ -19,8 +19,17 @@ def py_strip(col: Column) -> Column:
 MONTHS = ["Jan", "Feb", "Mar", "Apr", "May", "Jun", "Jul", "Aug", "Sep", "Oct", "Nov", "Dec"]
 
 
-def syslog_time(ts_text: Column, year: int) -> Column:
-    """Year-less syslog time ('Jun  9 03:01:42') -> TIMESTAMP in ``year``.
+def syslog_month(ts_text: Column) -> Column:
+    """The month number of a syslog time (NULL: unknown)."""
+    month = F.lit(None).cast("int")
+    for i, name in reversed(list(enumerate(MONTHS, start=1))):
+        month = F.when(F.substring(ts_text, 1, 3) == name, F.lit(i)).otherwise(month)
+    return month
+
+
+def syslog_time(ts_text: Column, year: int | Column, zoned: bool = True) -> Column:
+    """Year-less syslog time ('Jun  9 03:01:42') -> TIMESTAMP in ``year`` (a
+    TIMESTAMP_NTZ, the log's own wall clock, unless ``zoned``).
 
     ``ts_text`` is the envelope's time field (three word characters,
     whitespace, day digits, one whitespace character, eight clock
@@ -29,13 +38,11 @@ def syslog_time(ts_text: Column, year: int) -> Column:
     a clock that is not ``dd:dd:dd`` or an impossible date (Feb 29 in a
     common year) yields NULL instead of failing the job.
     """
-    month = F.lit(None).cast("int")
-    for i, name in reversed(list(enumerate(MONTHS, start=1))):
-        month = F.when(F.substring(ts_text, 1, 3) == name, F.lit(i)).otherwise(month)
     n = F.length(ts_text)
     day = py_strip(F.substring(ts_text, F.lit(4), n - 12)).try_cast("int")
     clock = F.substring(ts_text, -8, 8)
     part = lambda pos: F.substring(clock, pos, 2).try_cast("int")
     well_formed = (F.substring(clock, 3, 1) == ":") & (F.substring(clock, 6, 1) == ":")
-    return F.when(well_formed, F.try_make_timestamp(
-        F.lit(year), month, day, part(1), part(4), part(7).cast("decimal(8,6)")))
+    make = F.try_make_timestamp if zoned else F.try_make_timestamp_ntz
+    return F.when(well_formed, make(year if isinstance(year, Column) else F.lit(year), syslog_month(ts_text), day,
+                                    part(1), part(4), part(7).cast("decimal(8,6)")))

@@ -1,8 +1,9 @@
 """EVAL1-EVAL11: triage results against labelled truth.
 
 Set algebra of the reference becomes one full outer join of results and
-labels on (src_ip) plus conditional counts.  ``results`` needs
-``src_ip, verdict``; ``labels`` needs ``src_ip, verdict`` (as ``truth``).
+labels plus conditional counts.  ``results`` needs ``src_ip, verdict``; ``labels``
+needs ``src_ip, verdict`` (as ``truth``).  Where both carry a ``dataset``, a label
+holds for its own dataset only (EVAL10); labels without one hold for every dataset.
 Precision counts every flagged result (labelled or not) in its denominator;
 recall counts every labelled attack (punted and missing ones too).
 """
@@ -27,15 +28,25 @@ def _one(df: DataFrame, keys: list[str]) -> DataFrame:
     return df.groupBy(*keys).agg(F.max_by("verdict", order).alias("verdict"))
 
 
-def _joined(results: DataFrame, labels: DataFrame, by: list[str]) -> DataFrame:
-    r = _one(results, [*by, "src_ip"]).withColumnRenamed("verdict", "predicted")
-    lab = _one(labels, ["src_ip"]).withColumnRenamed("verdict", "truth")
-    return r.join(lab, "src_ip", "full")
+def label_keys(results: DataFrame, labels: DataFrame) -> list[str]:
+    """What identifies an alert in both tables."""
+    return [k for k in ("dataset", "src_ip") if k in results.columns and k in labels.columns]
+
+
+def _sides(results: DataFrame, labels: DataFrame) -> tuple[DataFrame, DataFrame, list[str]]:
+    keys = label_keys(results, labels)
+    return (_one(results, keys).withColumnRenamed("verdict", "predicted"),
+            _one(labels, keys).withColumnRenamed("verdict", "truth"), keys)
+
+
+def _joined(results: DataFrame, labels: DataFrame) -> DataFrame:
+    r, lab, keys = _sides(results, labels)
+    return r.join(lab, keys, "full")
 
 
 def confusion(results: DataFrame, labels: DataFrame) -> DataFrame:
     """EVAL1: labelled results by (truth, predicted)."""
-    j = _joined(results, labels, []).where(F.col("truth").isNotNull()
+    j = _joined(results, labels).where(F.col("truth").isNotNull()
                                            & F.col("predicted").isNotNull())
     return j.groupBy("truth", "predicted").agg(F.count(F.lit(1)).alias("alerts"))
 
@@ -62,14 +73,15 @@ def _metrics(j: DataFrame, by: list[str]) -> DataFrame:
 
 def precision_recall(results: DataFrame, labels: DataFrame) -> DataFrame:
     """EVAL2, EVAL3, EVAL5: precision, recall and the outcome counts (one row)."""
-    return _metrics(_joined(results, labels, []), [])
+    return _metrics(_joined(results, labels), [])
 
 
 def engine_compare(results_by_engine: DataFrame, labels: DataFrame) -> DataFrame:
     """EVAL11: the same metrics per ``engine`` side by side."""
-    lab = _one(labels, ["src_ip"]).withColumnRenamed("verdict", "truth")
-    r = _one(results_by_engine, ["engine", "src_ip"]).withColumnRenamed("verdict", "predicted")
-    per = _metrics(r.join(lab, "src_ip", "left"), ["engine"])
+    keys = label_keys(results_by_engine, labels)
+    lab = _one(labels, keys).withColumnRenamed("verdict", "truth")
+    r = _one(results_by_engine, ["engine", *keys]).withColumnRenamed("verdict", "predicted")
+    per = _metrics(r.join(lab, keys, "left"), ["engine"])
     # every engine is held against all labels, also those it has no result for
     totals = lab.agg(F.count_if(F.col("truth") == TP).alias("_attacks"),
                      F.count_if(F.col("truth") == FP).alias("_benign")).withColumn("_one", F.lit(1))
@@ -84,7 +96,7 @@ def engine_compare(results_by_engine: DataFrame, labels: DataFrame) -> DataFrame
 
 def dangerous_misses(results: DataFrame, labels: DataFrame) -> DataFrame:
     """EVAL4: attacks explicitly cleared as benign, sorted."""
-    j = _joined(results, labels, [])
+    j = _joined(results, labels)
     return j.where((F.col("predicted") == FP) & (F.col("truth") == TP)) \
         .select("src_ip").orderBy("src_ip")
 
@@ -96,20 +108,18 @@ def verdict_histogram(results: DataFrame) -> DataFrame:
 
 def disagreements(results: DataFrame, labels: DataFrame) -> DataFrame:
     """EVAL7: labels whose prediction differs, missing predictions included."""
-    lab = _one(labels, ["src_ip"]).withColumnRenamed("verdict", "truth")
-    r = _one(results, ["src_ip"]).withColumnRenamed("verdict", "predicted")
-    j = lab.join(r, "src_ip", "left").withColumn(
+    r, lab, keys = _sides(results, labels)
+    j = lab.join(r, keys, "left").withColumn(
         "predicted", F.coalesce("predicted", F.lit("missing")))
-    return j.where(F.col("predicted") != F.col("truth")).select("src_ip", "truth", "predicted")
+    return j.where(F.col("predicted") != F.col("truth")).select(*keys, "truth", "predicted")
 
 
 def label_match(results: DataFrame, labels: DataFrame) -> DataFrame:
     """EVAL8: per-label result rows with a match flag."""
-    lab = _one(labels, ["src_ip"]).withColumnRenamed("verdict", "truth")
-    r = _one(results, ["src_ip"]).withColumnRenamed("verdict", "predicted")
-    j = lab.join(r, "src_ip", "left").withColumn(
+    r, lab, keys = _sides(results, labels)
+    j = lab.join(r, keys, "left").withColumn(
         "predicted", F.coalesce("predicted", F.lit("missing")))
-    return j.select("src_ip", "truth", "predicted",
+    return j.select(*keys, "truth", "predicted",
                     (F.col("predicted") == F.col("truth")).alias("match"))
 
 

@@ -9,9 +9,10 @@ rule engine's input/output contract, and MOD4 assembles incident evidence.
 from __future__ import annotations
 
 from collections.abc import Callable, Iterator
+from typing import NamedTuple
 
 import pandas as pd
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Observation
 from pyspark.sql import functions as F
 
 from .dims import SEVERITY_ORDER, VERDICTS
@@ -53,6 +54,18 @@ def validate_responses(responses: DataFrame, strict: bool = False) -> tuple[Data
     Valid: parses, all fields present, verdict and severity in their domains,
     confidence in 0..100.  ``strict`` raises when any row is rejected.
     """
+    parsed = _checked(responses)
+    valid = parsed.where("ok").select("r.*")
+    rejected = parsed.where("not ok").select("custom_id", "response")
+    if strict:
+        bad = rejected.limit(1).collect()
+        if bad:
+            raise ValueError(f"model response failed validation: {bad[0]['custom_id']}")
+    return valid, rejected
+
+
+def _checked(responses: DataFrame) -> DataFrame:
+    """``custom_id, response, r`` (the record) and ``ok``: whether it is a valid one."""
     parsed = responses.select("custom_id", "response",
                               F.from_json("response", RESULT_SCHEMA).alias("r"))
     r = F.col("r")
@@ -61,14 +74,38 @@ def validate_responses(responses: DataFrame, strict: bool = False) -> tuple[Data
           & F.col("r.confidence").between(0, 100)
           & F.col("r.mitre_technique_id").isNotNull() & F.col("r.mitre_technique_name").isNotNull()
           & F.col("r.summary").isNotNull() & F.col("r.recommended_actions").isNotNull())
-    ok = F.coalesce(ok, F.lit(False))
-    valid = parsed.where(ok).select("r.*")
-    rejected = parsed.where(~ok).select("custom_id", "response")
-    if strict:
-        bad = rejected.limit(1).collect()
-        if bad:
-            raise ValueError(f"model response failed validation: {bad[0]['custom_id']}")
-    return valid, rejected
+    return parsed.withColumn("ok", F.coalesce(ok, F.lit(False)))
+
+
+class Responses(NamedTuple):
+    """What :func:`write_validated` stored, and how much of it."""
+    valid: DataFrame
+    rejected: DataFrame
+    counts: dict[str, int]
+
+
+def write_validated(responses: DataFrame, path: str, strict: bool = False) -> Responses:
+    """MOD2 as one job: every response is parsed once and written as ``valid=true`` (its record) or
+    ``valid=false`` (its text) below ``path``; the counts are observed on the way.
+
+    ``strict`` raises after the write, from the observed counts, so the rejected rows can
+    be read.  A repeated run replaces the output.
+    """
+    spark = responses.sparkSession
+    seen = Observation()
+    fields = [c.split()[0] for c in RESULT_SCHEMA.split(", ")]
+    rows = _checked(responses).observe(
+        seen, F.count_if("ok").alias("valid"), F.count_if(~F.col("ok")).alias("rejected"),
+        F.min(F.when(~F.col("ok"), F.coalesce("custom_id", F.lit("(no id)")))).alias("first_rejected"))
+    (rows.select("custom_id", F.when(~F.col("ok"), F.col("response")).alias("response"),
+                 *[F.when(F.col("ok"), F.col(f"r.{f}")).alias(f) for f in fields], F.col("ok").alias("valid"))
+     .write.mode("overwrite").partitionBy("valid").parquet(path))
+    counts = seen.get
+    if strict and counts["rejected"]:
+        raise ValueError(f"model responses failed validation: {counts['rejected']}, among them {counts['first_rejected']}")
+    stored = spark.read.schema(f"custom_id string, response string, {RESULT_SCHEMA}, valid boolean").parquet(path)
+    return Responses(stored.where("valid").select(*fields), stored.where("not valid").select("custom_id", "response"),
+                     {k: counts[k] for k in ("valid", "rejected")})
 
 
 Scorer = Callable[[pd.DataFrame], pd.DataFrame]

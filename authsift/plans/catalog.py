@@ -487,20 +487,6 @@ def q_label_summary(spark, sf_dir):
     return EV.label_summary(labels(spark, sf_dir))
 
 
-@register("engine_compare", O.q(_EVAL, f"""
-SELECT 'rules' AS engine, {_METRICS} FROM {_FULL}
-UNION ALL
-SELECT 'rules_static_intel' AS engine, {_METRICS} FROM {_FULL}"""))
-def q_engine_compare(spark, sf_dir):
-    """EVAL11: the rule engine with the derived intel feed and with the static
-    table only, scored side by side (verdicts do not depend on reputation)."""
-    ctx = derived(spark, sf_dir)
-    with_feed = triaged(spark, sf_dir).withColumn("engine", F.lit("rules"))
-    static_only = triage_rules(enrich(correlate(ctx.events()))).withColumn(
-        "engine", F.lit("rules_static_intel"))
-    return EV.engine_compare(with_feed.unionByName(static_only), ctx.labels())
-
-
 # --- step 7: Windows logon events and source union ----------------------------------------
 from datetime import datetime  # noqa: E402
 
@@ -607,7 +593,10 @@ def q_feedback_counts(spark, sf_dir):
     return CS.feedback_counts(case_state(spark, sf_dir))
 
 
-@register("dataset_fingerprint")
+@register("dataset_fingerprint", O.q(O.BASE, """
+SELECT lower(printf('%016x%016x', CAST(h0 AS UBIGINT), CAST(h1 AS UBIGINT))) AS dataset_key FROM (
+  SELECT sum(CAST('0x' || substr(md5(raw), 1, 16) AS UBIGINT)::HUGEINT)::HUGEINT % 18446744073709551616 AS h0,
+         sum(CAST('0x' || substr(md5(raw), 17, 16) AS UBIGINT)::HUGEINT)::HUGEINT % 18446744073709551616 AS h1 FROM lines)"""))
 def q_dataset_fingerprint(spark, sf_dir):
     """CASE4 at scale: order-free fingerprint of the whole derived log."""
     return CS.order_free_fingerprint(derived(spark, sf_dir).lines())
@@ -722,3 +711,286 @@ def q_stream_case_state(spark, sf_dir):
     state = ST.run_case_state(spark, derived(spark, sf_dir).cases_path, UPDATE_SCHEMA)
     return state.read().select("dataset", "src_ip", "status", "assignee", "notes", "feedback",
                                _ts("updated_at").alias("updated_at"))
+
+
+@register("stream_union", O.q(O.STREAM_ALERTS + O.SECURITY[1:] + ("""
+wk AS (SELECT *, strftime(CAST(ts_text AS TIMESTAMP), '%Y-%m-%d %H:%M:%S.%g') || raw AS okey FROM win)""",), """
+SELECT 'derived' AS dataset, src_ip, failed_logins, successful_logins, invalid_user_attempts,
+  usernames AS usernames_targeted, hosts AS hosts_targeted, first_seen, last_seen, CAST(0 AS BIGINT) AS rejected FROM alerts
+UNION ALL
+SELECT 'derived_ad', src_ip, CAST(count_if(action = 'failed') AS BIGINT), CAST(count_if(action = 'accepted') AS BIGINT),
+  CAST(count_if(invalid_user) AS BIGINT),
+  (SELECT coalesce(string_agg("user", ',' ORDER BY f), '') FROM (SELECT "user", min(okey) AS f FROM wk x WHERE x.src_ip = wk.src_ip GROUP BY 1)),
+  (SELECT coalesce(string_agg(host, ',' ORDER BY f), '') FROM (SELECT host, min(okey) AS f FROM wk x WHERE x.src_ip = wk.src_ip GROUP BY 1)),
+  min(ts_text), max(ts_text), CAST(0 AS BIGINT) FROM wk GROUP BY src_ip
+UNION ALL
+SELECT 'rejected', NULL, NULL, NULL, NULL, NULL, NULL, NULL, NULL, CAST(count(*) AS BIGINT)
+FROM sel WHERE ends_with(src, '7') OR ends_with(src, '3')"""))
+def q_stream_union(spark, sf_dir):
+    """STR1, TAG1: sshd logs and logon exports in one stream of events; broken lines are kept and counted."""
+    ctx = derived(spark, sf_dir)
+    export = ctx.logon_export(_selected(spark, sf_dir))
+    lines = ST.stream_logon_lines(spark, export, files_per_trigger=2)
+    table, rejected = ST.run_union(_stream_events(spark, sf_dir), lines, "derived_ad")
+    got = ST.alerts_of_spans(table.read()).select(
+        "dataset", "src_ip", "failed_logins", "successful_logins", "invalid_user_attempts",
+        F.array_join("usernames_targeted", ",").alias("usernames_targeted"),
+        F.array_join("hosts_targeted", ",").alias("hosts_targeted"), "first_seen", "last_seen",
+        F.lit(0).cast("bigint").alias("rejected"))
+    none = [F.lit(None).cast(f.dataType).alias(f.name) for f in got.schema.fields[1:-1]]
+    count = rejected.agg(F.count(F.lit(1)).alias("rejected")).select(F.lit("rejected").alias("dataset"), *none, "rejected")
+    return got.unionByName(count)
+
+
+# --- step 11: written outputs read back, and inputs as files ------------------------------------
+from ..operators.rollover import with_rollover  # noqa: E402
+from ..session import shared_dir  # noqa: E402
+from ..sources import sinks as SK  # noqa: E402
+from ..sources.logon_export import read_logon_export, search_window  # noqa: E402
+from ..sources.tables import read_intel, read_labels, read_results  # noqa: E402
+
+
+def _selected(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return select_logon_events(derived(spark, sf_dir).security_events(), now=SEARCH_NOW,
+                               earliest=SEARCH_FROM, latest=SEARCH_NOW)
+
+
+def _output(spark: SparkSession, name: str) -> str:
+    import uuid
+    return f"{shared_dir(spark)}/authsift-outputs/{name}-{uuid.uuid4().hex[:8]}"
+
+
+@register("logon_export", O.q(O.SECURITY, """
+SELECT ts_text, host, action, "user", src_ip, invalid_user, method, raw FROM win"""))
+def q_logon_export(spark, sf_dir):
+    """SRC2, WIN1-4: an export file with broken lines, read and mapped."""
+    path = derived(spark, sf_dir).logon_export(_selected(spark, sf_dir))
+    return logon_events(read_logon_export(spark, path), "derived_ad").select(
+        "ts_text", "host", "action", "user", "src_ip", "invalid_user", "method", "raw")
+
+
+@register("source_intel", O.q((O.PROFILED, O.INTEL), """
+SELECT ip, geo, reputation, tags, reports_90d FROM intel"""))
+def q_source_intel(spark, sf_dir):
+    """SRC3: the intel feed from JSON lines."""
+    return read_intel(spark, derived(spark, sf_dir).intel_lines(), fmt="jsonl").select(
+        "ip", "geo", "reputation", F.array_join("tags", ";").alias("tags"), "reports_90d")
+
+
+@register("source_labels", O.q(O.BASE + (O.LABELS,), "SELECT src_ip, verdict, notes FROM labels_d"))
+def q_source_labels(spark, sf_dir):
+    """SRC4: label CSVs; of several rows of a source the last one counts."""
+    return read_labels(spark, derived(spark, sf_dir).label_files() + "/*")
+
+
+@register("written_results", O.q(O.TRIAGE, f"""
+SELECT src_ip, verdict, severity, confidence, mitre_technique_id, {O.SUMMARY_SQL} AS summary,
+  actions AS recommended_actions FROM triage"""))
+def q_written_results(spark, sf_dir):
+    """SNK1, SRC5: ranked verdicts written twice under one batch, and read back."""
+    path, rows = _output(spark, "results"), ranked(spark, sf_dir)
+    for _ in range(2):  # the second is the repeated job
+        SK.write_results(rows, path, batch="b1")
+    return read_results(spark, f"{path}/{SK.BATCH}=*", multiline=False).select(
+        "src_ip", "verdict", "severity", "confidence", "mitre_technique_id", "summary",
+        F.array_join("recommended_actions", "|").alias("recommended_actions"))
+
+
+@register("written_iocs", ORACLE["iocs"])
+def q_written_iocs(spark, sf_dir):
+    """SNK2: indicators as CSV, read back."""
+    path = _output(spark, "iocs")
+    found = A.iocs(triaged_wide(spark, sf_dir))
+    for _ in range(2):
+        SK.write_iocs(found, path, batch="b1")
+    ddl = ", ".join(f"{f.name} string" for f in found.schema)
+    return spark.read.schema(ddl).csv(f"{path}/{SK.BATCH}=*", header=True, escape='"') \
+        .withColumn("tags", F.coalesce("tags", F.lit("")))
+
+
+@register("written_blocklist", O.q(O.TRIAGE, """
+SELECT src_ip AS indicator FROM triage WHERE verdict = 'true_positive' AND NOT internal_source"""))
+def q_written_blocklist(spark, sf_dir):
+    """SNK3: the blocklist, read back."""
+    path = _output(spark, "blocklist")
+    SK.write_blocklist(A.iocs(triaged_wide(spark, sf_dir)), path, batch="b1")
+    return spark.read.text(f"{path}/{SK.BATCH}=*").select(F.col("value").alias("indicator"))
+
+
+@register("written_feedback", ORACLE["feedback_table"])
+def q_written_feedback(spark, sf_dir):
+    """SNK4: analyst feedback as CSV, read back."""
+    path = _output(spark, "feedback")
+    table = CS.feedback_table(case_state(spark, sf_dir), triaged(spark, sf_dir))
+    SK.write_feedback(table, path, batch="b1")
+    back = spark.read.schema(", ".join(f"{f.name} string" for f in table.schema)) \
+        .csv(f"{path}/{SK.BATCH}=*", header=True, escape='"')
+    return back.select("dataset", "src_ip", *[F.coalesce(c, F.lit("")).alias(c)
+                                              for c in ("ai_verdict", "analyst_feedback", "notes")])
+
+
+@register("written_case_updates", ORACLE["case_state"])
+def q_written_case_updates(spark, sf_dir):
+    """SNK5: case updates appended in two batches, one of them twice, and merged from the table."""
+    path, ups = _output(spark, "case-updates"), derived(spark, sf_dir).case_updates()
+    for batch in (0, 1, 0):
+        SK.append_case_updates(ups.where(F.col("update_id") % 2 == batch), path, batch=batch)
+    stored = spark.read.parquet(path).drop(SK.BATCH)
+    if stored.count() != ups.count():
+        raise RuntimeError("a repeated batch was appended twice")
+    return CS.case_state(stored).select("dataset", "src_ip", "status", "assignee", "notes", "feedback",
+                                        _ts("updated_at").alias("updated_at"))
+
+
+# --- step 12: model tables, engines and datasets -------------------------------------------------
+@register("model_request_fields", O.q(O.ENRICHED, """
+SELECT src_ip AS custom_id, 'external-triage-model' AS model, 'user' AS role, src_ip, failed_logins,
+  success_after_failures, hosts AS hosts_targeted, reputation, geolocation FROM enr"""))
+def q_model_request_fields(spark, sf_dir):
+    """MOD1: the request bodies, parsed field by field."""
+    body = F.from_json("body", "model string, messages array<struct<role:string,content:string>>")
+    alert = F.from_json(F.regexp_extract("m.content", r"(?s)\n(\{.*)$", 1), "src_ip string, failed_logins bigint, "
+                        "success_after_failures boolean, hosts_targeted array<string>, "
+                        "enrichment struct<geolocation:string,threat_intel:struct<reputation:string>>")
+    return (q_model_requests(spark, sf_dir).select("custom_id", body.alias("b"))
+            .select("custom_id", "b.model", F.explode("b.messages").alias("m"))
+            .select("custom_id", "model", "m.role", alert.alias("a"))
+            .select("custom_id", "model", "role", "a.src_ip", "a.failed_logins", "a.success_after_failures",
+                    F.array_join("a.hosts_targeted", ",").alias("hosts_targeted"),
+                    F.col("a.enrichment.threat_intel.reputation").alias("reputation"),
+                    F.col("a.enrichment.geolocation").alias("geolocation")))
+
+
+_RESPONSE_FAULT = "CAST(split_part(src_ip, '.', 4) AS INTEGER) % 7"
+
+
+def _responses(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Response bodies derived from the verdicts; some are wrong, by the address's last part."""
+    t = triaged(spark, sf_dir)
+    fault = F.substring_index("src_ip", ".", -1).cast("int") % 7
+    good = F.to_json(F.struct(
+        "src_ip", F.when(fault == 1, "maybe").otherwise(F.col("verdict")).alias("verdict"), "severity",
+        F.when(fault == 2, F.lit(140)).otherwise(F.col("confidence")).alias("confidence"), "mitre_technique_id",
+        "mitre_technique_name", F.when(fault != 3, F.col("summary")).alias("summary"), "recommended_actions"))
+    return t.select(F.col("src_ip").alias("custom_id"),
+                    F.when(fault == 4, F.substring(good, 1, 30)).otherwise(good).alias("response"))
+
+
+@register("model_responses", O.q(O.TRIAGE, f"""
+SELECT CASE WHEN {_RESPONSE_FAULT} BETWEEN 1 AND 4 THEN 'rejected' ELSE verdict END AS outcome,
+  CAST(count(*) AS BIGINT) AS responses,
+  CAST(sum(CASE WHEN {_RESPONSE_FAULT} BETWEEN 1 AND 4 THEN 0 ELSE confidence END) AS BIGINT) AS confidence
+FROM triage GROUP BY 1"""))
+def q_model_responses(spark, sf_dir):
+    """MOD2: responses validated and written in one job, valid and rejected rows read back."""
+    got = MIO.write_validated(_responses(spark, sf_dir), _output(spark, "responses"))
+    rows = got.valid.select(F.col("verdict").alias("outcome"), "confidence").unionByName(
+        got.rejected.select(F.lit("rejected").alias("outcome"), F.lit(0).alias("confidence")))
+    out = rows.groupBy("outcome").agg(F.count(F.lit(1)).alias("responses"), F.sum("confidence").alias("confidence"))
+    if got.counts["valid"] != got.valid.count() or got.counts["rejected"] != got.rejected.count():
+        raise RuntimeError(f"the observed counts {got.counts} are not those of the table")
+    return out
+
+
+def _count_scorer(pdf):
+    """An engine that looks at failed logins only."""
+    import pandas as pd
+    attack = pdf["failed_logins"] >= 4
+    return pd.DataFrame({
+        "src_ip": pdf["src_ip"], "verdict": attack.map({True: "true_positive", False: "false_positive"}),
+        "severity": attack.map({True: "high", False: "informational"}), "confidence": 70,
+        "mitre_technique_id": "N/A", "mitre_technique_name": "N/A", "summary": "",
+        "recommended_actions": [[] for _ in range(len(pdf))]})
+
+
+_COUNT_SQL = "CASE WHEN failed_logins >= 4 THEN 'true_positive' ELSE 'false_positive' END"
+
+
+def _scored(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return MIO.score_with(enriched(spark, sf_dir), _count_scorer)
+
+
+@register("scored_alerts", O.q(O.ALERTS, f"""
+SELECT src_ip, {_COUNT_SQL} AS verdict, 70 AS confidence FROM alerts"""))
+def q_scored_alerts(spark, sf_dir):
+    """MOD3: a supplied engine over Arrow batches of alerts."""
+    return _scored(spark, sf_dir).select("src_ip", "verdict", "confidence")
+
+
+@register("engine_misses", O.q(O.ALERTS + (O.LABELS,), f"""
+SELECT src_ip FROM (SELECT src_ip, {_COUNT_SQL} AS predicted FROM alerts) r
+JOIN labels_d l USING (src_ip) WHERE predicted = 'false_positive' AND l.verdict = 'true_positive'"""))
+def q_engine_misses(spark, sf_dir):
+    """EVAL4 on an engine that misses: attacks that the counting engine clears."""
+    return EV.dangerous_misses(_scored(spark, sf_dir), labels(spark, sf_dir))
+
+
+@register("engine_compare", O.q(_EVAL, f"""
+SELECT 'rules' AS engine, {_METRICS} FROM {_FULL}
+UNION ALL
+SELECT 'failed_count' AS engine, {_METRICS} FROM {_FULL.replace("verdict AS predicted FROM triage", _COUNT_SQL + " AS predicted FROM alerts")}"""))
+def q_engine_compare(spark, sf_dir):
+    """EVAL11: the rule engine and the counting engine of MOD3, scored side by side."""
+    rules = triaged(spark, sf_dir).select("src_ip", "verdict", F.lit("rules").alias("engine"))
+    counting = _scored(spark, sf_dir).select("src_ip", "verdict", F.lit("failed_count").alias("engine"))
+    return EV.engine_compare(rules.unionByName(counting), labels(spark, sf_dir))
+
+
+@register("dataset_labels", O.q(_EVAL, f"""
+SELECT {_METRICS} FROM (
+  SELECT 'derived' AS dataset, src_ip, verdict AS predicted FROM triage
+  UNION ALL SELECT 'turned', src_ip, verdict FROM triage) r
+FULL JOIN (
+  SELECT 'derived' AS dataset, src_ip, verdict AS truth FROM labels_d
+  UNION ALL SELECT 'turned', src_ip, CASE verdict WHEN 'true_positive' THEN 'false_positive' ELSE 'true_positive' END
+  FROM labels_d) l USING (dataset, src_ip)"""))
+def q_dataset_labels(spark, sf_dir):
+    """EVAL10: the same sources in two datasets whose labels disagree; a label holds for its own dataset."""
+    t, lab = triaged(spark, sf_dir).select("dataset", "src_ip", "verdict"), labels(spark, sf_dir)
+    turned = F.when(F.col("verdict") == "true_positive", "false_positive").otherwise("true_positive")
+    both = t.unionByName(t.withColumn("dataset", F.lit("turned")))
+    truth = lab.select(F.lit("derived").alias("dataset"), "src_ip", "verdict").unionByName(
+        lab.select(F.lit("turned").alias("dataset"), "src_ip", turned.alias("verdict")))
+    return EV.precision_recall(both, truth)
+
+
+# --- step 13: search windows and years --------------------------------------------------------------
+_WINDOWS = {  # earliest, latest, and the same bounds in DuckDB SQL
+    "day": ("-24h@h", "now", "date_trunc('hour', n - INTERVAL 24 HOUR)", "n"),
+    "week": ("-7d@d", "@d", "date_trunc('day', n - INTERVAL 7 DAY)", "date_trunc('day', n)"),
+    "monday": ("@w1", "now", "date_trunc('week', n)", "n"),
+    "month": ("-1mon@mon", "@mon", "date_trunc('month', n - INTERVAL 1 MONTH)", "date_trunc('month', n)"),
+    "quarter": ("@q", "+1q@q", "date_trunc('quarter', n)", "date_trunc('quarter', n + INTERVAL 3 MONTH)"),
+    "shift": ("-1d@d+8h", "-1d@d+16h", "date_trunc('day', n - INTERVAL 1 DAY) + INTERVAL 8 HOUR",
+              "date_trunc('day', n - INTERVAL 1 DAY) + INTERVAL 16 HOUR"),
+}
+_WINDOWS_NOW = datetime(2024, 1, 18, 15, 42, 7)
+
+
+@register("search_windows", O.q(O.SECURITY, "\nUNION ALL\n".join(f"""
+SELECT '{name}' AS search, CAST(count(*) AS BIGINT) AS events
+FROM sec, (SELECT TIMESTAMP '{_WINDOWS_NOW}' AS n) t WHERE event_time >= {lo} AND event_time < {hi}"""
+    for name, (_, _, lo, hi) in _WINDOWS.items())))
+def q_search_windows(spark, sf_dir):
+    """WIN8: events of relative search windows; one scan counts them all."""
+    raw = derived(spark, sf_dir).security_events()
+    counts = []
+    for name, (earliest, latest, *_) in _WINDOWS.items():
+        lo, hi = (F.lit(t.isoformat(sep=" ")).cast("timestamp") for t in search_window(_WINDOWS_NOW, earliest, latest))
+        counts.append(F.count_if((F.col("event_time") >= lo) & (F.col("event_time") < hi)).alias(name))
+    row = raw.agg(*counts)
+    return row.select(F.explode(F.map_from_arrays(F.array(*map(F.lit, _WINDOWS)), F.array(*_WINDOWS))).alias("search", "events"))
+
+
+@register("rollover_events", """
+SELECT strftime(CAST(o_orderdate AS DATE), '%Y-%m-%d') || ' ' || lpad(CAST(o_orderkey % 24 AS VARCHAR), 2, '0') || ':'
+  || lpad(CAST(o_orderkey % 60 AS VARCHAR), 2, '0') || ':' || lpad(CAST(o_orderkey % 59 AS VARCHAR), 2, '0') AS event_time,
+  'user' || o_custkey AS "user", 'shop' || (o_orderkey % 3) AS host
+FROM orders""")
+def q_rollover_events(spark, sf_dir):
+    """PARSE9: a log over seven years in several files; the lines have no year."""
+    from ..sources.auth_log import read_auth_log
+    ctx = derived(spark, sf_dir)
+    first = ctx.table("orders").agg(F.min(F.year("o_orderdate"))).first()[0]
+    ev = with_rollover(parse_events(read_auth_log(spark, ctx.order_log(), "orders")), first)
+    return ev.select(F.date_format("event_time", "yyyy-MM-dd HH:mm:ss").alias("event_time"), "user", "host")

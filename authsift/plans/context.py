@@ -15,13 +15,14 @@ from collections.abc import Callable
 from dataclasses import dataclass
 
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
 from ..operators.correlate import source_values
 from ..operators.parse import parse_events
 from ..session import shared_dir
 from ..sources.auth_log import read_auth_log
-from ..sources.derived import (derive_auth_lines, derive_case_updates, derive_intel,
-                               derive_labels, derive_security_events)
+from ..sources.derived import (derive_auth_lines, derive_case_updates, derive_export_lines, derive_intel,
+                               derive_labels, derive_order_lines, derive_security_events)
 
 DATASET = "derived"
 YEAR = 2024  # the year of the driver's events table; syslog lines carry none
@@ -39,7 +40,7 @@ def _publish(spark: SparkSession, path: str, write: Callable[[str], None]) -> No
     """Write a derived table once: into a fresh sibling folder, then renamed into
     place, so readers never see a half-written table and a concurrent writer
     that loses the race simply keeps the winner's copy."""
-    if _exists(spark, path + "/_SUCCESS"):
+    if _exists(spark, path):  # renamed into place when whole
         return
     tmp = f"{path}.tmp-{uuid.uuid4().hex[:8]}"
     write(tmp)
@@ -141,6 +142,43 @@ class Derived:
         return self.spark.read.parquet(self.labels_path)
 
 
+    # --- inputs that few queries read, written when first asked for ---------------------------
+    def _written(self, name: str, write: Callable[[str], None]) -> str:
+        path = f"{self.root}/{name}"
+        _publish(self.spark, path, write)
+        return path
+
+    def logon_export(self, selected: DataFrame) -> str:
+        """The selected logon rows as an export with broken lines; files in time order."""
+        def write(path: str) -> None:
+            files = max(4, self.spark.sparkContext.defaultParallelism // 2)
+            (derive_export_lines(selected).repartitionByRange(files, "_time").sortWithinPartitions("_time", "part")
+             .select("value").write.mode("overwrite").text(path))
+            _order_file_times(self.spark, path)
+        return self._written("logon_export", write)
+
+    def label_files(self) -> str:
+        """Label CSVs: an older file with every verdict turned round, then the labels."""
+        def write(path: str) -> None:
+            old = self.labels().select("src_ip", F.when(F.col("verdict") == "true_positive", "false_positive")
+                                       .otherwise("true_positive").alias("verdict"), F.lit("old").alias("notes"))
+            old.write.mode("overwrite").csv(f"{path}/0", header=True)
+            self.labels().select("src_ip", "verdict", "notes").write.mode("overwrite").csv(f"{path}/1", header=True)
+        return self._written("label_csv", write)
+
+    def intel_lines(self) -> str:
+        """The intel feed as JSON lines."""
+        return self._written("intel_jsonl", lambda p: self.intel().write.mode("overwrite").json(p))
+
+    def order_log(self) -> str:
+        """A log over several years; part files in name order are in arrival order."""
+        def write(path: str) -> None:
+            files = max(8, self.spark.sparkContext.defaultParallelism)
+            (derive_order_lines(self.table("orders")).repartitionByRange(files, "day", "seq")
+             .sortWithinPartitions("day", "seq").select("line").write.mode("overwrite").text(path))
+        return self._written("order_log", write)
+
+
 _READY: dict[tuple[str, str], Derived] = {}
 
 

@@ -265,6 +265,8 @@ ENRICHED = ALERTS + (_INTEL, _ENRICHED)
 TRIAGE = ENRICHED + (_TRIAGE,)
 SUMMARY_SQL = _summary_sql()
 LABELS = _LABELS
+INTEL = _INTEL
+PROFILED = _PROFILED
 
 
 def q(blocks: tuple[str, ...], select: str) -> str:

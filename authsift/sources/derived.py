@@ -173,6 +173,32 @@ def derive_case_updates(events: DataFrame) -> DataFrame:
                      seq.alias("update_id"))
 
 
+def derive_export_lines(results: DataFrame) -> DataFrame:
+    """A logon export as it arrives: the result rows as JSON lines, and among them
+    lines that are none - a cut-off copy of each row whose address ends in 7, a
+    ``{"preview": true}`` per row whose address ends in 3, a blank per row ending in 9."""
+    from .logon_export import RESULT_FIELDS
+    good = F.to_json(F.struct(F.lit(False).alias("preview"), F.struct(*RESULT_FIELDS).alias("result")))
+    src = F.col("src")
+    bad = (F.when(src.endswith("7"), F.substring(good, 1, 40)).when(src.endswith("3"), F.lit('{"preview": true}'))
+           .when(src.endswith("9"), F.lit("  ")))
+    lines = results.select("_time", F.array_compact(F.array(good, bad)).alias("lines"))
+    return lines.select("_time", F.posexplode("lines").alias("part", "value"))
+
+
+def derive_order_lines(orders: DataFrame) -> DataFrame:
+    """A failed login per order, at its date: a log over several years whose lines have none.
+    ``seq`` is the arrival order."""
+    k = F.col("o_orderkey")
+    two = lambda c: F.lpad(c.cast("string"), 2, "0")
+    clock = F.concat_ws(":", two(k % 24), two(k % 60), two(k % 59))
+    return orders.select(
+        F.col("o_orderdate").cast("date").alias("day"), k.alias("seq"),
+        F.concat(F.date_format("o_orderdate", "MMM"), F.lit(" "), F.lpad(F.dayofmonth("o_orderdate").cast("string"), 2, " "), F.lit(" "),
+                 clock, F.lit(" shop"), (k % 3).cast("string"), F.lit(" sshd[1]: Failed password for user"),
+                 F.col("o_custkey").cast("string"), F.lit(" from 10.9."), (k % 250).cast("string"), F.lit(".7 port 22 ssh2")).alias("line"))
+
+
 def derive_security_events(events: DataFrame) -> DataFrame:
     """A raw Windows security-event table: error -> 4625, click/view -> 4624, with
     logon types, sources, machine accounts and '-' addresses mixed in so every

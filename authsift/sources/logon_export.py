@@ -16,13 +16,14 @@ arrival key, so events sort by time and, inside one millisecond, by arrival
 """
 from __future__ import annotations
 
-from datetime import datetime, timedelta
+from datetime import datetime
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ..functions.ordering import with_arrival
 from ..functions.patterns import NO_SUCH_USER
+from ..functions.timespec import resolve
 
 LOG_SOURCE = "windows_ad"
 RESULT_FIELDS = ["_time", "host", "EventCode", "account", "src", "Logon_Type", "Sub_Status"]
@@ -30,6 +31,12 @@ RESULT_SCHEMA = "struct<" + ", ".join(f"`{f}`: string" for f in RESULT_FIELDS) +
 EXPORT_SCHEMA = f"preview boolean, result {RESULT_SCHEMA}"
 
 
+def write_logon_export(results: DataFrame, path: str, mode: str = "overwrite") -> None:
+    """Result rows as an export: one ``{"preview": false, "result": {...}}`` per line."""
+    line = F.to_json(F.struct(F.lit(False).alias("preview"), F.struct(*RESULT_FIELDS).alias("result")))
+    results.select(line.alias("value")).write.mode(mode).text(path)
+
+
 def read_logon_export(spark: SparkSession, path: str | list[str]) -> DataFrame:
     """Export lines -> ``seq, result.*`` rows (only lines with a ``result``)."""
     paths = [path] if isinstance(path, str) else list(path)
@@ -64,10 +71,19 @@ def logon_events(results: DataFrame, dataset: str) -> DataFrame:
                     raw.alias("raw"), F.lit(LOG_SOURCE).alias("log_source")))
 
 
+DEFAULT_EARLIEST, DEFAULT_LATEST = "-24h@h", "now"
+
+
+def search_window(now: datetime, earliest: datetime | str | None = None,
+                  latest: datetime | str | None = None) -> tuple[datetime, datetime]:
+    """WIN8: the bounds of a search; texts are relative times (:mod:`authsift.functions.timespec`)."""
+    bound = lambda t, default: resolve(t or default, now) if not isinstance(t, datetime) else t
+    return bound(earliest, DEFAULT_EARLIEST), bound(latest, DEFAULT_LATEST)
+
+
 def default_window(now: datetime) -> tuple[datetime, datetime]:
     """WIN8: 24 hours ago snapped to the hour, up to now."""
-    start = (now - timedelta(hours=24)).replace(minute=0, second=0, microsecond=0)
-    return start, now
+    return search_window(now)
 
 
 def _instant(t: datetime) -> F.Column:
@@ -76,16 +92,15 @@ def _instant(t: datetime) -> F.Column:
 
 
 def select_logon_events(security: DataFrame, now: datetime,
-                        earliest: datetime | None = None,
-                        latest: datetime | None = None) -> DataFrame:
+                        earliest: datetime | str | None = None,
+                        latest: datetime | str | None = None) -> DataFrame:
     """WIN5-WIN8 over raw security events.
 
     Input columns: ``event_time TIMESTAMP, source, host, EventCode, src_ip,
     Source_Network_Address, user, Account_Name ARRAY<STRING>, Logon_Type,
     Sub_Status``.  Output: the export's result columns plus ``_arrival``.
     """
-    start, end = default_window(now)
-    start, end = earliest or start, latest or end
+    start, end = search_window(now, earliest, latest)
     code, lt = F.col("EventCode"), F.col("Logon_Type")
     src = F.coalesce(F.col("src_ip"), F.col("Source_Network_Address"))
     account = F.coalesce(F.col("user"), F.try_element_at(F.col("Account_Name"), F.lit(-1)))

@@ -6,7 +6,6 @@ from pyspark.sql import functions as F
 
 from ..functions.ordering import with_arrival
 from ..operators.enrich import INTEL_SCHEMA
-from ..operators.evaluate import last_per_key
 
 INTEL_ENTRY = "struct<geo: string, reputation: string, tags: array<string>, reports_90d: int>"
 LABEL_SCHEMA = "src_ip string, verdict string, notes string"
@@ -44,9 +43,8 @@ def read_labels(spark: SparkSession, path: str | None) -> DataFrame:
         if "PATH_NOT_FOUND" in str(exc) or "does not exist" in str(exc):
             return spark.createDataFrame([], LABEL_SCHEMA)
         raise
-    verdicts = last_per_key(raw, "src_ip", "verdict", "seq")
-    notes = raw.groupBy("src_ip").agg(F.max_by("notes", "seq").alias("notes"))
-    return verdicts.join(notes, "src_ip")
+    last = F.max_by(F.struct("verdict", "notes"), "seq").alias("_last")
+    return raw.groupBy("src_ip").agg(last).select("src_ip", "_last.*")
 
 
 def read_results(spark: SparkSession, path: str, multiline: bool = True) -> DataFrame:

@@ -93,7 +93,7 @@ PAIR_KEYS = (*KEYS, "kind", "val", "span")
 _SUMS = ("failed", "accepted", "invalid", "probes", "preauth", "max_auth")
 
 
-def stream_pairs(events: DataFrame, span: str = "1 day", delay: str = "1 day") -> DataFrame:
+def stream_pairs(events: DataFrame, span: str = "1 day", delay: str | None = "1 day") -> DataFrame:
     """STR3: per (source, kind, value, span) the pair aggregates so far (update mode).
 
     Kinds and columns are those of :func:`~authsift.operators.correlate.source_values`;
@@ -101,11 +101,13 @@ def stream_pairs(events: DataFrame, span: str = "1 day", delay: str = "1 day") -
     combine first, and a source of any number of users spreads over all state partitions.
     The state of a span is dropped once the watermark (the latest event time less
     ``delay``) has passed its end; rows later than that are dropped, as in every
-    windowed stream.
+    windowed stream; so are rows without a time.  ``delay`` None: the stream has its watermark.
     """
     a = F.col("action")
+    if delay:
+        events = events.withWatermark("event_time", delay)
     when = lambda cond: F.when(cond, F.col("seq"))
-    keyed = events.withWatermark("event_time", delay).select(
+    keyed = events.select(
         *KEYS, "event_time", "seq", "log_source", "ts_text", "action", "invalid_user",
         F.inline(F.array(F.struct(F.lit("u").alias("kind"), F.col("user").alias("val")),
                          F.struct(F.lit("h").alias("kind"), F.col("host").alias("val")))))
@@ -206,6 +208,26 @@ def run_alerts(events: DataFrame, name: str = "alerts", **spans: str) -> Current
     return pairs
 
 
+def run_union(events: DataFrame, logon_lines: DataFrame, dataset: str, name: str = "union",
+              delay: str = "1 day") -> tuple[CurrentTable, DataFrame]:
+    """STR1, TAG1: auth events and logon exports as one stream of pairs, each kind under its own
+    watermark (the slower one counts); the exports' broken lines go to a table beside.
+
+    Returns the current pair table and the rejected lines.
+    """
+    spark = events.sparkSession
+    base = _place(spark, name)
+    columns = ["dataset", "seq", "event_time", "ts_text", "host", "action", "user", "src_ip", "invalid_user", "log_source"]
+    both = events.select(*columns).withWatermark("event_time", delay).union(
+        logon_events_of(logon_lines, dataset).select(*columns).withWatermark("event_time", delay))
+    pairs = pair_table(spark, f"{base}/pairs")
+    run_into(stream_pairs(both, delay=None), f"{base}/_checkpoint", pairs.upsert)
+    q = (rejected_lines(logon_lines).writeStream.option("checkpointLocation", f"{base}/_rejected_checkpoint")
+         .trigger(availableNow=True).outputMode("append").format("parquet").option("path", f"{base}/rejected").start())
+    q.awaitTermination()
+    return pairs, spark.read.schema("value string").parquet(f"{base}/rejected")
+
+
 class Triage(NamedTuple):
     """The current tables of STR5 and STR2."""
     pairs: CurrentTable

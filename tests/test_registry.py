@@ -50,8 +50,9 @@ def test_query_matches_oracle(spark, duck, name):
     df = E.queries()[name](spark, SF)
     rows = [tuple(r) for r in df.collect()]
     sql = E.oracle_sql().get(name)
-    if sql is None:
-        assert len(rows) >= 0
+    if sql is None:  # checked against brute force elsewhere; here: whole rows under a stable schema
+        assert len(set(df.columns)) == len(df.columns) and rows
+        assert all(len(r) == len(df.columns) for r in rows)
         return
     res = duck.sql(sql)
     orows = res.fetchall()
