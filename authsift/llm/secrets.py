@@ -15,16 +15,17 @@ Linking.  A credential often comes in parts that mean little alone:
 
 The parts are intervals within scopes.  A scope is a paragraph (text between
 blank lines); an interval reaches ``reach`` characters to either side, not
-beyond its scope.  Parts are joined on (row, scope, cell of ``reach``
-characters) with the interval condition, as semi-joins, so a part is emitted
-once however many partners it has.  A weak secret is reported only if an
+beyond its scope; a part may be of any length.  Parts are joined on (row, scope, cell of
+``reach`` characters) with the interval condition, as semi-joins, so a part is emitted
+once however many partners it has; a part lies in as many cells as it is long.  A weak secret is reported only if an
 identifier is in reach; an identifier only if a secret (weak or base) is; an
 endpoint only if both an identifier and a secret are.  Weak parts that overlap a
 base span are not reported again.
 
 Edge cases: null and empty texts have no spans (the hash is that of the empty
 string); a null id is kept; repeated rows each get a result; extra columns are
-ignored; an empty table gives an empty result.
+ignored; very long texts are scanned whole within their row; an empty table gives an
+empty result.
 """
 from __future__ import annotations
 
@@ -93,7 +94,7 @@ def text_of(spans: Column) -> Column:
 def scan(docs: DataFrame, text: str = "text", id_col: str = "doc_id", reach: int = REACH) -> DataFrame:
     """One row per row of ``docs``: id, base spans and linked spans as arrays of (start, rank, kind, end)."""
     t = F.coalesce(F.col(text), F.lit(""))
-    mixed = lambda m: m.rlike("[0-9]") & m.rlike("[A-Z]") & m.rlike("[a-z]") & (F.length(m) <= 200)
+    mixed = lambda m: m.rlike("[0-9]") & m.rlike("[A-Z]") & m.rlike("[a-z]")
     rows = docs.select(F.monotonically_increasing_id().alias("row"), F.col(id_col).alias("id"), t.alias("t"))
     rows = rows.select(
         "row", "id",

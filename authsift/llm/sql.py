@@ -50,7 +50,7 @@ SECRETS = "WITH d AS (SELECT row_number() OVER () AS r, doc_id, coalesce(text, '
     _found("hex_", secrets.HEX, "hex", 2),
     _found("ident_", secrets.IDENTIFIER, "identifier", 3),
     _found("weak_", secrets.WEAK, "weak", 4),
-    _found("blob_", secrets.BLOB, "weak", 4, "length(m) <= 200 AND regexp_matches(m, '[0-9]') AND regexp_matches(m, '[A-Z]') AND regexp_matches(m, '[a-z]')"),
+    _found("blob_", secrets.BLOB, "weak", 4, "regexp_matches(m, '[0-9]') AND regexp_matches(m, '[A-Z]') AND regexp_matches(m, '[a-z]')"),
     _found("end_", secrets.ENDPOINT, "endpoint", 5),
     _found("cut_", secrets.PARAGRAPH, "cut", 9),
 ]) + f""",

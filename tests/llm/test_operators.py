@@ -86,6 +86,16 @@ def test_secrets(docs):
     assert secrets.digest(empty(docs)).count() == 0
 
 
+def test_long_keys_are_secrets_too(spark):
+    rng = np.random.default_rng(2)
+    for n in (20, 199, 200, 201, 240, 5000):
+        key = "aB3" + "".join(rng.choice(list("abcdefXYZ0123456789+/"), n - 3))
+        docs = spark.createDataFrame([(1, f"user=deploy {key}")], "doc_id bigint, text string")
+        got = secrets.digest(docs).first()
+        assert got["spans"] == f"identifier:0:11,weak:12:{12 + n}", n
+        same(secrets.digest(docs), duck(docs.selectExpr("*", "'' AS lang", "'' AS source")), sql.SECRETS)
+
+
 def test_mixing(docs):
     same(mixing.mix(docs).drop("copies"), duck(docs), sql.MIX)
     assert mixing.mix(empty(docs)).count() == 0
