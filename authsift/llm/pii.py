@@ -14,12 +14,15 @@ with inserted, labelled examples and counter-examples (dates, versions, prices .
 Texts are read in windows of 128 characters every 64.  Every span holds a digit or
 an ``@``, so a window without either is all O by definition and isn't computed.
 Each window is decoded (Viterbi); a span cut by a window's edge is left to the
-window that holds it whole; of the rest a document keeps the non-overlapping set
-with the greatest total score (weighted interval scheduling).  Added spans must
+window that holds it whole, and one that no window holds is decoded again in windows of
+twice, four times ... the width around it, up to twice ``LONGEST``: longer spans
+are not added.  Of all whole spans a document keeps the non-overlapping set with the
+greatest total score (weighted interval scheduling).  Added spans must
 pass their kind's own check (``plausible``) and overlap no base span.
 
 Edge cases: null and empty texts have no spans (the hash is that of the empty
-string); repeated rows each get a result; extra columns are ignored or, in
+string); very long texts are read window by window, a slice of whole rows at a time; ties
+between sets of spans go to the earlier one; repeated rows each get a result; extra columns are ignored or, in
 ``redacted``, passed on; an empty table trains on inserted examples alone and gives
 an empty result.
 """
@@ -27,6 +30,7 @@ from __future__ import annotations
 
 import bisect
 import hashlib
+import itertools
 import random
 import re
 from collections.abc import Iterator
@@ -42,6 +46,8 @@ from authsift.llm.common import passed_through
 KINDS = ("email", "ip", "card", "phone")
 SAMPLE = 600
 WINDOW, STRIDE = 128, 64
+LONGEST = 1024
+"""Added spans of up to so many characters are found wherever they start."""
 HIDDEN, TRAIN_LENGTH, BATCH, UPDATES, RATE = 16, 80, 64, 400, 0.015
 CLIP = 0.1
 MIN_SCORE = 0.5
@@ -325,7 +331,7 @@ def plausible(kind: int, s: str) -> bool:
     d = _digits(s)
     if kind == 0:
         left, at, right = s.partition("@")
-        return bool(at) and "@" not in right and any(c.isalnum() for c in left) and any(c.isalnum() for c in right) and len(s) <= 100
+        return bool(at) and "@" not in right and any(c.isalnum() for c in left) and any(c.isalnum() for c in right)
     if kind == 1:
         parts = s.split(".")
         if len(parts) == 4 and all(p.isascii() and p.isdigit() and len(p) <= 3 and int(p) <= 255 for p in parts):
@@ -372,11 +378,45 @@ def tagged(m: dict, texts: list[np.ndarray], group: int = 1024) -> list[list[tup
         where.extend((k, int(s) * STRIDE) for s in starts)
     coded = [codes(cp) for cp in texts]
     found: list[list[tuple[int, int, int, float]]] = [[] for _ in texts]
+    width, cut = WINDOW, []
+    while where:
+        for k, begin, end, kind, score, whole in _decoded(m, coded, where, width, group * WINDOW // width):
+            if whole:
+                found[k].append((begin, kind, end, score))
+            else:
+                cut.append((k, begin, end))
+        # spans that every window so far has cut: windows of twice the width around them
+        width *= 2
+        left = _uncovered(cut, found) if width <= 2 * LONGEST else []
+        where = sorted({(k, min(max((a + e - width) // 2, 0), max(len(coded[k]) - width, 0))) for k, a, e in left})
+        cut = []
+    return [reconcile([x for x in f if x[3] >= MIN_SCORE]) for f in found]
+
+
+def _uncovered(cut: list[tuple[int, int, int]], found: list[list[tuple[int, int, int, float]]]) -> list[tuple[int, int, int]]:
+    """The cut spans (text, start, end) that lie in no whole span of their text."""
+    reach: dict[int, tuple[list[int], list[int]]] = {}
+    for k in {k for k, _, _ in cut}:
+        spans = sorted((a, e) for a, _, e, _ in found[k])
+        reach[k] = [a for a, _ in spans], list(itertools.accumulate((e for _, e in spans), max))
+    out = []
+    for k, a, e in cut:
+        starts, ends = reach[k]
+        at = bisect.bisect_right(starts, a) - 1
+        if at < 0 or ends[at] < e:
+            out.append((k, a, e))
+    return out
+
+
+def _decoded(m: dict, coded: list[np.ndarray], where: list[tuple[int, int]], width: int, group: int
+             ) -> Iterator[tuple[int, int, int, int, float, bool]]:
+    """(text, start, end, kind, score, whole) of the spans in the windows ``where`` (text, start); a span that
+    touches an inner edge of its window isn't whole."""
     for lo in range(0, len(where), group):
         part = where[lo:lo + group]
-        x = np.zeros((WINDOW, len(part)), np.uint8)
+        x = np.zeros((width, len(part)), np.uint8)
         for b, (k, s) in enumerate(part):
-            c = coded[k][s:s + WINDOW]
+            c = coded[k][s:s + width]
             x[:len(c), b] = c
         tags, gain = viterbi(m, x)
         for b in np.flatnonzero(tags.any(axis=0)):
@@ -384,13 +424,10 @@ def tagged(m: dict, texts: list[np.ndarray], group: int = 1024) -> list[list[tup
             col, g = tags[:, b], gain[:, b]
             for a in np.flatnonzero(col % 2 == 1):
                 e = a + 1
-                while e < WINDOW and col[e] == col[a] + 1:
+                while e < width and col[e] == col[a] + 1:
                     e += 1
-                # cut by the window's edge: another window holds it
-                if (a == 0 and s > 0) or (e == WINDOW and s + WINDOW < len(coded[k])):
-                    continue
-                found[k].append((s + int(a), (int(col[a]) - 1) // 2, s + e, float(g[a:e].mean())))
-    return [reconcile([x for x in f if x[3] >= MIN_SCORE]) for f in found]
+                whole = not (a == 0 and s > 0) and not (e == width and s + width < len(coded[k]))
+                yield k, s + int(a), min(s + e, len(coded[k])), (int(col[a]) - 1) // 2, float(g[a:e].mean()), whole
 
 
 def spans_of(m: dict, texts: list[str]) -> list[tuple[list[tuple[int, int, int]], list[tuple[int, int, int]]]]:

@@ -244,6 +244,24 @@ def test_personal_data_tagger(docs, spark):
     assert pii.reconcile([(0, 0, 5, 2.0), (4, 0, 9, 3.0), (9, 1, 12, 1.0), (0, 0, 5, 1.0)]) == [(4, 0, 9), (9, 1, 12)]
 
 
+@pytest.mark.parametrize("length", [10, 63, 64, 65, 100, 128, 129, 300, 900, pii.LONGEST])
+def test_added_spans_are_found_whole_wherever_they_start(monkeypatch, length):
+    seven = pii.codes(pii.points("7"))[0]
+
+    def runs(m, x):  # a tagger that marks runs of digits as telephone numbers
+        on = x == seven
+        first = on.copy()
+        first[1:] &= ~on[:-1]
+        return np.where(first, 7, np.where(on, 8, 0)).astype(np.int8), np.ones(x.shape, np.float32)
+    monkeypatch.setattr(pii, "viterbi", runs)
+    texts, want = [], []
+    for start in [*range(0, 130, 7 if length > 300 else 3), 2000]:
+        texts.append(pii.points("x" * start + "7" * length + "y" * 500 + "7" * 20 + "z" * 70))
+        want.append([(start, 3, start + length), (start + length + 500, 3, start + length + 520)])
+    assert pii.tagged({}, texts) == want
+    assert pii.tagged({}, [pii.points("x" * 70 + "7" * (2 * pii.LONGEST + 1) + "z" * 200)]) == [[]]
+
+
 def test_personal_data_rows(docs, spark, monkeypatch):
     monkeypatch.setattr(pii, "trained", lambda *a, **k: pii.initial())
     got = pii.digest(docs).collect()
