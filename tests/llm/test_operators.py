@@ -310,6 +310,46 @@ def test_toxicity(spark):
     assert got[0]["held_out"] == (zlib.crc32(b"0") % 4 == 2)
 
 
+def test_toxicity_counterfactuals_and_edge_cases(spark):
+    rng = np.random.default_rng(6)
+    rows, labels = [], []
+    for k in range(900):  # a group is named in most toxic texts, and in few others
+        w = [f"w{j}" for j in rng.integers(0, 300, 30)]
+        toxic = k % 4 == 0
+        if toxic and k % 8 == 0:
+            w[4] = "scoundrel"
+        if rng.random() < (0.8 if toxic else 0.05):
+            w[7] = "refugees"
+        rows.append((k, " ".join(w), "x", 1.0, b"q"))
+        labels.append((k, int(toxic)))
+    neutral = [(5000 + k, f"w{k} w{k + 1} refugees w{k + 2} w{k + 9}", "x", 1.0, b"q") for k in range(200)]
+    schema = "doc_id bigint, text string, order string, y double, words binary"
+    docs = spark.createDataFrame(rows + neutral + rows[:3] + [(None, None, "x", 1.0, b"q")], schema).repartition(4)
+    lab = spark.createDataFrame(labels + labels[:5] + [(None, 1), (3, None)], "doc_id bigint, toxic int")
+    flagged = {}
+    for weight in (0.0, toxicity.COUNTERFACTUAL):
+        got = toxicity.scores(docs, lab, counterfactual=weight).collect()
+        assert len(got) == len(rows) + 204
+        flagged[weight] = sum(r["predicted"] for r in got if (r["doc_id"] or 0) >= 5000)
+    assert flagged[0.0] >= 190 and flagged[toxicity.COUNTERFACTUAL] == 0  # neutral mentions of the group
+    # the fit against plain Newton steps on the whole matrix, with one row per id
+    chosen = toxicity.sample(docs, lab, "text", "doc_id", "toxic", "doc_id", 10**6, 4, 2)
+    assert chosen.count() == sum(zlib.crc32(str(k).encode()) % 4 != 2 for k in range(900))
+    feature = toxicity.features(chosen, toxicity.MIN_Z, 512)
+    words = {r["order"]: set(np.frombuffer(r["words"], np.uint64).tolist()) for r in chosen.collect()}
+    y, at, cols = toxicity.design(chosen, feature)
+    assert sorted(zip(at.tolist(), feature[cols].tolist())) == \
+        sorted((i, f) for i, o in enumerate(sorted(words)) for f in words[o] & set(feature.tolist()))
+    n, share = len(y), y.mean()
+    every = sorted(set().union(*words.values()))
+    c = np.array([[h in words[o] for h in every] for o in sorted(words)], float)
+    z = np.abs((y - share) @ c) / n * np.sqrt(n) / np.sqrt(share * (1 - share) * np.maximum(c.mean(0) * (1 - c.mean(0)), 1 / n))
+    want = {h for h, v in zip(every, z) if v >= toxicity.MIN_Z} | set(toxicity.hash_of(toxicity.IDENTITY).tolist())
+    assert want == set(feature.tolist())
+    assert toxicity.scores(docs.limit(0), lab).count() == 0
+    assert {r["score"] for r in toxicity.scores(docs, lab.limit(0)).collect()} == {0.5}
+
+
 def test_language_model(docs, spark):
     got = language_model.scores(docs).collect()
     texts = [(r["doc_id"], (r["text"] or "").translate(LOW)) for r in docs.collect()]
