@@ -17,7 +17,7 @@ expanded to item ids only at (document, text).
 
 Edge cases: null and word-less texts have no windows and no hits; windows of
 an item without id are hits, but it isn't counted or listed; repeated rows
-each get a result; extra columns are ignored; an empty benchmark or table gives no
+each get a result; very long texts are worked on whole; extra columns are ignored; an empty benchmark or table gives no
 hits or no rows.
 """
 from __future__ import annotations

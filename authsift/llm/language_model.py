@@ -21,7 +21,10 @@ are joined to the table of all counts by Spark, once per distinct text.
 Edge cases: null and empty texts are the end token alone; a null id counts as the
 empty text for the fold; repeated rows each get a result; without training tokens
 all counts are 0 and every token is outside the vocabulary; extra columns are
-ignored; an empty table gives an empty result.
+ignored; tokens that tie in count are ordered by hash; very long texts carry their state to the
+end; an empty table gives an empty result.  Scores depend on how the training rows lie in
+partitions, since each learns on its own before the average: the same files give the same
+scores, other splits slightly other ones.
 """
 from __future__ import annotations
 

@@ -16,8 +16,9 @@ side, the running sums are taken over these counts, and only rows of one
 
 Edge cases: null text and text without words have size 0 and take 0; a null
 source is a source of its own, last in order; a null id has the md5 of the
-empty text; repeated rows count as often as they stand; an empty table gives an
-empty result.
+empty text; repeated rows count as often as they stand, rows that tie in size, md5 and
+id are interchangeable; a very long text is one large document; extra columns, also with
+clashing names, are ignored or, in ``mixed``, passed on; an empty table gives an empty result.
 """
 from __future__ import annotations
 

@@ -15,7 +15,9 @@ Edge cases: null and empty texts have all-zero statistics and are scored like an
 other; null labels are left out, several labels of an id count by their maximum; a
 null id has no label; without any usable label every score is 0.5; with no row in
 the calibrating fold the ridge scores are clipped to 0..1; repeated rows each get a
-result; extra columns are ignored; an empty table gives an empty result.
+result, ties of the ridge score the same one; very long texts give their statistics slice by
+slice of whole rows; extra columns, also with clashing names, are ignored; an empty table
+gives an empty result.
 """
 from __future__ import annotations
 

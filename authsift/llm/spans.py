@@ -6,7 +6,8 @@ shortest run of at least 2 sentences with at least 15 words.  Both together cove
 every repeated run of so many sentences and words: up to the last start from which a
 run fits, the spans that start in it, and from there on the span that ends with it.
 Without ``ending`` a repeated run's last sentences stay if they have fewer than 15
-words; the query ``op5_sentence_spans`` takes both.  Spans are equal if their words (A-Z lower-cased) are.  The
+words.  Repeated runs of fewer words (``least``, a parameter) are left: short sentences recur
+by chance.  Spans are equal if their words (A-Z lower-cased) are.  The
 occurrences of a span are ordered by (id, text hash, position), a null id last; all
 but the first are repeated, and a sentence covered by any repeated occurrence is
 removed.
@@ -19,7 +20,8 @@ occurrences may be split over tasks.
 
 Edge cases: null and empty texts have no sentences and stay as they are; a text of
 fewer than 15 words or one sentence has no span; rows of equal id and text are one
-document (all keep the same sentences); extra columns are ignored or, in
+document (all keep the same sentences), and null ids come last among the occurrences; very
+long texts are worked on whole, a slice of rows at a time; extra columns are ignored or, in
 ``deduplicated``, passed on; an empty table gives an empty result.
 """
 from __future__ import annotations
@@ -85,7 +87,7 @@ def _text_key(data: np.ndarray, offs: np.ndarray) -> np.ndarray:
 
 
 def repeats(docs: DataFrame, text: str = "text", id_col: str = "doc_id", run: int = RUN, least: int = MIN_WORDS,
-            ending: bool = False) -> DataFrame:
+            ending: bool = True) -> DataFrame:
     """(id, key, removed): sentence ranges [lo, hi) to remove per document (id, hash of the text)."""
     rows = docs.select(F.col(id_col).alias("id"), F.col(text).cast("string").alias("t"))
 
@@ -116,7 +118,7 @@ def repeats(docs: DataFrame, text: str = "text", id_col: str = "doc_id", run: in
 
 
 def deduplicated(docs: DataFrame, text: str = "text", id_col: str = "doc_id", run: int = RUN, least: int = MIN_WORDS,
-                 ending: bool = False) -> DataFrame:
+                 ending: bool = True) -> DataFrame:
     """``docs`` with the text less its repeated sentences, and n_sentences, n_removed, words_removed."""
     cut = repeats(docs, text, id_col, run, least, ending).select(F.col("id").alias(_ID), F.col("key").alias(_KEY),
                                                          F.transform("removed", lambda r: F.array(r["lo"], r["hi"])).alias(_CUT))

@@ -12,9 +12,11 @@ import numpy as np
 import pyarrow as pa
 
 SLICE_BYTES = 1 << 19
+BLOCK_BYTES = 1 << 21
 
 _BASE = 0x9E3779B97F4A7C15 | 1
 _INVERSE = pow(_BASE, -1, 1 << 64)
+_MASK = (1 << 64) - 1
 _M = np.uint64(0xD6E8FEB86659FD93)
 
 
@@ -67,17 +69,45 @@ def slices(column: pa.Array) -> Iterator[tuple[int, int, np.ndarray, np.ndarray]
         a = b
 
 
-def byte_hashes(data: np.ndarray, start: np.ndarray, end: np.ndarray) -> np.ndarray:
-    """64-bit hashes of the byte ranges [start, end)."""
-    with np.errstate(over="ignore"):
-        v = data.astype(np.uint64)
+def _running(data: np.ndarray, at: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """At every place of ``at`` (ascending): the sum of (byte + 1) * base ** position before it, and base ** -place.
+
+    The bytes are worked on in blocks: no array of 8 bytes per byte of a very long text.
+    """
+    size = min(BLOCK_BYTES, len(data) + 1)
+    up, down = _power(_BASE, size), _power(_INVERSE, size)
+    total, undo = np.empty(len(at), np.uint64), np.empty(len(at), np.uint64)
+    before, far, back = np.uint64(0), np.uint64(1), np.uint64(1)  # of the block's first byte
+    for a in range(0, len(data) + 1, size):
+        v = data[a:a + size].astype(np.uint64)
         v += np.uint64(1)
-        v *= _power(_BASE, len(v))
-        c = np.empty(len(v) + 1, dtype=np.uint64)
-        c[0] = 0
+        v *= up[:len(v)]
+        c = np.zeros(len(v) + 1, dtype=np.uint64)
         np.cumsum(v, out=c[1:])
-        h = c[end] - c[start]
-        h *= _power(_INVERSE, len(v) + 1)[start]
+        c *= far
+        c += before
+        lo, hi = np.searchsorted(at, (a, a + size))
+        total[lo:hi] = c[at[lo:hi] - a]
+        undo[lo:hi] = down[at[lo:hi] - a] * back
+        before, far, back = c[-1], far * up[-1] * np.uint64(_BASE & _MASK), back * down[-1] * np.uint64(_INVERSE)
+    return total, undo
+
+
+def byte_hashes(data: np.ndarray, start: np.ndarray, end: np.ndarray) -> np.ndarray:
+    """64-bit hashes of the byte ranges [start, end); ascending starts and ascending ends."""
+    with np.errstate(over="ignore"):
+        if len(data) <= BLOCK_BYTES:
+            v = data.astype(np.uint64)
+            v += np.uint64(1)
+            v *= _power(_BASE, len(v))
+            c = np.zeros(len(v) + 1, dtype=np.uint64)
+            np.cumsum(v, out=c[1:])
+            h = c[end] - c[start]
+            h *= _power(_INVERSE, len(v) + 1)[start]
+        else:
+            before, undo = _running(data, start)
+            h = _running(data, end)[0] - before
+            h *= undo
         h += (end - start).astype(np.uint64) * np.uint64(0xA0761D6478BD642F)
     return mix(h)
 
