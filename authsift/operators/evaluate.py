@@ -15,14 +15,8 @@ from pyspark.sql import functions as F
 TP, FP, NI = "true_positive", "false_positive", "needs_investigation"
 
 
-def last_per_key(df: DataFrame, key: str = "src_ip", value: str = "verdict",
-                 order: str = "seq") -> DataFrame:
-    """EVAL10: with duplicate keys the last row (by ``order``) wins."""
-    return df.groupBy(key).agg(F.max_by(value, order).alias(value))
-
-
 def _one(df: DataFrame, keys: list[str]) -> DataFrame:
-    """EVAL10 inside the operators: one verdict per key, the last by the table's own
+    """EVAL10: one verdict per key, the last by the table's own
     order column (``seq``, ``_seq``, ``last_seq``), else the largest text."""
     order = next((c for c in ("seq", "_seq", "last_seq") if c in df.columns), "verdict")
     return df.groupBy(*keys).agg(F.max_by("verdict", order).alias("verdict"))
