@@ -8,9 +8,9 @@ r"""MinHash near-duplicates by an LSH forest.
    (tree, signature) rows over the cluster.
 3. Along a sorted order, neighbours with a common prefix of ``least`` bytes or more form
    a region, whose depth adapts to the place: a region of more than ``region`` classes
-   is split by the next bytes of its prefix until its parts are small enough.  The
-   classes of a part are compared by their whole signatures; those that agree in enough
-   bytes stay, in groups linked by that agreement.  A region that reaches a partition's
+   is split by the next bytes of its prefix until its parts hold ``near`` neighbours at
+   most.  The classes of a region or part are compared by their whole signatures; those
+   that agree in enough bytes stay, in groups linked by that agreement.  A region that reaches a partition's
    edge is put together again by its prefix.
    Depth alone would lose links in crowded places (a pair of similarity s shares a
    prefix of d bytes with probability s^d).  So in a region that had to be split, the
@@ -51,8 +51,9 @@ from pyspark.sql import functions as F
 from authsift.llm import textarrays as ta
 from authsift.llm.common import bitmap_of, in_bitmap, passed_through, saved, with_columns
 
-TREES, DEPTH, LEAST, REGION = 16, 8, 3, 512
-"""Sorted orders, bytes of an order's own, least common prefix, and neighbours that are compared whole."""
+TREES, DEPTH, LEAST, REGION, NEAR = 16, 8, 3, 512, 64
+"""Sorted orders, bytes of an order's own, least common prefix, classes of a region that is compared whole, and
+neighbours that are compared in a region that isn't."""
 STAR, BLOCK, SAMPLE = 256, 1024, 64
 """Leaves per group of a star, classes per block of a region, and classes that tell a region's commonest bytes."""
 SLACK = 0.16
@@ -169,14 +170,14 @@ def _bytes(column) -> np.ndarray:
 
 
 def parts(key: np.ndarray, lo: int, hi: int, depth: int = LEAST) -> Iterator[tuple[int, int]]:
-    """The rows lo .. hi of a sorted order, which share ``depth`` bytes, as ranges of at most REGION neighbours:
+    """The rows lo .. hi of a sorted order, which share ``depth`` bytes, as ranges of at most NEAR neighbours:
     a crowded range is split by its next byte.  Equal signatures beyond that are cut as they come."""
-    if hi - lo <= REGION:
+    if hi - lo <= NEAR:
         if hi - lo > 1:
             yield lo, hi
     elif depth == key.shape[1]:
-        for a in range(lo, hi, REGION):
-            yield from parts(key, a, min(a + REGION, hi), depth)
+        for a in range(lo, hi, NEAR):
+            yield from parts(key, a, min(a + NEAR, hi), depth)
     else:
         column = key[lo:hi, depth]
         for a, b in itertools.pairwise([lo, *(lo + 1 + np.flatnonzero(column[1:] != column[:-1])).tolist(), hi]):

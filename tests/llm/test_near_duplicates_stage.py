@@ -25,7 +25,7 @@ def test_one_row_of_every_component_stays(spark):
 
 
 def test_crowded_places_are_split_by_longer_prefixes(monkeypatch):
-    monkeypatch.setattr(neardup, "REGION", 8)
+    monkeypatch.setattr(neardup, "NEAR", 8)
     rng = np.random.default_rng(1)
     key = np.concatenate([rng.integers(0, 3, (200, 12)), np.full((20, 12), 7)]).astype(np.uint8)
     key[:, :neardup.LEAST] = 1
