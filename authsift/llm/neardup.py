@@ -6,18 +6,15 @@ r"""MinHash near-duplicates by an LSH forest.
 2. A class gets ``trees * depth`` minhashes of a byte each.  Tree t orders the
    classes by its own ``depth`` bytes (then the others): one range sort of
    (tree, signature) rows over the cluster.
-3. Along a sorted order, neighbours with a common prefix of ``least`` bytes or more form
-   a region, whose depth adapts to the place: a region of more than ``region`` classes
-   is split by the next bytes of its prefix until its parts hold ``near`` neighbours at
-   most.  The classes of a region or part are compared by their whole signatures; those
-   that agree in enough bytes stay, in groups linked by that agreement.  A region that reaches a partition's
-   edge is put together again by its prefix.
-   Depth alone would lose links in crowded places (a pair of similarity s shares a
-   prefix of d bytes with probability s^d).  So in a region that had to be split, the
-   class nearest to the region's commonest bytes is also compared with all others (a
-   text with many near copies), and what all exact links so far have not joined to
-   the region's largest component is compared with the whole region, in pairs of
-   blocks over the cluster.  Hence a pair need only share ``least`` bytes in one tree.
+3. Along a sorted order, classes with a common prefix of ``least`` bytes form a
+   region: a pair of similarity s meets in one with probability s^least in every
+   tree, however crowded the place is.  Within a region only classes whose whole
+   signatures agree in enough bytes stay, in groups linked by that agreement.  A
+   region that reaches a partition's edge is put together again by its prefix.
+   In a region of more than ``region`` classes first the class nearest to the
+   region's commonest bytes is compared with all others (a text with many near
+   copies); what its exact links have not joined to the region's largest component
+   is then compared with the whole region, in pairs of blocks over the cluster.
 4. The groups' members bring their full sets (groups met in several trees are
    taken once), and all pairs of a group are decided exactly by one product of
    0/1 matrices; only a spanning set of the links is emitted.
@@ -34,13 +31,12 @@ to n^2 / 1024 rows of groups; no pairs are emitted.
 Edge cases: null and word-less texts have an empty set and are linked with
 nothing, not even each other; a text with fewer words than a shingle is one
 shingle; a null id takes the component's smallest id and is kept only if no
-member has an id; repeated rows each get a result; very long texts are sets of their shingles, worked
-on a slice of whole rows at a time; extra columns are ignored or, in ``deduplicated``, passed
-on; an empty table gives an empty result.
+member has an id; repeated rows each get a result; very long texts are sets of their
+shingles, worked on a slice of whole rows at a time; extra columns are ignored or, in
+``deduplicated``, passed on; an empty table gives an empty result.
 """
 from __future__ import annotations
 
-import itertools
 from collections.abc import Iterator
 
 import numpy as np
@@ -51,9 +47,7 @@ from pyspark.sql import functions as F
 from authsift.llm import textarrays as ta
 from authsift.llm.common import bitmap_of, in_bitmap, passed_through, saved, with_columns
 
-TREES, DEPTH, LEAST, REGION, NEAR = 16, 8, 3, 512, 64
-"""Sorted orders, bytes of an order's own, least common prefix, classes of a region that is compared whole, and
-neighbours that are compared in a region that isn't."""
+TREES, DEPTH, LEAST, REGION = 16, 8, 3, 512
 STAR, BLOCK, SAMPLE = 256, 1024, 64
 """Leaves per group of a star, classes per block of a region, and classes that tell a region's commonest bytes."""
 SLACK = 0.16
@@ -169,21 +163,6 @@ def _bytes(column) -> np.ndarray:
     return np.frombuffer(b"".join(column), np.uint8).reshape(-1, TREES * DEPTH)
 
 
-def parts(key: np.ndarray, lo: int, hi: int, depth: int = LEAST) -> Iterator[tuple[int, int]]:
-    """The rows lo .. hi of a sorted order, which share ``depth`` bytes, as ranges of at most NEAR neighbours:
-    a crowded range is split by its next byte.  Equal signatures beyond that are cut as they come."""
-    if hi - lo <= NEAR:
-        if hi - lo > 1:
-            yield lo, hi
-    elif depth == key.shape[1]:
-        for a in range(lo, hi, NEAR):
-            yield from parts(key, a, min(a + NEAR, hi), depth)
-    else:
-        column = key[lo:hi, depth]
-        for a, b in itertools.pairwise([lo, *(lo + 1 + np.flatnonzero(column[1:] != column[:-1])).tolist(), hi]):
-            yield from parts(key, a, b, depth + 1)
-
-
 def candidates(reps: DataFrame, agree: int) -> tuple[DataFrame, DataFrame]:
     """(group, node): classes to compare, from the sorted orders; (tree, head, n, node, sig): the regions above REGION."""
     import pandas as pd
@@ -211,21 +190,6 @@ def candidates(reps: DataFrame, agree: int) -> tuple[DataFrame, DataFrame]:
                 [pa.nulls(n, pa.binary()), pa.array(nodes, pa.binary()), pa.array(tree, pa.int32()),
                  pa.array([x.tobytes() for x in key[:, :LEAST]], pa.binary()), pa.array([x.tobytes() for x in key], pa.binary())], names=names)
 
-        def grouped(groups, members):
-            n = len(groups)
-            return pa.RecordBatch.from_arrays(
-                [pa.array(groups, pa.binary()), pa.array(members, pa.binary()), pa.nulls(n, pa.int32()),
-                 pa.nulls(n, pa.binary()), pa.nulls(n, pa.binary())], names=names)
-
-        def deeper(key, nodes):
-            """Groups of the neighbours in a crowded region, or in as much of it as is at hand."""
-            groups, members = [], []
-            for lo, hi in parts(key, 0, len(nodes)):
-                g, m = _named(nodes[lo:hi], _linked(key[lo:hi], agree))
-                groups += g
-                members += m
-            return grouped(groups, members)
-
         for b in batches:
             if not b.num_rows:
                 continue
@@ -243,21 +207,20 @@ def candidates(reps: DataFrame, agree: int) -> tuple[DataFrame, DataFrame]:
                     break  # the last region may go on in the next batch
                 if k == 0 and (first or at(lo) == opened) or hi - lo > REGION:
                     yield given(tree[lo:hi], key[lo:hi], nodes[lo:hi])
-                    if hi - lo > REGION:
-                        yield deeper(key[lo:hi], nodes[lo:hi])
                 elif hi - lo > 1:
                     g, m = _named(nodes[lo:hi], _linked(key[lo:hi], agree))
                     groups += g
                     members += m
             if groups:
-                yield grouped(groups, members)
+                n = len(groups)
+                yield pa.RecordBatch.from_arrays(
+                    [pa.array(groups, pa.binary()), pa.array(members, pa.binary()), pa.nulls(n, pa.int32()),
+                     pa.nulls(n, pa.binary()), pa.nulls(n, pa.binary())], names=names)
             first = first and len(bounds) == 2
             lo = int(bounds[-2])
             rest = (tree[lo:], key[lo:], nodes[lo:])
             if at(lo) == opened or len(rest[0]) > REGION:
                 yield given(*rest)
-                if len(rest[0]) > REGION:
-                    yield deeper(*rest[1:])
                 opened, rest, first = at(lo), None, False
         if rest is not None:
             yield given(*rest)

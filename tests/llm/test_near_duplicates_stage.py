@@ -22,18 +22,3 @@ def test_one_row_of_every_component_stays(spark):
     ids = {g: [i for i, t in rows if t and group[t] == g and i is not None] for g in set(group.values())}
     assert sorted(kept, key=str) == sorted(((g, min(x) if x else None) for g, x in ids.items()), key=str)
     assert set(got) <= set(rows)
-
-
-def test_crowded_places_are_split_by_longer_prefixes(monkeypatch):
-    monkeypatch.setattr(neardup, "NEAR", 8)
-    rng = np.random.default_rng(1)
-    key = np.concatenate([rng.integers(0, 3, (200, 12)), np.full((20, 12), 7)]).astype(np.uint8)
-    key[:, :neardup.LEAST] = 1
-    key = key[np.lexsort(key.T[::-1])]
-    got = list(neardup.parts(key, 0, len(key)))
-    assert all(1 < b - a <= 8 for a, b in got) and all(b <= c for (_, b), (c, _) in zip(got, got[1:]))
-    prefix = lambda k, d: key[k, :d].tobytes()
-    for k in range(len(key) - 1):  # neighbours stay together at the least depth at which their region is small enough
-        depth = next((d for d in range(neardup.LEAST, 13) if sum(prefix(j, d) == prefix(k, d) for j in range(len(key))) <= 8), None)
-        if depth and prefix(k, depth) == prefix(k + 1, depth):
-            assert any(a <= k and k + 1 < b for a, b in got), k
