@@ -195,13 +195,14 @@ def run_into(stream: DataFrame, checkpoint: str, write: Callable[[DataFrame, int
         spark.conf.set(key, before)
 
 
-def pair_table(spark: SparkSession, root: str) -> CurrentTable:
-    """Where STR3 keeps its pairs: bucketed by source, so a batch reads its sources' buckets."""
-    return CurrentTable(spark, root, PAIR_KEYS, by=tuple(KEYS), spread=8)
+def pair_table(spark: SparkSession, root: str, buckets: int = 16, spread: int = 4) -> CurrentTable:
+    """Where STR3 keeps its pairs: bucketed by source, so a batch reads its sources' buckets; a bucket
+    has ``spread`` files, over which the pairs of one large source are dealt."""
+    return CurrentTable(spark, root, PAIR_KEYS, by=tuple(KEYS), buckets=buckets, spread=spread)
 
 
 def run_alerts(events: DataFrame, name: str = "alerts", **spans: str) -> CurrentTable:
-    """STR3 over the events present; returns the current pair table (by span)."""
+    """STR3 over the events present; returns the current pair table (one row per pair and span)."""
     base = _place(events.sparkSession, name)
     pairs = pair_table(events.sparkSession, f"{base}/pairs")
     run_into(stream_pairs(events, **spans), f"{base}/_checkpoint", pairs.upsert)
