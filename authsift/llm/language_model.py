@@ -280,11 +280,11 @@ def document_logs(m: dict, ids: np.ndarray, offs: np.ndarray, group: int = 1024,
     return out
 
 
-def _frequent_from(counts: DataFrame) -> int:
-    """The least count at which at most FREQUENT tokens are left: from the sizes of 16 classes per doubling."""
+def frequent_from(counts: DataFrame, frequent: int = FREQUENT) -> int:
+    """The least count at which at most ``frequent`` tokens are left: from the sizes of 16 classes per doubling."""
     cls = F.floor(F.log2("c") * 16).cast("int")
     sizes = sorted(counts.groupBy(cls.alias("k")).count().collect(), key=lambda r: -r["k"])  # at most 16 * 63 rows
-    left, least = FREQUENT, 1 << 62
+    left, least = frequent, 1 << 62
     for r in sizes:
         left -= r["count"]
         if left < 0:
@@ -350,7 +350,7 @@ def scores(docs: DataFrame, text: str = "text", id_col: str = "doc_id", folds: i
     rows = docs.select(F.col(id_col).alias("id"), F.col(text).cast("string").alias("t"), (crc_mod(id_col, folds) == held).alias("held"))
     counts = saved(token_counts(rows))
     total = counts.agg(F.coalesce(F.sum("c"), F.lit(0)).alias("n"), F.count(F.lit(1)).alias("v")).first()
-    top = counts.where(F.col("c") >= _frequent_from(counts)).toPandas().sort_values(["c", "h"], ascending=[False, True])
+    top = counts.where(F.col("c") >= frequent_from(counts)).toPandas().sort_values(["c", "h"], ascending=[False, True])
     v = sc.broadcast(vocabulary(top["h"].to_numpy(np.int64).view(np.uint64), top["c"].to_numpy(np.int64), total["n"], total["v"]))
     model = sc.broadcast(_fit(rows, v, initial(v.value), rounds))
 
