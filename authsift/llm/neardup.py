@@ -41,7 +41,7 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from authsift.llm import textarrays as ta
@@ -326,7 +326,8 @@ def links(docs: DataFrame, reps: DataFrame, groups: DataFrame, text: str, id_col
             yield pa.RecordBatch.from_arrays([pa.array(_first_row(b.column(0).to_pylist(), b.column(1)))], names=["h"])
 
     bits = docs.sparkSession.sparkContext.broadcast(
-        bitmap_of(wanted.select("node", F.xxhash64("rep")).mapInArrow(named, "h bigint"), "h"))
+        bitmap_of(wanted.select("node", F.xxhash64("rep")).coalesce(4 * docs.sparkSession.sparkContext.defaultParallelism)
+                  .mapInArrow(named, "h bigint"), "h"))
 
     def full(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
@@ -377,19 +378,21 @@ def links(docs: DataFrame, reps: DataFrame, groups: DataFrame, text: str, id_col
 
 def components(edges: DataFrame) -> DataFrame:
     """(node, label): the smallest node of each node's component, by large-star and small-star steps."""
-    edges = saved(edges.where("a <> b").select(F.greatest("a", "b").alias("u"), F.least("a", "b").alias("v")).distinct())
+    edges = saved(edges.where("a <> b").select(F.greatest("a", "b").alias("u"), F.least("a", "b").alias("v"))
+                  .repartition("u").distinct())
+    of = Window.partitionBy("u")
     while True:
         both = edges.unionByName(edges.select(F.col("v").alias("u"), F.col("u").alias("v")))
-        low = both.groupBy("u").agg(F.least(F.min("v"), F.first("u")).alias("m"))
-        large = both.join(low, "u").where("v > u").select(F.col("v").alias("u"), F.col("m").alias("v"))
-        large = large.where("u <> v").distinct()
-        low = large.groupBy("u").agg(F.min("v").alias("m"))
-        small = large.join(low, "u").select(F.explode(F.array(F.struct("v", "m"), F.struct(F.col("u").alias("v"), "m"))).alias("e")) \
-            .select(F.col("e.v").alias("u"), F.col("e.m").alias("v")).where("u <> v").distinct()
-        new = saved(small)
-        if new.exceptAll(edges).isEmpty() and edges.exceptAll(new).isEmpty():
-            return new.select(F.col("u").alias("node"), F.col("v").alias("label"))
-        edges = new
+        # every node either a leaf of one smaller node or the least of its star: nothing is left to do
+        ends = both.groupBy("u").agg(F.count_if(F.col("v") < F.col("u")).alias("down"), F.count_if(F.col("v") > F.col("u")).alias("up"))
+        if not ends.agg(F.count_if((F.col("down") > 1) | (F.col("down") > 0) & (F.col("up") > 0))).first()[0]:
+            return edges.select(F.col("u").alias("node"), F.col("v").alias("label"))
+        large = both.withColumn("m", F.least(F.min("v").over(of), "u")).where("v > u").select(F.col("v").alias("u"), F.col("m").alias("v"))
+        # dealt by u once, for the distinct rows and the least neighbour
+        large = large.repartition("u").distinct().withColumn("m", F.min("v").over(of))
+        small = large.select(F.explode(F.array(F.struct("v", "m"), F.struct(F.col("u").alias("v"), "m"))).alias("e")) \
+            .select(F.col("e.v").alias("u"), F.col("e.m").alias("v")).where("u <> v")
+        edges = saved(small.repartition("u").distinct())
 
 
 def clusters(docs: DataFrame, text: str = "text", id_col: str = "doc_id", n: int = 5, num: int = 80, den: int = 100
@@ -407,12 +410,11 @@ def clusters(docs: DataFrame, text: str = "text", id_col: str = "doc_id", n: int
     crowds = not crowded.isEmpty()
     if crowds:
         groups = groups.unionByName(stars(crowded, agree))
-    edges = saved(links(docs, reps, saved(groups), text, id_col, n, num, den))
-    label = components(edges)
+    label = components(links(docs, reps, saved(groups), text, id_col, n, num, den))
     if crowds:
         more = saved(crossing(crowded, label, agree))
         if not more.isEmpty():
-            label = components(edges.unionByName(links(docs, reps, more, text, id_col, n, num, den)))
+            label = components(label.toDF("a", "b").unionByName(links(docs, reps, more, text, id_col, n, num, den)))
     reps = reps.select("node", "rep").join(label, "node", "left").withColumn("label", F.coalesce("label", "node"))
     least = reps.groupBy("label").agg(F.min("rep").alias("component_id"),
                                       F.min(F.struct(F.col("rep").isNull().alias("none"), "rep", "node")).alias("first"))

@@ -22,3 +22,18 @@ def test_one_row_of_every_component_stays(spark):
     ids = {g: [i for i, t in rows if t and group[t] == g and i is not None] for g in set(group.values())}
     assert sorted(kept, key=str) == sorted(((g, min(x) if x else None) for g, x in ids.items()), key=str)
     assert set(got) <= set(rows)
+
+
+def test_components_end_once_every_node_hangs_on_the_least(spark, monkeypatch):
+    rounds = []
+    monkeypatch.setattr(neardup, "saved", lambda df: rounds.append(1) or df.localCheckpoint(eager=True))
+    of = lambda edges: {r["node"]: r["label"] for r in neardup.components(
+        spark.createDataFrame(edges, "a string, b string")).collect()}
+    assert of([("b", "a"), ("a", "c"), ("c", "a"), ("e", "d"), ("f", "f")]) == {"b": "a", "c": "a", "e": "d"}
+    assert len(rounds) == 1  # stars as they come: nothing is searched
+    assert of([]) == {}
+    rng = np.random.default_rng(3)
+    names = [f"{k:03d}" for k in rng.permutation(60)]
+    chain = [(names[k], names[k + 1]) for k in range(59) if k not in (20, 41)]
+    want = {x: min(part) for part in (names[:21], names[21:42], names[42:]) for x in part if x != min(part)}
+    assert of(chain) == want
