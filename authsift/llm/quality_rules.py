@@ -122,8 +122,11 @@ def counts(docs: DataFrame, text: str = "text", lang: str = "lang") -> DataFrame
     return rows.mapInArrow(count, "tag string, key bigint, n bigint").groupBy("tag", "key").agg(F.sum("n").alias("n"))
 
 
-def _order(grams: DataFrame, context: str, n: str, lower) -> DataFrame:
-    """Column ``p``: the interpolated probability of one order, from counts ``n`` and a lower order's ``lower``."""
+def _order(grams: DataFrame, context: str, n: str, lower, below: DataFrame | None = None, on: list[str] | None = None) -> DataFrame:
+    """Column ``p``: the interpolated probability of one order, from counts ``n`` and a lower order's ``lower``.
+
+    ``below`` holds ``lower`` by ``on`` for all of ``grams``; it is joined behind the counts, which do not need it.
+    """
     of = lambda k: F.count_if(F.col(n) == k)
     d = grams.groupBy("tag").agg(*[of(k).alias(f"k{k}") for k in (1, 2, 3, 4)])
     k = lambda i: F.col(f"k{i}")
@@ -140,7 +143,7 @@ def _order(grams: DataFrame, context: str, n: str, lower) -> DataFrame:
         ((F.col("d1") * F.col("n1") + F.col("d2") * F.col("n2") + F.col("d3") * F.col("n3")) / F.col("total")).alias("weight"))
     off = F.when(F.col(n) == 1, F.col("d1")).when(F.col(n) == 2, F.col("d2")).otherwise(F.col("d3"))
     p = F.greatest(F.col(n) - off, F.lit(0.0)) / F.col("total") + F.col("weight") * lower
-    return grams.join(total, ["tag", context]).withColumn("p", p)
+    return (grams if below is None else grams.join(below, on)).join(total, ["tag", context]).withColumn("p", p)
 
 
 def modelled(grams: DataFrame, alphabet: int = START) -> DataFrame:
@@ -151,8 +154,8 @@ def modelled(grams: DataFrame, alphabet: int = START) -> DataFrame:
         .withColumn("b", F.shiftright("bc", BITS)).withColumn("c", F.col("bc").bitwiseAND(mask))
     one = two.groupBy("tag", "c").agg(F.count(F.lit(1)).alias("m")).withColumn("root", F.lit(0))
     p1 = _order(one, "root", "m", F.lit(1.0 / alphabet)).select("tag", "c", F.col("p").alias("p1"))
-    p2 = _order(two.join(p1, ["tag", "c"]), "b", "m", F.col("p1")).select("tag", "bc", F.col("p").alias("p2"))
-    return _order(three.join(p2, ["tag", "bc"]), "ab", "n", F.col("p2")).select("tag", "key", "n", F.log10("p").alias("logp"))
+    p2 = _order(two, "b", "m", F.col("p1"), p1, ["tag", "c"]).select("tag", "bc", F.col("p").alias("p2"))
+    return _order(three, "ab", "n", F.col("p2"), p2, ["tag", "bc"]).select("tag", "key", "n", F.log10("p").alias("logp"))
 
 
 def _discounts(n: np.ndarray) -> np.ndarray:
@@ -208,7 +211,8 @@ class _Model:
     """The language models of a table of documents: all trigrams in ``table``, the frequent ones broadcast."""
 
     def __init__(self, docs: DataFrame, text: str, lang: str, frequent: int):
-        self.table = saved(modelled(counts(docs, text, lang)))
+        # the model's plan names its counts many times: the texts are counted once, before it
+        self.table = saved(modelled(saved(counts(docs, text, lang))))
         self.levels = self.table.groupBy("tag").agg((F.sum(F.col("n") * F.col("logp")) / F.sum("n")).alias("level"))
         least = frequent_from(self.table.select(F.col("n").alias("c")), frequent)
         top = self.table.where(F.col("n") >= least).select("tag", "key", "logp").toPandas()
