@@ -32,12 +32,23 @@ LOWER = np.arange(256, dtype=np.uint8)
 LOWER[65:91] += 32
 SAME = np.arange(256, dtype=np.uint8)
 
+_POWERS: dict[int, np.ndarray] = {}
+
+
 def _power(base: int, n: int) -> np.ndarray:
-    """base**0 .. base**(n-1) modulo 2**64."""
-    p = np.full(n, base, dtype=np.uint64)
+    """base**0 .. base**(n-1) modulo 2**64; read only.  The first SLICE_BYTES + 1 (4 MB) are kept."""
+    kept = _POWERS.get(base)
+    if kept is not None and n <= len(kept):
+        return kept[:n]
+    size = min(1 << max(n - 1, 1).bit_length(), SLICE_BYTES) + 1
+    p = np.full(max(n, size), base, dtype=np.uint64)
     p[:1] = 1
     with np.errstate(over="ignore"):
-        return np.multiply.accumulate(p)
+        np.multiply.accumulate(p, out=p)
+    p.flags.writeable = False
+    if n <= size:
+        _POWERS[base] = p
+    return p[:n]
 
 
 def mix(h: np.ndarray) -> np.ndarray:
@@ -52,8 +63,9 @@ def mix(h: np.ndarray) -> np.ndarray:
     return h
 
 
-def slices(column: pa.Array) -> Iterator[tuple[int, int, np.ndarray, np.ndarray]]:
-    """(first row, end row, bytes, row offsets into bytes); null counts as empty."""
+def slices(column: pa.Array, size: int | None = None) -> Iterator[tuple[int, int, np.ndarray, np.ndarray]]:
+    """(first row, end row, bytes, row offsets into bytes) of at most ``size`` bytes or one row; null counts as empty."""
+    size = size or SLICE_BYTES
     column = column.cast(pa.large_string()) if not pa.types.is_large_string(column.type) else column
     if column.null_count:
         column = column.fill_null("")
@@ -63,7 +75,7 @@ def slices(column: pa.Array) -> Iterator[tuple[int, int, np.ndarray, np.ndarray]
     raw = np.frombuffer(data, dtype=np.uint8) if data is not None and data.size else np.zeros(0, np.uint8)
     a = 0
     while a < n:
-        b = max(a + 1, int(np.searchsorted(offs, offs[a] + SLICE_BYTES, side="right")) - 1)
+        b = max(a + 1, int(np.searchsorted(offs, offs[a] + size, side="right")) - 1)
         b = min(b, n)
         yield a, b, raw[offs[a]:offs[b]], offs[a:b + 1] - offs[a]
         a = b
