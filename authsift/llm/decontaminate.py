@@ -66,7 +66,7 @@ def grams(column: pa.Array, short: list[int], kind: str, k: int, window: int, bi
 
     n is k for winnowed k-grams and minus its length for a whole short window.
     """
-    for a, _, data, offs in ta.slices(column):
+    for a, _, data, offs in ta.slices(column, ta.SMALL_BYTES):
         data = ta.LOWER[data]
         w = ta.words(data, offs, ta.ALNUM)
         out = []
@@ -91,7 +91,7 @@ def grams(column: pa.Array, short: list[int], kind: str, k: int, window: int, bi
 
 def text_key(column: pa.Array) -> np.ndarray:
     """64-bit hash of each whole text (null: empty)."""
-    parts = [ta.byte_hashes(data, offs[:-1], offs[1:]) for _, _, data, offs in ta.slices(column)]
+    parts = [ta.byte_hashes(data, offs[:-1], offs[1:]) for _, _, data, offs in ta.slices(column, ta.SMALL_BYTES)]
     return (np.concatenate(parts) if parts else np.zeros(0, np.uint64)).view(np.int64)
 
 

@@ -50,8 +50,6 @@ ROUNDS, RATE = 4, 0.02
 END = np.uint64(0)
 """Stands for the end token's hash."""
 ALPHA = 0.1
-SLICE = 1 << 17
-"""Bytes of text worked on at once: the hashes' arrays stay in the processor's cache."""
 
 
 def token_hashes(data: np.ndarray, offs: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
@@ -81,7 +79,7 @@ def token_counts(rows: DataFrame) -> DataFrame:
             return pa.RecordBatch.from_arrays([pa.array(u.view(np.int64)), pa.array(n)], names=["h", "c"])
 
         for b in batches:
-            for _, _, data, offs in ta.slices(b.column(0), SLICE):
+            for _, _, data, offs in ta.slices(b.column(0), ta.SMALL_BYTES):
                 parts.append(np.unique(token_hashes(data, offs)[0], return_counts=True))
                 held += len(parts[-1][0])
                 if held > max(2 * first, 1 << 19):
@@ -447,7 +445,7 @@ def _coded(rows: DataFrame, v) -> DataFrame:
 
     def code(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
-            for a, e, data, offs in ta.slices(b.column(1), SLICE):
+            for a, e, data, offs in ta.slices(b.column(1), ta.SMALL_BYTES):
                 h, o = token_hashes(data, offs)
                 n = e - a
                 u, each = np.unique(h, return_inverse=True)

@@ -56,7 +56,7 @@ SLACK = 0.16
 
 def sets(column: pa.Array, n: int) -> Iterator[tuple[int, np.ndarray, np.ndarray]]:
     """Per slice: (first row, sorted distinct shingle hashes of all rows, offsets per row)."""
-    for a, _, data, offs in ta.slices(column):
+    for a, _, data, offs in ta.slices(column, ta.SMALL_BYTES):
         w = ta.words(ta.LOWER[data], offs, ta.SPACED)
         rows = len(w.count)
         at = ta.inside(w, n)
@@ -314,6 +314,36 @@ def _first_row(nodes: list[bytes], id_hash: pa.Array) -> np.ndarray:
     return ta.mix(node ^ id_hash.to_numpy().astype(np.int64).view(np.uint64)).view(np.int64)
 
 
+def _close(arrays: list[np.ndarray], num: int, den: int) -> list[np.ndarray]:
+    """Components of two or more of the sets with den * |intersection| >= num * |union|, from products of 0/1
+    matrices in slabs of columns and rows of at most 2^20 numbers beside the one of all intersections."""
+    n = len(arrays)
+    size = np.array([len(x) for x in arrays], dtype=np.int64)
+    _, code, count = np.unique(np.concatenate(arrays), return_inverse=True, return_counts=True)
+    shared = count[code] > 1  # hashes of one member meet nothing
+    code, who = code[shared], np.repeat(np.arange(n, dtype=np.int32), size)[shared]
+    order = np.argsort(code, kind="stable")
+    code, who = code[order], who[order]
+    code = np.cumsum(np.diff(code, prepend=code[:1]) != 0)
+    both = np.zeros((n, n), dtype=np.float32)
+    codes = int(code[-1]) + 1 if len(code) else 0
+    wide = min(8192, max(64, (1 << 20) // n), max(codes, 1))
+    for lo in range(0, codes, wide):
+        at, end = np.searchsorted(code, (lo, lo + wide))
+        slab = np.zeros((n, wide), dtype=np.float32)
+        slab[who[at:end], code[at:end] - lo] = 1
+        both += slab @ slab.T
+    a, b = [], []
+    high = max(1, (1 << 20) // n)
+    for lo in range(0, n, high):
+        mine = np.rint(both[lo:lo + high]).astype(np.int64)
+        near = den * mine >= num * (size[lo:lo + high, None] + size - mine)
+        x, y = np.nonzero(np.triu(near, lo + 1))
+        a.append(x + lo)
+        b.append(y)
+    return _groups(n, np.concatenate(a), np.concatenate(b), np.arange(n))
+
+
 def links(docs: DataFrame, reps: DataFrame, groups: DataFrame, text: str, id_col: str, n: int,
           num: int, den: int) -> DataFrame:
     """(a, b): a spanning set of the exact links within the groups."""
@@ -321,13 +351,9 @@ def links(docs: DataFrame, reps: DataFrame, groups: DataFrame, text: str, id_col
 
     wanted = saved(groups.select("node").distinct().join(reps.select("node", "rep"), "node"))
 
-    def named(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for b in batches:
-            yield pa.RecordBatch.from_arrays([pa.array(_first_row(b.column(0).to_pylist(), b.column(1)))], names=["h"])
-
     bits = docs.sparkSession.sparkContext.broadcast(
-        bitmap_of(wanted.select("node", F.xxhash64("rep")).coalesce(4 * docs.sparkSession.sparkContext.defaultParallelism)
-                  .mapInArrow(named, "h bigint"), "h"))
+        bitmap_of(wanted.select("node", F.xxhash64("rep")).coalesce(4 * docs.sparkSession.sparkContext.defaultParallelism),
+                  hashed=lambda b: _first_row(b.column(0).to_pylist(), b.column(1))))
 
     def full(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
@@ -351,25 +377,8 @@ def links(docs: DataFrame, reps: DataFrame, groups: DataFrame, text: str, id_col
 
     def decide(key, rows):
         nodes = rows["node"].tolist()
-        arrays = [np.frombuffer(x, np.uint64) for x in rows["set"]]
-        size = np.array([len(x) for x in arrays], dtype=np.int64)
-        every = np.concatenate(arrays)
-        who = np.repeat(np.arange(len(arrays)), size)
-        _, code, count = np.unique(every, return_inverse=True, return_counts=True)
-        shared = count[code] > 1  # hashes of one member meet nothing
-        code, who = code[shared], who[shared]
-        _, code = np.unique(code, return_inverse=True)
-        both = np.zeros((len(arrays), len(arrays)), dtype=np.float32)
-        for lo in range(0, int(code.max()) + 1 if len(code) else 0, 8192):  # bounded slabs of the 0/1 matrix
-            here = (code >= lo) & (code < lo + 8192)
-            slab = np.zeros((len(arrays), 8192), dtype=np.float32)
-            slab[who[here], code[here] - lo] = 1
-            both += slab @ slab.T
-        both = np.rint(both).astype(np.int64)
-        near = den * both >= num * (size[:, None] + size[None, :] - both)
-        a, b = np.nonzero(np.triu(near, 1))
         out = []
-        for g in _groups(len(arrays), a, b, np.arange(len(arrays))):
+        for g in _close([np.frombuffer(x, np.uint64) for x in rows["set"]], num, den):
             out.extend((nodes[g[0]], nodes[k]) for k in g[1:])
         return pd.DataFrame(out, columns=["a", "b"])
 

@@ -103,13 +103,13 @@ def counts(docs: DataFrame, text: str = "text", lang: str = "lang") -> DataFrame
         held = 0
         for b in batches:
             tags = np.array(b.column(1).to_pylist(), dtype=object)
-            for a, e, data, offs in ta.slices(b.column(0)):
+            for a, e, data, offs in ta.slices(b.column(0), ta.SMALL_BYTES):
                 key, o = trigrams(data, offs)
                 for x, at in _by_tag(tags[a:e], np.diff(o)):
                     parts = total.setdefault(x, [])
                     parts.append(np.unique(key[at], return_counts=True))
                     held += len(parts[-1][0])
-                    if len(parts) == 16:
+                    if len(parts) == 64:
                         held -= sum(len(p[0]) for p in parts)
                         parts[:] = [merged(parts)]
                         held += len(parts[0][0])
@@ -228,7 +228,7 @@ class _Model:
         def find(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
             for b in batches:
                 tags = np.array(b.column(1).to_pylist(), dtype=object)
-                for a, e, data, offs in ta.slices(b.column(0)):
+                for a, e, data, offs in ta.slices(b.column(0), ta.SMALL_BYTES):
                     key, o = trigrams(data, offs)
                     row = np.repeat(np.arange(e - a), np.diff(o))
                     _, known = _logs(frequent.value, key, tags[a:e], np.diff(o))
@@ -263,7 +263,7 @@ def _logs(frequent: dict, key: np.ndarray, tags: np.ndarray, size: np.ndarray) -
 def _read(frequent: dict, column: pa.Array, tags: np.ndarray) -> tuple[dict[str, np.ndarray], np.ndarray, np.ndarray, np.ndarray]:
     """Per row of a text column: the counts, number of code points, log10 p of broadcast trigrams, hash of the text."""
     parts, sizes, logs, names = [], [], [], []
-    for a, e, data, offs in ta.slices(column):
+    for a, e, data, offs in ta.slices(column, ta.SMALL_BYTES):
         parts.append(ts.base(data, offs)[1])
         key, o = trigrams(data, offs)
         size = np.diff(o)
